@@ -58,13 +58,13 @@ def _scored(name: str) -> list[Column]:
 
 
 SORTS = {
-    "newest": _by("publication_date", True),
-    "oldest": _by("publication_date", False),
-    "title": _by("normalized_title", False),
-    "updated": _by("updated_at", True),
-    "technical": _scored("technical_score"),
-    "commercial": _scored("commercial_score"),
-    "priority": _scored("priority_score"),
+    "newest": lambda: _by("publication_date", True),
+    "oldest": lambda: _by("publication_date", False),
+    "title": lambda: _by("normalized_title", False),
+    "updated": lambda: _by("updated_at", True),
+    "technical": lambda: _scored("technical_score"),
+    "commercial": lambda: _scored("commercial_score"),
+    "priority": lambda: _scored("priority_score"),
 }
 
 
@@ -126,10 +126,10 @@ def filter_papers(papers: DataFrame, t: Tables, query: CatalogQuery) -> DataFram
         hits = t["events"].join(t["links"].filter("active").select("event_id"), "event_id", "left_semi")
         out = out.join(hits.select(F.col("primary_work_id").alias("work_id")), "work_id", "left_semi")
     if query.published_from is not None:
-        out = out.filter(F.col("publication_date") >= F.lit(query.published_from).cast("timestamp_ntz"))
+        out = out.filter(F.col("publication_date") >= F.lit(query.published_from).cast("timestamp"))
     if query.published_to is not None:
         end = query.published_to + timedelta(days=1)
-        out = out.filter(F.col("publication_date") < F.lit(end).cast("timestamp_ntz"))
+        out = out.filter(F.col("publication_date") < F.lit(end).cast("timestamp"))
     return out
 
 
@@ -197,7 +197,7 @@ def catalog_page(t: Tables, query: CatalogQuery) -> DataFrame:
     papers = filter_papers(base_papers(t), t, query)
     if query.sort in {"technical", "commercial", "priority"}:
         papers = with_scores(papers, t["results"])
-    shown = page(papers, SORTS[query.sort], query.limit, query.offset)
+    shown = page(papers, SORTS[query.sort](), query.limit, query.offset)
     return shown.withColumn("match_reason", F.lit(match_reason(query)).cast("string"))
 
 

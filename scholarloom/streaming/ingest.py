@@ -30,8 +30,8 @@ def read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def store_batch(batch: DataFrame, batch_id: int, table: str) -> None:
     """Append the rows of a batch that are not stored yet, below the batch id and a hash prefix.
 
-    Only the prefixes that occur in the batch are read from the table. A replayed batch id overwrites
-    its own folder, so a batch that died half-way leaves nothing twice.
+    The key columns are compared with the table, payloads are not read back. A replayed batch id
+    overwrites its own folders, so a batch that died half-way leaves nothing twice.
     """
     spark = batch.sparkSession
     rows, _ = split_refused(address(batch))
