@@ -107,15 +107,9 @@ def first_sentence(text: Column, fallback: str, limit: int = 240) -> Column:
 
 
 def label_form(value: Column, allowed: list[str]) -> Column:
-    """The allowed option a free-text label starts with, else the label unchanged."""
-    low = casefold(F.trim(value))
-    out = F.lit(None).cast("string")
-    for option in reversed(allowed):
-        hit = low == option
-        for suffix in (" ", ":", " -"):
-            hit = hit | low.startswith(option + suffix)
-        out = F.when(hit, F.lit(option)).otherwise(out)
-    return F.coalesce(out, value)
+    """The first allowed option a free-text label is, or starts with before a blank, colon or dash."""
+    pattern = rf"^({'|'.join(allowed)})(?= |:|\z)"
+    return F.coalesce(F.nullif(F.regexp_extract(casefold(F.trim(value)), pattern, 1), F.lit("")), value)
 
 
 def search_tokens(text: Column) -> Column:

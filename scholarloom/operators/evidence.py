@@ -9,8 +9,11 @@ from scholarloom import settings
 from scholarloom.functions.text import collapse_space, is_heading, text_hash
 from scholarloom.operators.ordered import carry_forward, top_per_key
 
-BLOCK = r"(?is)<(h[1-6]|p|li|td|th|pre|blockquote|figcaption)\b[^>]*>(.*?)(?=</?(?:h[1-6]|p|li|ul|ol|td|th|tr|table|pre|blockquote|figcaption|article|section|div|nav|body)\b|$)"
-INVISIBLE = r"(?is)<(script|style|head|nav)\b.*?</\1>|<!--.*?-->"
+INVISIBLE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<nav\b.*?</nav>|<!--.*?-->"
+BLOCK_TAG = (
+    r"(?i)</?(?:h[1-6]|p|br|li|ul|ol|td|th|tr|table|pre|blockquote|figcaption|article|section|div|body|html)\b[^>]*>"
+)
+ANY_TAG = r"<[^>]+>"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 PAGES_PER_CHUNK = 64
 
@@ -22,10 +25,9 @@ def unescape(text: Column) -> Column:
 
 
 def html_blocks(html: Column) -> Column:
-    """Visible text blocks of a page, in order."""
+    """Texts between block-level tags, in order; script, style, head, navigation and comments are left out."""
     visible = F.regexp_replace(html, INVISIBLE, " ")
-    inner = F.regexp_extract_all(visible, F.lit(BLOCK), F.lit(2))
-    return F.transform(inner, lambda b: unescape(F.regexp_replace(b, "<[^>]+>", " ")))
+    return F.transform(F.split(visible, BLOCK_TAG), lambda b: unescape(F.regexp_replace(b, ANY_TAG, " ")))
 
 
 def segment(pages: DataFrame, *, max_pages: int = settings.MAX_PAGES, max_page_chars: int = settings.MAX_PAGE_CHARS) -> DataFrame:

@@ -28,8 +28,8 @@ def a3(t):
 
 @query("a4_linkage_reason", f"""SELECT b.event_id, coalesce(r.reason, '{settings.TEXTS['no_link']}') AS linkage_reason FROM event_base b LEFT JOIN (
     SELECT event_id, string_agg(text, '; ' ORDER BY n) AS reason FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY place) AS n FROM (
-        SELECT event_id, text, min((-authority, source_key, artifact_id, at)) AS place FROM (
-            SELECT l.event_id, a.authority, a.source_key, a.artifact_id, 0 AS at, l.evidence AS text FROM links l JOIN artifacts a USING (artifact_id)
+        SELECT event_id, text, min((-authority, source_key, artifact_id, slot)) AS place FROM (
+            SELECT l.event_id, a.authority, a.source_key, a.artifact_id, 0 AS slot, l.evidence AS text FROM links l JOIN artifacts a USING (artifact_id)
             UNION ALL SELECT l.event_id, a.authority, a.source_key, a.artifact_id, 1, replace(l.relationship, '_', ' ') FROM links l JOIN artifacts a USING (artifact_id))
         GROUP BY 1, 2)) WHERE n <= 3 GROUP BY 1) r USING (event_id)""")
 def a4(t):

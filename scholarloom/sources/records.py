@@ -17,7 +17,7 @@ COLUMNS = {
     "document_urls": "array<string>", "repository_urls": "array<string>", "license_hint": "string",
     "extra": "map<string,string>",
 }
-CARRIED = ["observed_at", "payload_sha256"]
+CARRIED = ["record_id", "observed_at", "payload_sha256"]
 
 
 def payload_text() -> Column:
