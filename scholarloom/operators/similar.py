@@ -1,10 +1,12 @@
 """Exact similarity join of titles within a block, without comparing all pairs of a block.
 
 A ratio of at least ``t`` leaves at most ``d = (1 - t) * (len a + len b)`` characters of the two
-titles unmatched. Cut the shorter title into ``d + 1`` pieces: at least one piece is untouched and
-appears in the longer title, shifted by no more than the edits before it. So an equality join of
-pieces with substrings finds every pair that can reach the ratio; the ratio is then computed for
-those candidates only.
+titles unmatched. Cut the shorter title into more than ``d`` chunks of ``q`` characters: some chunk
+``j`` is untouched, with at most ``j`` edits before it and ``d - j`` after it, so it appears in the
+longer title shifted by no more than that. An equality join of chunks with the q-grams of the longer
+titles, keyed by a coarse position as well, therefore finds every pair that can reach the ratio. The
+rows on both sides grow with the length of the titles only. The edit distance, which the JVM
+computes, then drops most candidates before the ratio itself is computed.
 """
 
 from __future__ import annotations
@@ -14,16 +16,31 @@ from pyspark.sql import functions as F
 
 from scholarloom.functions.similarity import matching_ratio
 
+EPSILON = 1e-9
+SMALLEST_BUCKET = 8
+
 
 def _budget(a: Column, b: Column, threshold: float) -> Column:
-    return F.floor((1 - threshold) * (a + b) + F.lit(1e-9)).cast("int")
+    """Most characters two titles of these lengths may leave unmatched."""
+    return F.floor((1 - threshold) * (a + b) + F.lit(EPSILON)).cast("int")
+
+
+def _longest(size: Column, threshold: float) -> Column:
+    """Length of the longest title one of ``size`` can still match."""
+    return F.floor(size * (2 - threshold) / threshold + F.lit(EPSILON)).cast("int")
+
 
+def _shortest(size: Column, threshold: float) -> Column:
+    return F.ceil(size * threshold / (2 - threshold) - F.lit(EPSILON)).cast("int")
 
-def _piece_start(index: Column, length: Column, pieces: Column) -> Column:
-    """Start of piece ``index`` when ``length`` characters are cut evenly into ``pieces``."""
-    base = F.floor(length / pieces).cast("int")
-    short = pieces - length % pieces
-    return index * base + F.greatest(F.lit(0), index - short)
+
+def _cut(short: Column, threshold: float) -> Column:
+    """struct<q, width>: chunk length and position bucket used for shorter titles of this length."""
+    most = _budget(short, _longest(short, threshold), threshold)
+    q = F.floor(short / (most + 1)).cast("int")
+    reach = 2 * (_longest(short, threshold) - short) + most
+    width = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(SMALLEST_BUCKET), reach)))).cast("int")
+    return F.struct(F.greatest(F.lit(1), q).alias("q"), width.alias("width"))
 
 
 def similar_titles(titles: DataFrame, block: list[str], threshold: float) -> DataFrame:
@@ -32,63 +49,42 @@ def similar_titles(titles: DataFrame, block: list[str], threshold: float) -> Dat
     ``titles`` has one row per distinct (block, title). The pair of a title with itself is included.
     """
     sized = titles.select(*block, "title", F.length("title").alias("size"))
-    sizes = sized.groupBy(*block).agg(
-        F.collect_set("size").alias("sizes"), F.count("*").alias("_titles")
-    ).filter("_titles > 1")
-    # A block holds at most as many sizes as a title has characters, so the array stays small.
-    probes = sized.join(sizes, block).withColumn(
-        "short", F.explode(F.filter(
-            F.array_distinct(F.concat("sizes", F.array("size"))),
-            lambda s: (s <= F.col("size")) & (2 * s >= F.lit(threshold) * (s + F.col("size")) - F.lit(1e-9)),
-        ))
-    )
-    budget = _budget(F.col("size"), F.col("short"), threshold)
-    probes = (
-        probes.withColumn("pieces", budget + 1)
-        .withColumn("index", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .withColumn("start", _piece_start(F.col("index"), F.col("short"), F.col("pieces")))
-        .withColumn("end", _piece_start(F.col("index") + 1, F.col("short"), F.col("pieces")))
-    )
-    extra = F.col("size") - F.col("short")
-    after = F.col("pieces") - 1 - F.col("index")
-    low = F.greatest(
-        -F.col("index"), -F.floor((F.col("pieces") - 1 - extra) / 2).cast("int"), extra - after, -F.col("start")
-    )
-    high = F.least(
-        F.col("index"), F.floor((F.col("pieces") - 1 + extra) / 2).cast("int"), extra + after,
-        F.col("size") - F.col("end"),
-    )
-    shifts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    probes = probes.withColumn("shift", F.explode(shifts)).select(
-        *block, F.col("title").alias("long_title"), "short", "pieces", "index",
-        F.col("title").substr(F.col("start") + F.col("shift") + 1, F.col("end") - F.col("start")).alias("piece"),
-    ).distinct()
-
-    # Piece counts a short title must be cut into: one per budget that some longer size asks for.
-    cuts = F.array_distinct(F.transform(
-        F.filter("sizes", lambda s: (s >= F.col("size")) & (2 * F.col("size") >= F.lit(threshold) * (s + F.col("size")) - F.lit(1e-9))),
-        lambda s: _budget(s, F.col("size"), threshold) + 1,
-    ))
-    index = (
-        sized.join(sizes, block)
-        .withColumn("pieces", F.explode(cuts))
-        .withColumn("index", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .withColumn("start", _piece_start(F.col("index"), F.col("size"), F.col("pieces")))
-        .withColumn("end", _piece_start(F.col("index") + 1, F.col("size"), F.col("pieces")))
-        .select(
-            *block, F.col("title").alias("short_title"), F.col("size").alias("short"), "pieces", "index",
-            F.col("title").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"),
-        )
-    )
-    found = (
-        probes.join(index, [*block, "short", "pieces", "index", "piece"])
-        .filter(F.col("long_title") != F.col("short_title"))
-        .select(*block, "long_title", "short_title").distinct()
-    )
-    ordered = found.select(*block, F.explode(F.array(
+    shared = sized.groupBy(*block).agg(F.count("*").alias("_n")).filter("_n > 1").select(*block)
+    sized = sized.join(shared, block, "left_semi")
+
+    cut = sized.withColumn("cut", _cut(F.col("size"), threshold)).select("*", "cut.q", "cut.width")
+    most = _budget(F.col("size"), _longest(F.col("size"), threshold), threshold)
+    chunks = cut.withColumn("index", F.explode(F.sequence(F.lit(0), most)))
+    start = F.col("index") * F.col("q")
+    reach = F.least(F.col("index"), most)
+    buckets = F.sequence(
+        F.floor(F.greatest(F.lit(0), start - reach) / F.col("width")), F.floor((start + reach) / F.col("width")))
+    chunks = chunks.select(
+        *block, F.col("title").alias("short_title"), F.col("size").alias("short"), "q", "width", "index",
+        F.col("title").substr(start + 1, F.col("q")).alias("gram"), F.explode(buckets).alias("bucket"))
+
+    # A longer title is cut the way each shorter partner it may have is cut: one or two ways.
+    partners = F.sequence(F.greatest(F.lit(1), _shortest(F.col("size"), threshold)), F.col("size"))
+    ways = sized.withColumn("cut", F.explode(F.array_distinct(F.transform(partners, lambda s: _cut(s, threshold))))).select(
+        *block, "title", "size", "cut.q", "cut.width").filter("size >= q")
+    grams = ways.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("q")))).select(
+        *block, F.col("title").alias("long_title"), F.col("size").alias("long"), "q", "width", "at",
+        F.col("title").substr(F.col("at") + 1, F.col("q")).alias("gram"),
+        F.floor(F.col("at") / F.col("width")).alias("bucket"))
+
+    budget = _budget(F.col("short"), F.col("long"), threshold)
+    shift = F.col("at") - F.col("index") * F.col("q")
+    extra = F.col("long") - F.col("short")
+    found = chunks.join(grams, [*block, "q", "width", "gram", "bucket"]).filter(
+        (extra >= 0) & (F.col("long_title") != F.col("short_title"))
+        & (2 * F.col("short") >= F.lit(threshold) * (F.col("short") + F.col("long")) - F.lit(EPSILON))
+        & (F.col("index") <= budget) & (F.abs(shift) <= F.col("index")) & (F.abs(extra - shift) <= budget - F.col("index")))
+    pairs = found.select(*block, "long_title", "short_title").distinct()
+    near = pairs.filter(
+        F.levenshtein("long_title", "short_title") <= _budget(F.length("short_title"), F.length("long_title"), threshold))
+    both = near.select(*block, F.explode(F.array(
         F.struct(F.col("long_title").alias("title"), F.col("short_title").alias("other")),
         F.struct(F.col("short_title").alias("title"), F.col("long_title").alias("other")),
     )).alias("p")).select(*block, "p.title", "p.other").distinct()
-    close = ordered.filter(matching_ratio("title", "other") >= threshold)
-    same = titles.select(*block, "title", F.col("title").alias("other"))
-    return close.unionByName(same)
+    close = both.filter(matching_ratio("title", "other") >= threshold)
+    return close.unionByName(titles.select(*block, "title", F.col("title").alias("other")))

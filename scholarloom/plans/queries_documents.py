@@ -730,14 +730,18 @@ def g10(t):
 
 
 def _identity_records(t) -> DataFrame:
-    """Documents as records: exact copies share an identity, near copies only author, year and title."""
-    doc, text = F.col("doc_id"), F.col("text")
-    ids = F.array(F.concat(F.lit("doi:"), F.substring(F.sha2(text, 256), 1, 16)), F.when(doc % 2 == 0, F.concat(F.lit("arxiv:"), F.floor(doc / 4))))
-    sentence = F.split(clean(text), r"(?<=[.!?])\s+", 2)[0]
-    return t.raw("documents").select(
-        doc.cast("string").alias("record_id"), F.lpad(F.floor(doc / 4).cast("string"), 12, "0").alias("upstream_id"), (doc % 4).alias("version_no"), at(doc % 31).alias("observed_at"),
-        F.coalesce(normal_form(sentence, exact=False), F.lit("untitled")).alias("title"), F.concat(F.lit("author "), "lang").alias("author"), (2023 + F.floor(doc / 4) % 2).cast("int").alias("year"),
-        F.concat(F.lit("v"), doc % 3).alias("label"), F.filter(ids, lambda i: i.isNotNull()).alias("identities"))
+    """Web pages as records: four pages make one upstream item, copies share an identity, and pages with the
+    same language and year may have near titles."""
+    page, html = F.col("page_id"), F.col("html")
+    title = normal_form(evidence.unescape(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)), exact=False)
+    ids = F.array(F.concat(F.lit("doi:"), F.substring(F.sha2(F.coalesce(title, F.lit("")), 256), 1, 2)),
+                  F.when(page % 2 == 0, F.concat(F.lit("arxiv:"), F.floor(page / 4))), F.when(page % 3 == 0, F.concat(F.lit("openreview:"), page)))
+    wanted = F.when(page % 5 == 0, F.slice(ids, 1, 2)).otherwise(F.slice(ids, 2, 2))
+    return t.raw("pages").select(
+        page.cast("string").alias("record_id"), F.lpad(F.floor(page / 4).cast("string"), 12, "0").alias("upstream_id"), (page % 4).alias("version_no"), at(page % 31).alias("observed_at"),
+        F.coalesce(title, F.lit("untitled")).alias("title"), F.concat(F.lit("author "), F.regexp_extract(html, '<html lang="([a-z]+)"', 1)).alias("author"),
+        (2023 + F.floor(page / 4) % 2).cast("int").alias("year"), F.concat(F.lit("v"), page % 3).alias("label"),
+        F.concat(F.filter(wanted, lambda i: i.isNotNull()), F.array(F.concat(F.lit("url:"), page))).alias("identities"))
 
 
 @query("e1_identity_resolution")
