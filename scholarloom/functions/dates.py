@@ -64,6 +64,7 @@ def epoch_timestamp(number: Column) -> Column:
 
 def any_timestamp(text: Column, number: Column | None = None) -> Column:
     """ISO, then mail form; a JSON number when one is given; NULL when nothing fits."""
-    value = clean(text)
-    parsed = F.coalesce(iso_timestamp(value), mail_timestamp(value))
+    # The one-element array evaluates the cleaned text once, for all the patterns that look at it.
+    once = F.transform(F.array(clean(text)), lambda v: F.coalesce(iso_timestamp(v), mail_timestamp(v)))
+    parsed = once[0]
     return parsed if number is None else F.coalesce(epoch_timestamp(number), parsed)

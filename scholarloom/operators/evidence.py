@@ -102,21 +102,22 @@ def pack_evidence(
     return kept.filter((F.col("characters") <= total_chars) & (F.col("slot") <= target))
 
 
-def evidence_fingerprint(spans: DataFrame, chunk_digits: int = 0) -> DataFrame:
+def evidence_fingerprint(spans: DataFrame, *, row_limit: int = 10_000, digits: int = 4) -> DataFrame:
     """(version_id, evidence_fingerprint): hash of the version id and its span hashes in id order.
 
-    With ``chunk_digits`` the hashes are first digested per leading digits of the (hexadecimal) span
-    id, for versions with too many spans for one row; the order of the chunks is the id order.
+    A version with more than ``row_limit`` spans is digested in chunks first, by the leading digits of
+    the (hexadecimal) span id, whose order is the id order; so no row holds all hashes of a large one.
     """
     def joined(item: str, by: str) -> Column:
         pairs = F.array_sort(F.collect_list(F.struct(F.col(by).alias("k"), F.col(item).alias("v"))))
         return F.array_join(F.transform(pairs, lambda p: p["v"]), "|")
 
-    if chunk_digits:
-        chunk = F.substring("span_id", 1, chunk_digits)
-        spans = spans.groupBy("version_id", chunk.alias("span_id")).agg(
-            F.sha2(joined("text_sha256", "span_id"), 256).alias("text_sha256"))
-    return spans.groupBy("version_id").agg(joined("text_sha256", "span_id").alias("_j")).select(
+    sizes = spans.groupBy("version_id").agg((F.count("*") > row_limit).alias("large"))
+    chunk = F.when(F.col("large"), F.substring("span_id", 1, digits)).otherwise("")
+    chunks = spans.join(sizes, "version_id").groupBy("version_id", "large", chunk.alias("chunk")).agg(
+        joined("text_sha256", "span_id").alias("_hashes"))
+    parts = chunks.withColumn("_part", F.when(F.col("large"), F.sha2("_hashes", 256)).otherwise(F.col("_hashes")))
+    return parts.groupBy("version_id").agg(joined("_part", "chunk").alias("_j")).select(
         "version_id", F.sha2(F.concat_ws("|", F.col("version_id").cast("string"), "_j"), 256).alias("evidence_fingerprint"))
 
 

@@ -485,7 +485,7 @@ def a14(t):
 @query("a14_chunked_fingerprint", """SELECT version_id, sha256(version_id || '|' || string_agg(h, '|' ORDER BY c)) AS evidence_fingerprint FROM (
     SELECT version_id, substr(span_id, 1, 1) AS c, sha256(string_agg(text_sha256, '|' ORDER BY span_id)) AS h FROM spans GROUP BY 1, 2) GROUP BY 1""")
 def a14_chunked(t):
-    return evidence.evidence_fingerprint(t["spans"], chunk_digits=1)
+    return evidence.evidence_fingerprint(t["spans"], row_limit=0, digits=1)
 
 
 @query("w5_revision_order", "SELECT doc_id, row_number() OVER (ORDER BY doc_id // 4, doc_id % 3, doc_id) - 1 AS pos FROM documents")
@@ -644,9 +644,10 @@ def j11(t):
 
 @query("u4_set_overlap", "SELECT claim_id, count(a.span_id) AS shared, count(*) - count(a.span_id) AS foreign_ids FROM cites x LEFT JOIN allowed a USING (run_id, span_id) GROUP BY 1")
 def u4(t):
-    sets = t["allowed"].groupBy("run_id").agg(F.collect_set("span_id").alias("ids"))
-    joined = t["claims"].filter(F.size("evidence_ids") > 0).join(sets, "run_id")
-    return joined.select("claim_id", F.size(F.array_intersect("evidence_ids", "ids")).alias("shared"), F.size(F.array_except("evidence_ids", "ids")).alias("foreign_ids"))
+    cited = t["claims"].select("run_id", "claim_id", F.explode("evidence_ids").alias("span_id")).distinct()
+    known = t["allowed"].withColumn("known", F.lit(True))
+    return cited.join(known, ["run_id", "span_id"], "left").groupBy("claim_id").agg(
+        F.count("known").alias("shared"), F.count_if(F.col("known").isNull()).alias("foreign_ids"))
 
 
 @query("s13_claim_evidence", "SELECT claim_id, span_id, 'supports' AS relation, 1.0 AS relevance FROM edges")
