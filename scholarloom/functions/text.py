@@ -49,18 +49,17 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
 def casefold(text: Column) -> Column:
     """Full Unicode case folding with built-in expressions.
 
-    ``lower`` does nearly all of it; the few characters that fold further are translated, and
-    the ones that fold to several characters are only looked for when the text has any.
+    ``lower`` does nearly all of it; the few characters that fold further are translated. Of those
+    that fold to several characters only the sharp s is common; the others are looked for first.
     """
     frm, to, several = _fold_tables()
-    lowered = F.lower(text)
-    if not several:
-        return F.translate(lowered, frm, to)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several])
+    lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    rare = [(a, b) for a, b in several if a != "ß"]
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rare])
     expand = F.aggregate(pairs, lowered, lambda acc, p: F.replace(acc, p["a"], p["b"]))
-    has_several = lowered.rlike("[" + "".join(a for a, _ in several) + "]")
-    folded = F.translate(F.when(has_several, expand).otherwise(lowered), frm, to)
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), lowered).otherwise(folded)
+    has_rare = lowered.rlike("[" + "".join(a for a, _ in rare) + "]")
+    folded = F.translate(F.when(has_rare, expand).otherwise(lowered), frm, to)
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(folded)
 
 
 @pandas_udf(StringType())

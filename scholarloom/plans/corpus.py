@@ -1,7 +1,7 @@
 """Corpus tables derived from the driver's parquet tables, and the same tables as SQL.
 
 Every view is a pure expression over the given tables, so it grows with them. ``Corpus`` builds the
-Spark side lazily; ``VIEWS`` holds the SQL a reference engine runs to check the results.
+Spark side, each view when it is first asked for; views that others start from are written out once. ``VIEWS`` holds the SQL a reference engine runs to check the results.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from scholarloom.functions.text import collapse_space, normal_form
 from scholarloom.operators import linking
 from scholarloom.operators.ranking import feature_frame, result_rows, score
 from scholarloom.operators.topics import assign_topics, category_map, taxonomy
+from scholarloom.session import durable
 
 AS_OF_TEXT = "2024-02-01 00:00:00"
 EPOCH = 1_704_067_200  # 2024-01-01 UTC
@@ -89,20 +90,29 @@ class Corpus(Mapping):
             F.sha2("text", 256).alias("payload_sha256"), at(doc % 31).alias("observed_at"), at(doc % 29).alias("updated_at_upstream"))
 
     @cached_property
-    def _docs(self) -> DataFrame:
-        """Documents with their work, title and abstract."""
+    def _keys(self) -> DataFrame:
+        """(doc_id, work_id, lang, source): hashing the texts is done once and written out."""
+        return durable(self.raw("documents").select("doc_id", work_key(F.col("text")).alias("work_id"), "lang", "source"))
+
+    @cached_property
+    def _titles(self) -> DataFrame:
         title = first_line(F.col("text"))
         return self.raw("documents").select(
-            "doc_id", "lang", "source", work_key(F.col("text")).alias("work_id"), title.alias("title"),
+            F.col("doc_id").alias("version_id"), title.alias("title"),
             F.nullif(F.substring("text", F.length(title) + 2, F.length("text")), F.lit("")).alias("abstract"))
 
+    @cached_property
+    def _grouped(self) -> DataFrame:
+        """One row per work; all texts of a work are equal, so any document of it will do."""
+        return self._keys.groupBy("work_id").agg(
+            F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("current_version_id"), F.first("lang").alias("lang"),
+            F.max_by("source", "doc_id").alias("source"))
+
     @cached_property
     def works(self) -> DataFrame:
         first, last = F.col("first_doc"), F.col("current_version_id")
-        grouped = self._docs.groupBy("work_id").agg(
-            F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("current_version_id"), F.first("title").alias("title"),
-            F.first("abstract").alias("abstract"), F.first("lang").alias("lang"), F.max_by("source", "doc_id").alias("source"))
-        return grouped.select(
+        titled = self._grouped.join(self._titles.withColumnRenamed("version_id", "current_version_id"), "current_version_id")
+        return titled.select(
             "work_id", "first_doc", "current_version_id", "title", "abstract", "lang", "source",
             normal_form(F.col("title"), exact=False).alias("normalized_title"),
             F.when(first % 13 == 0, "article").otherwise("paper").alias("work_type"),
@@ -112,12 +122,13 @@ class Corpus(Mapping):
 
     @cached_property
     def versions(self) -> DataFrame:
-        doc = F.col("doc_id")
-        last = self._docs.groupBy("work_id").agg(F.max("doc_id").alias("_last"))
+        doc = F.col("version_id")
+        keyed = self._keys.withColumnRenamed("doc_id", "version_id").join(
+            self._grouped.select("work_id", F.col("current_version_id").alias("_last")), "work_id")
         url = F.concat(F.lit("https://github.com/"), F.col("lang"), F.lit("/"), F.col("source"), F.when(doc % 8 == 0, ".git").otherwise(""))
         none = F.array().cast("array<string>")
-        return self._docs.join(last, "work_id").select(
-            "work_id", doc.alias("version_id"), doc.alias("record_id"), F.concat(F.lit("v"), doc).alias("version_label"), "title", "abstract",
+        return keyed.join(self._titles, "version_id").select(
+            "work_id", "version_id", doc.alias("record_id"), F.concat(F.lit("v"), doc).alias("version_label"), "title", "abstract",
             "lang", "source", published(doc).alias("published_at"), at(doc % 31).alias("observed_at"),
             F.when(doc % 4 == 0, F.array(url)).otherwise(none).alias("repository_urls"), (doc == F.col("_last")).alias("is_current"))
 
@@ -128,8 +139,7 @@ class Corpus(Mapping):
             F.when(first % 2 == 0, F.struct(F.lit("arxiv").alias("t"), F.concat(F.lit("2401."), F.lpad(first.cast("string"), 5, "0")).alias("v"))),
             F.when(first % 5 == 0, F.struct(F.lit("github").alias("t"), F.concat(F.lit("own/r"), first).alias("v"))),
             F.when(first % 3 == 0, F.struct(F.lit("doi").alias("t"), F.concat(F.lit("10.5555/d."), first).alias("v"))))
-        grouped = self._docs.groupBy("work_id").agg(F.min("doc_id").alias("first_doc"))
-        return grouped.select("work_id", F.explode(F.filter(ids, lambda i: i.isNotNull())).alias("i")).select(
+        return self._grouped.select("work_id", F.explode(F.filter(ids, lambda i: i.isNotNull())).alias("i")).select(
             "work_id", F.col("i.t").alias("id_type"), F.col("i.v").alias("value"))
 
     @cached_property
@@ -139,8 +149,7 @@ class Corpus(Mapping):
             F.struct(F.lit(1).alias("o"), F.concat(F.lit("Author "), first % 97).alias("n")),
             F.when(first % 3 != 0, F.struct(F.lit(2).alias("o"), F.concat(F.lit("Coauthor "), first % 11).alias("n"))),
             F.when(first % 7 == 0, F.struct(F.lit(3).alias("o"), F.concat(F.lit("Editor "), F.col("lang")).alias("n"))))
-        grouped = self._docs.groupBy("work_id").agg(F.min("doc_id").alias("first_doc"), F.first("lang").alias("lang"))
-        return grouped.select("work_id", F.explode(F.filter(slots, lambda s: s.isNotNull())).alias("a")).select(
+        return self._grouped.select("work_id", F.explode(F.filter(slots, lambda s: s.isNotNull())).alias("a")).select(
             "work_id", F.col("a.o").alias("author_order"), F.concat_ws("-", "work_id", "a.o").alias("author_id"), F.col("a.n").alias("display_name"))
 
     @cached_property
@@ -150,7 +159,7 @@ class Corpus(Mapping):
     @cached_property
     def work_topics(self) -> DataFrame:
         table = F.create_map(*[x for k, v in LANG_CATEGORIES.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))])
-        rows = self._docs.groupBy("work_id").agg(F.first("lang").alias("lang")).select(
+        rows = self._grouped.select(
             "work_id", F.col("work_id").alias("record_id"), F.lit("arxiv").alias("source_key"), table[F.col("lang")].alias("categories"))
         return assign_topics(rows, category_map(self.spark))
 
@@ -216,27 +225,28 @@ class Corpus(Mapping):
     @cached_property
     def linked_rows(self) -> DataFrame:
         attached = linking.attach_records(self.sightings, self.external_ids, self.versions)
-        return linking.link_rows(linking.with_source_facts(attached, linking.source_facts(self.spark)))
+        # Events and links both start from these rows, so they are written out once.
+        return durable(linking.link_rows(linking.with_source_facts(attached, linking.source_facts(self.spark))).drop("summary"))
 
     @cached_property
     def artifacts(self) -> DataFrame:
         facts = linking.with_source_facts(self.sightings, linking.source_facts(self.spark))
-        return linking.upsert_artifacts(facts, as_of())
+        return durable(linking.upsert_artifacts(facts, as_of()))
 
     @cached_property
     def links(self) -> DataFrame:
-        return linking.upsert_links(self.linked_rows)
+        return durable(linking.upsert_links(self.linked_rows))
 
     @cached_property
     def events(self) -> DataFrame:
         events = linking.upsert_events(self.linked_rows)
-        return linking.event_measures(events, self.links, self.artifacts)
+        return durable(linking.event_measures(events, self.links, self.artifacts))
 
     @cached_property
     def runs(self) -> DataFrame:
         run = F.col("run_id")
         convs = self.raw("conversations").groupBy(F.col("conv_id").alias("run_id")).agg(F.count("*").alias("turns"))
-        works = self._docs.select(F.col("doc_id").alias("run_id"), "work_id")
+        works = self._keys.select(F.col("doc_id").alias("run_id"), "work_id")
         ok = run % 5 != 0
         return convs.join(works, "run_id").select(
             "run_id", "work_id", "turns", F.when(run % 2 == 0, "deep_dive").otherwise("fast_brief").alias("analysis_type"),
@@ -269,7 +279,7 @@ class Corpus(Mapping):
 
     @cached_property
     def results(self) -> DataFrame:
-        return result_rows(score(feature_frame(self, as_of())), "default-1")
+        return durable(result_rows(score(feature_frame(self, as_of())), "default-1"))
 
     @cached_property
     def search_terms(self) -> DataFrame:
