@@ -10,8 +10,7 @@ from scholarloom.functions.text import casefold
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
-    return found
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
 
 
 def paper_mentions(text: Column) -> Column:
@@ -19,13 +18,12 @@ def paper_mentions(text: Column) -> Column:
 
 
 def repository_mentions(text: Column) -> Column:
-    owners = _all(text, settings.REPOSITORY_MENTION, 1)
-    names = _all(text, settings.REPOSITORY_MENTION, 2)
-    urls = F.zip_with(
-        owners, names,
-        lambda o, n: F.concat(F.lit("https://github.com/"), o, F.lit("/"), F.regexp_replace(n, r"\.git$", "")),
-    )
-    return F.array_distinct(urls)
+    home = "https://github.com/"
+
+    def canonical(url: Column) -> Column:
+        return F.concat(F.lit(home), F.regexp_replace(F.substring(url, len(home) + 1, 4_096), r"\.git$", ""))
+
+    return F.array_distinct(F.transform(_all(text, settings.REPOSITORY_MENTION, 0), canonical))
 
 
 def repository_links(*texts: Column) -> Column:

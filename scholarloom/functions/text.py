@@ -46,6 +46,17 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(single), "".join(single.values()), several
 
 
+def _ranges(codes: list[int], gap: int = 128) -> str:
+    """Character class of few ranges around ``codes``; a long list of single characters is slow to match."""
+    spans: list[list[int]] = []
+    for code in sorted(codes):
+        if spans and code - spans[-1][1] <= gap:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+
+
 def casefold(text: Column) -> Column:
     """Full Unicode case folding with built-in expressions.
 
@@ -55,9 +66,10 @@ def casefold(text: Column) -> Column:
     frm, to, several = _fold_tables()
     lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     rare = [(a, b) for a, b in several if a != "ß"]
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rare])
-    expand = F.aggregate(pairs, lowered, lambda acc, p: F.replace(acc, p["a"], p["b"]))
-    has_rare = lowered.rlike("[" + "".join(a for a, _ in rare) + "]")
+    # One literal text, character and expansion glued together, keeps the expression small.
+    pairs = F.split(F.lit(" ".join(a + b for a, b in rare)), " ")
+    expand = F.aggregate(pairs, lowered, lambda acc, p: F.replace(acc, F.substring(p, 1, 1), F.substring(p, 2, 9)))
+    has_rare = lowered.rlike(_ranges([ord(a) for a, _ in rare]))
     folded = F.translate(F.when(has_rare, expand).otherwise(lowered), frm, to)
     return F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(folded)
 

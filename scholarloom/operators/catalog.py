@@ -79,7 +79,7 @@ def base_papers(t: Tables) -> DataFrame:
         "published_at",
     )
     records = t["records"].select("record_id", "source_key", "observed_at", "updated_at_upstream")
-    sources = F.broadcast(t["sources"].select("source_key", "display_name", "trust_tier"))
+    sources = t["sources"].select("source_key", "display_name", "trust_tier")
     return (
         works.join(versions, "current_version_id").join(records, "record_id").join(sources, "source_key")
         .withColumn("publication_date", F.coalesce("published_at", "first_published_at"))

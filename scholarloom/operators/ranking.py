@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarloom import settings
@@ -158,29 +158,22 @@ def tiered_selection(t: Tables, day_start: Column, limit: int = 3) -> DataFrame:
     """
     scores = t["results"].filter("score_kind = 'deep_dive_priority'").select("work_id", "total_score")
     deep = t["runs"].filter("analysis_type = 'deep_dive'")
-    done = deep.filter((F.col("status") == "succeeded") & (F.col("created_at") >= day_start)).orderBy(
-        F.col("completed_at").desc(), F.col("run_id").desc()).limit(limit)
-    retry = t["jobs"].filter(F.col("status").isin("failed", "rejected")).join(scores, "work_id").orderBy(
-        F.col("total_score").desc(), "updated_at", "job_id").limit(limit)
+    done = deep.filter((F.col("status") == "succeeded") & (F.col("created_at") >= day_start))
+    retry = t["jobs"].filter(F.col("status").isin("failed", "rejected")).join(scores, "work_id")
     parsed = t["documents"].filter(F.col("parse_status").isin(settings.PARSED_STATES)).join(
         t["spans"].select("document_id"), "document_id", "left_semi").select(F.col("version_id").alias("current_version_id"))
     backed = t["works"].join(parsed, "current_version_id", "left_semi").select("work_id")
-    best = scores.join(backed, "work_id", "left_semi").orderBy(F.col("total_score").desc(), "work_id").limit(limit)
-
-    def tier(rows: DataFrame, number: int, place: list[Column]) -> DataFrame:
-        return rows.select("work_id", F.lit(number).alias("tier"), F.struct(*place).alias("_p"))
-
-    # Ranks are computed on at most ``limit`` rows per tier.
-    micros = F.unix_micros
-    out = None
-    for number, (rows, a, b, c) in enumerate([
-        (done, -micros(F.col("completed_at").cast("timestamp")).cast("double"), F.lit(""), -F.col("run_id").cast("double")),
-        (retry, -F.col("total_score"), F.col("updated_at").cast("string"), F.col("job_id").cast("double")),
-        (best, -F.col("total_score"), F.col("work_id"), F.lit(0.0)),
-    ], 1):
-        part = tier(rows, number, [a.alias("a"), b.alias("b"), c.alias("c")])
-        out = part if out is None else out.unionByName(part)
-    first = out.groupBy("work_id").agg(F.min(F.struct("tier", "_p")).alias("s"))
+    best = scores.join(backed, "work_id", "left_semi")
+
+    def tier(rows: DataFrame, number: int, *order: Column) -> DataFrame:
+        # The window ranks the few rows the limit leaves.
+        top = rows.orderBy(*order).limit(limit)
+        return top.select("work_id", F.lit(number).alias("tier"), F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+    tiers = tier(done, 1, F.col("completed_at").desc(), F.col("run_id").desc()).unionByName(
+        tier(retry, 2, F.col("total_score").desc(), F.col("updated_at"), F.col("job_id"))).unionByName(
+        tier(best, 3, F.col("total_score").desc(), F.col("work_id")))
+    first = tiers.groupBy("work_id").agg(F.min(F.struct("tier", "place")).alias("s"))
     return first.orderBy("s").limit(limit).select("work_id", F.col("s.tier").alias("tier"))
 
 

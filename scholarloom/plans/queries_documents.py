@@ -357,7 +357,7 @@ def f16(t):
 @query("f18_tier_quality", "SELECT record_id, round((CASE trust_tier WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.75 WHEN 'C' THEN 0.5 ELSE 0.25 END) * CASE WHEN record_id % 2 = 0 THEN 0.9 ELSE 1.0 END, 6) AS quality FROM records JOIN sources USING (source_key)")
 def f18(t):
     status = F.when(F.col("record_id") % 2 == 0, "preprint").otherwise("accepted")
-    return t["records"].join(F.broadcast(t["sources"]), "source_key").select("record_id", F.round(tier_quality(F.col("trust_tier"), status), 6).alias("quality"))
+    return t["records"].join(t["sources"], "source_key").select("record_id", F.round(tier_quality(F.col("trust_tier"), status), 6).alias("quality"))
 
 
 @query("f19_comparison_form", f"SELECT span_id, trim(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')), ' .,:;-') AS form FROM spans")

@@ -35,7 +35,8 @@ def normalize_posts(landed: DataFrame, allowed_hosts: list[str], kind: str = "of
         F.coalesce(_element(xml, "description"), _element(xml, "summary"), _element(xml, "content")).alias("_body"),
     )
     text = F.concat_ws(" ", "_title", "_body")
-    papers = paper_mentions(text)
+    read = read.withColumn("_papers", paper_mentions(text))
+    papers = F.col("_papers")
     video = F.col("source_key") == VIDEO_SOURCE
     url = F.col("canonical_url")
     fields = {

@@ -21,7 +21,8 @@ def normalize_notes(landed: DataFrame) -> DataFrame:
     """Papers from review notes. Blind notes keep no author; acceptance needs a public decision."""
     read = landed.withColumn("note", F.try_parse_json(payload_text()))
     note = F.col("note")
-    title, abstract = _field(note, "title"), _field(note, "abstract")
+    read = read.withColumns({"_title": _field(note, "title"), "_abstract": _field(note, "abstract")})
+    title, abstract = F.col("_title"), F.col("_abstract")
     venue = F.coalesce(_field(note, "venue"), _field(note, "venueid"))
     decision = _field(note, "decision")
     wrapped = json_kind(note, "$.content.authors.value").startswith("ARRAY")
@@ -34,7 +35,8 @@ def normalize_notes(landed: DataFrame) -> DataFrame:
     public = F.transform(names, lambda n: F.when(~casefold(n).contains("anonymous"), n))
     outcome = casefold(F.concat_ws(" ", venue, decision))
     text = F.concat_ws(" ", title, abstract)
-    papers = paper_mentions(text)
+    read = read.withColumn("_papers", paper_mentions(text))
+    papers = F.col("_papers")
     own = F.array(identity("openreview", F.col("upstream_id"), F.col("upstream_id")))
     fields = {
         "source_key": F.lit("openreview"),

@@ -22,9 +22,8 @@ ROOT = "https://arxiv.org/abs/"
 
 def _parsed(payloads: DataFrame) -> DataFrame:
     options = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}
-    return payloads.withColumn("entry", F.from_xml(payload_text(), ENTRY, options)).withColumn(
-        "paper", normalized_identity(F.lit("arxiv"), F.coalesce(clean(F.col("entry.id")), F.lit("")))
-    )
+    read = payloads.withColumn("entry", F.from_xml(payload_text(), ENTRY, options)).withColumn("_id", clean(F.col("entry.id")))
+    return read.withColumn("paper", normalized_identity(F.lit("arxiv"), F.coalesce("_id", F.lit(""))))
 
 
 def landing_identity(payloads: DataFrame) -> DataFrame:
@@ -44,20 +43,22 @@ def landing_identity(payloads: DataFrame) -> DataFrame:
 def normalize_papers(landed: DataFrame) -> DataFrame:
     """Papers from landed Atom entries. A DOI that does not parse is dropped, not the record."""
     read = _parsed(landed)
-    raw_doi = clean(F.col("entry.doi"))
+    read = read.withColumns({
+        "_doi": clean(F.col("entry.doi")), "_summary": clean(F.col("entry.summary")), "_comment": clean(F.col("entry.comment"))})
+    raw_doi = F.col("_doi")
     doi = normalized_identity(F.lit("doi"), F.coalesce(raw_doi, F.lit("")))
     stable = F.col("paper.normalized_value")
     published = iso_timestamp(F.col("entry.published"), strict=True)
     identities = F.filter(
         F.array(
-            identity("arxiv", clean(F.col("entry.id")), stable), identity("doi", raw_doi, doi["normalized_value"])
+            identity("arxiv", F.col("_id"), stable), identity("doi", raw_doi, doi["normalized_value"])
         ),
         lambda i: i["normalized_value"].isNotNull(),
     )
     links = F.filter(
         "entry.link", lambda k: (k["_title"] == "pdf") | (k["_type"] == "application/pdf")
     )
-    summary, comment = clean(F.col("entry.summary")), clean(F.col("entry.comment"))
+    summary, comment = F.col("_summary"), F.col("_comment")
     slots = F.transform("entry.author", lambda a: clean(a["name"]))
     fields = {
         "source_key": F.lit("arxiv"),

@@ -89,7 +89,6 @@ def finish(
     ``problem`` is why the payload could not be read. ``rules`` are (violated, message) pairs over
     the output columns. Bad rows are kept beside the good ones, so that one never blocks another.
     """
-    fields = {**fields, "normalized_title": normal_form(fields["title"])}
     missing = {name: F.lit(None).cast(kind) for name, kind in COLUMNS.items() if name not in fields}
     arrays = {n for n, k in COLUMNS.items() if k.startswith("array")}
     columns = []
@@ -97,6 +96,7 @@ def finish(
         value = fields.get(name, missing.get(name)).cast(kind)
         columns.append((F.coalesce(value, F.array().cast(kind)) if name in arrays else value).alias(name))
     read = frame.select(*columns, *[c for c in CARRIED if c in frame.columns], problem.alias("_problem"))
+    read = read.withColumn("normalized_title", normal_form(F.col("title")))
     problem_found = F.coalesce(
         F.col("_problem"), F.when(F.col("title").isNull(), "missing title"),
         F.when(F.col("normalized_title").isNull(), "title is empty after normalization"),

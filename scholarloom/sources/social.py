@@ -35,8 +35,10 @@ def normalize_social(landed: DataFrame) -> DataFrame:
     """Posts whose title is their first 160 characters and whose body is the whole text."""
     read = landed.withColumn("doc", F.try_parse_json(payload_text()))
     doc = F.col("doc")
-    text = F.when(json_kind(doc, "$.text") != "VOID", F.try_variant_get(doc, "$.text", "string"))
-    papers = paper_mentions(text)
+    read = read.withColumn("_text", F.when(json_kind(doc, "$.text") != "VOID", F.try_variant_get(doc, "$.text", "string")))
+    text = F.col("_text")
+    read = read.withColumn("_papers", paper_mentions(text))
+    papers = F.col("_papers")
     url = F.col("canonical_url")
     fields = {
         "source_key": F.lit("x-watchlist"),
