@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -773,7 +772,7 @@ def j7(t):
 def t1(t):
     """Streams the documents file into a table; copies within and across batches are stored once."""
     spark = t.spark
-    folder = tempfile.mkdtemp(prefix="ingest-", dir=shared_dir(spark)) if "://" not in shared_dir(spark) else f"{shared_dir(spark)}/ingest-{os.urandom(8).hex()}"
+    folder = f"{shared_dir(spark)}/ingest-{os.urandom(8).hex()}"
     table = f"{folder}/table"
 
     def prepare(batch: DataFrame) -> DataFrame:
