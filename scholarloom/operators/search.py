@@ -31,14 +31,9 @@ def search_documents(works: DataFrame, authors: DataFrame, work_topics: DataFram
 
 def search_terms(documents: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(term, field, entity_id): the inverted frame. Write it sorted by term, so prefixes prune files."""
-    parts = [
-        documents.select(F.col(key).alias("entity_id"), F.lit(f).alias("field"), F.explode(search_tokens(F.col(f))).alias("term"))
-        for f in fields
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
+    rows = documents.select(F.col(key).alias("entity_id"), F.explode(texts).alias("t"))
+    return rows.select("entity_id", "t.field", F.explode(search_tokens(F.col("t.text"))).alias("term"))
 
 
 def query_tokens(text: str) -> list[str]:
