@@ -99,7 +99,7 @@ r AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i,
 b AS (SELECT d.doc_id, host, s, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
              len(list_filter(s, lambda x: trim(x, BLANKS) <> '')) - len(list_distinct(list_filter(s, lambda x: trim(x, BLANKS) <> ''))) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
       FROM d LEFT JOIN r USING (doc_id)),
-l AS (SELECT doc_id, host, lower(regexp_replace(trim(line, BLANKS), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM (SELECT doc_id, host, unnest(s) AS line FROM d)),
+l AS (SELECT doc_id, host, lower(trim(line, BLANKS)) AS line FROM (SELECT doc_id, host, unnest(s) AS line FROM d)),
 hosts AS (SELECT host, count(DISTINCT doc_id) AS docs FROM d GROUP BY host),
 common AS (SELECT host, line FROM l JOIN hosts USING (host) WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT doc_id) > 100 AND count(DISTINCT doc_id) > 0.01 * max(docs)),
 rest AS (SELECT doc_id FROM l LEFT JOIN (SELECT host, line, true AS common FROM common) USING (host, line) WHERE line <> ''

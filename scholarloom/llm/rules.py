@@ -31,6 +31,31 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def words_of(text: Column) -> Column:
+    """Words between blanks. Texts whose only blanks are spaces and line ends, nearly all, are split without a regular expression."""
+    rare = F.lit(False)
+    for blank in "\t\x0b\x0c\r":
+        rare = rare | F.contains(text, F.lit(blank))
+    return F.array_remove(F.when(rare, F.split(text, BLANKS)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")), "")
+
+
+def window_hashes(words: Column, window: int) -> Column:
+    """64-bit hash of every run of ``window`` words, from hashes of shorter runs: arrays are walked side by side, never by index."""
+    def joined(left: Column, right: Column, by: int) -> Column:
+        """Hash of ``left`` at each place with ``right`` at ``by`` places on."""
+        n = F.size(right) - by
+        return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(by + 1), n), lambda a, b: F.xxhash64(a, b))
+
+    def grow(ones: Column, run: Column, size: int) -> Column:
+        if size == window:
+            return run
+        if 2 * size <= window:
+            return bound(joined(run, run, size), lambda longer: grow(ones, longer, 2 * size))
+        return bound(joined(run, ones, size), lambda longer: grow(ones, longer, size + 1))
+
+    return bound(F.transform(words, lambda word: F.xxhash64(word)), lambda ones: grow(ones, ones, 1))
+
+
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words within a window of ``window`` words that occurs twice or more in ``words``, the first occurrence included.
 
@@ -51,15 +76,14 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), bound(pairs, repeated)).otherwise(F.lit(0).cast("long"))
 
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - window), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
-    return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(bound(hashes, told))
+    return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(bound(window_hashes(words, window), told))
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, any others) with the base measures and ``base_failed``; the text is left out."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rest = [c for c in docs.columns if c != "text"]
-    cut = docs.select(*rest, text.alias("text"), F.array_remove(F.split(text, BLANKS), "").alias("words"))
+    cut = docs.select(*rest, text.alias("text"), words_of(text).alias("words"))
     filled = F.filter(F.split("text", "\n"), lambda line: F.length(F.btrim(line, F.lit(TRIMMED))) > 0)
     told = cut.select(
         *rest, F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -72,7 +96,7 @@ def measures(docs: DataFrame) -> DataFrame:
 def depleted(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
     """Ids of documents of whose characters in lines less than ``left`` is outside lines above the host's limit."""
     own = docs.select(document_id().alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    normal = F.transform(F.split("text", "\n"), lambda line: F.lower(F.regexp_replace(F.btrim(line, F.lit(TRIMMED)), BLANKS, " ")))
+    normal = F.transform(F.split("text", "\n"), lambda line: F.lower(F.btrim(line, F.lit(TRIMMED))))
     lines = own.select("doc_id", "host", F.explode(F.transform(F.filter(normal, lambda line: line != ""), lambda line: F.struct(F.xxhash64(line).alias("line"), F.length(line).alias("size")))).alias("l"))
     lines = lines.select("doc_id", "host", "l.line", "l.size").groupBy("host", "line", "doc_id").agg(F.sum("size").alias("size"))
     hosts = own.groupBy("host").agg(F.count_distinct("doc_id").alias("docs"))
