@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarloom.llm import bpe, lines, phrases, quality, rules, simhash, superkmer, urls
+from scholarloom.llm import bpe, licences, lines, phrases, pseudo, quality, rules, simhash, superkmer, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +62,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op4_pseudo_likelihood")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 @query("op5_simhash_blocks")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -79,6 +84,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.kept_digests(table(spark, sf_dir, "documents"))
 
 
+@query("op7_license_inheritance")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: source, language and a number are the directories; every fiftieth file is a licence file."""
+    doc = F.col("doc_id")
+    name = F.when(doc % 50 == 0, F.concat(F.lit("LICENSE-"), doc)).otherwise(F.concat(F.lit("f"), doc, F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", (F.crc32(doc.cast("string").cast("binary")) % 8).cast("string"), name).alias("path"), "text")
+    return licences.inherited(licences.own_licences(files))
+
+
 @query("op8_superkmer_dedup", r"""
 WITH d AS (SELECT doc_id, WORDS AS w FROM documents),
 g AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
