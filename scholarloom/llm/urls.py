@@ -53,8 +53,9 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     """(name, verdict) of the longest rule that fits; null where none does."""
     longest = sorted(rules, key=lambda r: (-len(r.name), r.name))
     fits = [((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path) for r in longest]
-    return (F.coalesce(*[F.when(f, F.lit(r.name)) for f, r in zip(fits, longest, strict=True)]),
-            F.coalesce(*[F.when(f, F.lit(r.verdict)) for f, r in zip(fits, longest, strict=True)]))
+    none = F.lit(None).cast("string")
+    return (F.coalesce(*[F.when(f, F.lit(r.name)) for f, r in zip(fits, longest, strict=True)], none),
+            F.coalesce(*[F.when(f, F.lit(r.verdict)) for f, r in zip(fits, longest, strict=True)], none))
 
 
 def entropy(text: Column) -> Column:
