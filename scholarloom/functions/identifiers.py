@@ -34,7 +34,7 @@ def _review(raw: Column) -> tuple[Column, Column]:
     host = F.lower(F.regexp_extract(raw, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     query = F.regexp_extract(raw, r"^[^?#]*\?([^#]*)", 1)
     ids = F.filter(F.split(query, "&"), lambda p: p.rlike("^id=."))
-    one = F.try_url_decode(F.replace(F.substring(ids[0], 4, 10_000), F.lit("+"), F.lit(" ")))
+    one = F.try_url_decode(F.replace(F.substring(ids[0], F.lit(4), F.length(ids[0])), F.lit("+"), F.lit(" ")))
     value = F.when(~is_url, raw).otherwise(F.when(F.size(ids) == 1, one))
     reason = (
         F.when(is_url & ~host.isin(settings.REVIEW_HOSTS), "foreign host")

@@ -21,7 +21,7 @@ def repository_mentions(text: Column) -> Column:
     home = "https://github.com/"
 
     def canonical(url: Column) -> Column:
-        return F.concat(F.lit(home), F.regexp_replace(F.substring(url, len(home) + 1, 4_096), r"\.git$", ""))
+        return F.concat(F.lit(home), F.regexp_replace(F.substring(url, F.lit(len(home) + 1), F.length(url)), r"\.git$", ""))
 
     return F.array_distinct(F.transform(_all(text, settings.REPOSITORY_MENTION, 0), canonical))
 

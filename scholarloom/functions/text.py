@@ -140,6 +140,12 @@ def _accent_tables() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
+def fold_accents_text(text: str) -> str:
+    """The same folding for a text at hand, such as a query."""
+    bare = "".join(c for c in text if unicodedata.category(c) != "Mn")
+    return bare.translate(str.maketrans(*_accent_tables()))
+
+
 def fold_accents(text: Column) -> Column:
     frm, to = _accent_tables()
     return F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), frm, to)

@@ -148,16 +148,16 @@ def brief_quality(briefs: DataFrame) -> DataFrame:
     limitations = F.transform(b["limitations"], comparison_form)
     claims = F.transform(b["claims"], lambda c: comparison_form(c["text"]))
     return briefs.withColumn("quality_error", (
-        F.when(F.array_contains(values, "") | ~_all_distinct(values), "brief fields are empty or repeated")
-        .when(F.array_contains(values, comparison_form(F.col("title"))), "brief repeats the title")
-        .when(~_all_distinct(limitations), "brief limitations are repeated")
-        .when(~_all_distinct(claims), "brief claims are repeated")))
+        F.when(F.array_contains(values, "") | ~_all_distinct(values), "NARRATIVE_NOT_DISTINCT")
+        .when(F.array_contains(values, comparison_form(F.col("title"))), "NARRATIVE_IS_TITLE")
+        .when(~_all_distinct(limitations), "LIMITATIONS_NOT_DISTINCT")
+        .when(~_all_distinct(claims), "CLAIMS_NOT_DISTINCT")))
 
 
 def deep_quality(reports: DataFrame) -> DataFrame:
     """Adds ``quality_error``: the five sections must differ."""
     sections = F.array(*[comparison_form(F.col("report")[s]["markdown"]) for s in SECTIONS])
-    return reports.withColumn("quality_error", F.when(~_all_distinct(sections), "deep report sections are repeated"))
+    return reports.withColumn("quality_error", F.when(~_all_distinct(sections), "SECTIONS_NOT_DISTINCT"))
 
 
 def claim_rows(outputs: DataFrame, column: str) -> DataFrame:
@@ -204,11 +204,11 @@ def verify_citations(
     per_claim = cited.join(known, ["run_id", "span_id"], "left").groupBy("run_id", "claim_no").agg(
         F.count("*").alias("n"), F.count_if(F.col("_known").isNull()).alias("foreign"))
     checked = claims.join(per_claim, ["run_id", "claim_no"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    failure = F.when(F.col("foreign") > 0, F.struct("claim_no", F.lit(1).alias("c"), F.lit("claim references unavailable evidence").alias("r")))
-    failure = failure.when(factual & (F.col("n") == 0), F.struct("claim_no", F.lit(2).alias("c"), F.lit("factual claim is unsupported").alias("r")))
+    failure = F.when(F.col("foreign") > 0, F.struct("claim_no", F.lit(1).alias("c"), F.lit("FOREIGN_EVIDENCE").alias("r")))
+    failure = failure.when(factual & (F.col("n") == 0), F.struct("claim_no", F.lit(2).alias("c"), F.lit("UNCITED_CLAIM").alias("r")))
     if deep:
         failure = failure.when(factual & (F.col("verification_status") == "unsupported"), F.struct(
-            "claim_no", F.lit(3).alias("c"), F.lit("unsupported factual claim was not refused").alias("r")))
+            "claim_no", F.lit(3).alias("c"), F.lit("UNREFUSED_CLAIM").alias("r")))
     per_run = checked.groupBy("run_id").agg(
         F.min(failure).alias("_failure"), F.count_if(needed).alias("_required"),
         F.count_if(needed & (F.col("n") > 0)).alias("_supported"), F.sum("n").alias("citations_verified"))
@@ -222,11 +222,11 @@ def verify_citations(
     required = F.coalesce("_required", F.lit(0))
     coverage = F.when(required == 0, 1.0).otherwise(F.col("_supported") / F.col("_required"))
     reason = (
-        F.when(~F.col("identity_matches"), "report work identity does not match")
-        .when(~F.col("metadata_matches"), "report metadata does not match")
-        .when(F.col("_dangling"), "section references an unknown claim")
+        F.when(~F.col("identity_matches"), "IDENTITY_MISMATCH")
+        .when(~F.col("metadata_matches"), "METADATA_MISMATCH")
+        .when(F.col("_dangling"), "DANGLING_CLAIM_REFERENCE")
         .when(F.col("_failure").isNotNull(), F.col("_failure.r"))
-        .when(coverage < threshold, "claim citation coverage is too low"))
+        .when(coverage < threshold, "COVERAGE_BELOW_THRESHOLD"))
     return joined.select("run_id", coverage.alias("citation_coverage"),
                          F.coalesce("citations_verified", F.lit(0)).alias("citations_verified"), reason.alias("reason"))
 

@@ -78,24 +78,26 @@ def upsert_artifacts(sightings: DataFrame, as_of: Column, existing: DataFrame |
     """One artifact per (source_key, upstream_id): newest content, first type and publication date.
 
     ``sightings`` must carry ``arrival`` (a total order). Novelty is 1 on the first sight and 0 after.
-    Existing artifacts count as seen before, whatever their arrival.
+    Existing artifacts count as seen before, whatever their arrival; one that is not seen again keeps its novelty and sightings.
     """
     keys = ["source_key", "upstream_id"]
     kept = ["artifact_type", "published_at"]
     fresh = ["record_id", "source_type", "title", "summary", "canonical_url", "content_class", "authority", "updated_at"]
-    rows = sightings.select(*keys, *kept, *fresh, "observed_at", F.lit(1).alias("_age"), "arrival")
+    rows = sightings.select(*keys, *kept, *fresh, "observed_at", F.lit(1).alias("_age"), "arrival", F.lit(1).cast("long").alias("_seen"), F.lit(None).cast("double").alias("_novelty"))
     rows = rows.withColumn("freshness", linear_freshness(as_of, F.col("updated_at"), F.col("published_at"), F.col("observed_at")))
     if existing is not None:
         old = existing.select(*keys, *kept, *fresh, "freshness", F.lit(None).cast(rows.schema["observed_at"].dataType).alias("observed_at"),
-                              F.lit(0).alias("_age"), F.lit(None).cast(rows.schema["arrival"].dataType).alias("arrival"))
+                              F.lit(0).alias("_age"), F.lit(None).cast(rows.schema["arrival"].dataType).alias("arrival"),
+                              F.col("sightings").cast("long").alias("_seen"), F.col("novelty").cast("double").alias("_novelty"))
         rows = rows.unionByName(old)
     order = F.struct("_age", "arrival")
     first = F.min_by(F.struct(*kept), order)
     last = F.max_by(F.struct(*fresh, "freshness"), order)
-    merged = rows.groupBy(*keys).agg(first.alias("_first"), last.alias("_last"), F.count("*").alias("sightings"))
+    merged = rows.groupBy(*keys).agg(first.alias("_first"), last.alias("_last"), 
+        F.sum("_seen").alias("sightings"), F.max("_age").alias("_age"), F.max("_novelty").alias("_novelty"))
     return merged.select(
         stable_key(F.col("source_key"), F.col("upstream_id")).alias("artifact_id"), *keys, "_first.*", "_last.*",
-        F.when(F.col("sightings") == 1, 1.0).otherwise(0.0).alias("novelty"), "sightings")
+        F.when(F.col("_age") == 0, F.col("_novelty")).when(F.col("sightings") == 1, 1.0).otherwise(0.0).alias("novelty"), "sightings")
 
 
 def link_rows(records: DataFrame) -> DataFrame:

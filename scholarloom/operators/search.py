@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarloom.functions.text import search_tokens
+from scholarloom.functions.text import fold_accents_text, search_tokens
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -38,7 +37,7 @@ def search_terms(documents: DataFrame, key: str, fields: list[str]) -> DataFrame
 
 def query_tokens(text: str) -> list[str]:
     """Distinct folded tokens of a query; an error when there are none."""
-    folded = "".join(c for c in unicodedata.normalize("NFD", text.casefold()) if not unicodedata.combining(c))
+    folded = fold_accents_text(text.casefold())
     tokens = list(dict.fromkeys(_TOKEN.findall(folded)))
     if not tokens:
         raise ValueError("the search text has no searchable token")

@@ -394,7 +394,6 @@ _HTML_TEXTS = f"""(SELECT host, page, block, text FROM (SELECT host, page, block
 _SEGMENTS = rf"""(SELECT *, last_value(CASE WHEN regexp_matches(text, '^(?:\d+(?:\.\d+)*\s+)?[A-Z][A-Za-z0-9 ,:()/-]{{2,80}}$') AND len(string_split(text, ' ')) <= 12 THEN text END IGNORE NULLS)
     OVER (PARTITION BY host ORDER BY page, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_path,
     coalesce(sum(length(text) + 1) OVER (PARTITION BY host, page ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start FROM {_HTML_TEXTS})"""
-ALL_PAGES = 2**31 - 1
 
 
 def _html_pages(t) -> DataFrame:
@@ -407,7 +406,7 @@ def _html_pages(t) -> DataFrame:
 
 @query("d1_segment_html", f"SELECT host, page, block, char_start, char_start + length(text) AS char_end, text, section_path FROM {_SEGMENTS}")
 def d1(t):
-    rows = evidence.segment(_html_pages(t), max_pages=ALL_PAGES, max_page_chars=ALL_PAGES)
+    rows = evidence.segment(_html_pages(t))
     return rows.select(F.col("document_id").alias("host"), "page", "block", "char_start", "char_end", "text", "section_path")
 
 
@@ -415,7 +414,7 @@ def d1(t):
     last_value(CASE WHEN regexp_matches(text, '^(?:\d+(?:\.\d+)*\s+)?[A-Z][A-Za-z0-9 ,:()/-]{{2,80}}$') AND len(string_split(text, ' ')) <= 12 THEN text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_path
     FROM (SELECT document_id, page, block, {sql_collapse('raw')} AS text FROM lines) WHERE text <> ''""")
 def w7(t):
-    return evidence.segment(t["text_pages"], max_pages=ALL_PAGES, max_page_chars=ALL_PAGES).select("document_id", "page", "block", "text", "char_start", "section_path")
+    return evidence.segment(t["text_pages"]).select("document_id", "page", "block", "text", "char_start", "section_path")
 
 
 _TRIAGE = f"""(SELECT p.host, p.page, images, coalesce(n, 0) AS n FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, page_id AS page,
@@ -427,7 +426,7 @@ _TRIAGE = f"""(SELECT p.host, p.page, images, coalesce(n, 0) AS n FROM (SELECT r
     CASE WHEN n = 0 THEN CASE WHEN images > 0 THEN 'ocr_required' ELSE 'empty' END WHEN n < 2000 THEN 'suspicious' ELSE 'native_text' END AS extraction_class FROM {_TRIAGE}""")
 def d2(t):
     """The threshold is raised, so that both classes occur in this corpus."""
-    rows = evidence.page_triage(_html_pages(t), suspicious=2000, max_pages=ALL_PAGES)
+    rows = evidence.page_triage(_html_pages(t), suspicious=2000)
     return rows.select(F.col("document_id").alias("host"), "page", "native_character_count", "image_count", "extraction_class")
 
 
@@ -435,7 +434,7 @@ def d2(t):
 def d3(t):
     pages = _html_pages(t)
     counts = pages.groupBy("document_id").agg(F.count("*").alias("page_count"))
-    rows = evidence.document_outcome(evidence.page_triage(pages, max_pages=ALL_PAGES), counts, max_pages=5)
+    rows = evidence.document_outcome(evidence.page_triage(pages), counts, max_pages=5)
     return rows.withColumnRenamed("document_id", "host")
 
 
@@ -470,13 +469,14 @@ def d5_stored(t):
 
 
 @query("w6_evidence_packing", """SELECT version_id, span_id, place, slot FROM (SELECT *, row_number() OVER w AS slot, sum(least(length(text), 1800)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chars FROM (
-    SELECT *, count(*) OVER (PARTITION BY version_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY page, char_start, span_id) AS place FROM spans) WHERE place <= 600)
+    SELECT *, count(*) OVER (PARTITION BY version_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY page, char_start, span_id) AS place FROM spans))
     WHERE (place - 1) % greatest(1, n // 28) = 0 WINDOW w AS (PARTITION BY version_id ORDER BY place)) WHERE chars <= 20000 AND slot <= 28""")
 def w6(t):
     return evidence.pack_evidence(t["spans"]).select("version_id", "span_id", "place", "slot")
 
 
-@query("a14_evidence_fingerprint", "SELECT version_id, sha256(version_id || '|' || string_agg(text_sha256, '|' ORDER BY span_id)) AS evidence_fingerprint FROM spans GROUP BY 1")
+@query("a14_evidence_fingerprint", """SELECT version_id, sha256(version_id || '|' || string_agg(h, '|' ORDER BY c)) AS evidence_fingerprint FROM (
+    SELECT version_id, substr(span_id, 1, 2) AS c, sha256(string_agg(text_sha256, '|' ORDER BY span_id)) AS h FROM spans GROUP BY 1, 2) GROUP BY 1""")
 def a14(t):
     return evidence.evidence_fingerprint(t["spans"])
 
@@ -484,7 +484,7 @@ def a14(t):
 @query("a14_chunked_fingerprint", """SELECT version_id, sha256(version_id || '|' || string_agg(h, '|' ORDER BY c)) AS evidence_fingerprint FROM (
     SELECT version_id, substr(span_id, 1, 1) AS c, sha256(string_agg(text_sha256, '|' ORDER BY span_id)) AS h FROM spans GROUP BY 1, 2) GROUP BY 1""")
 def a14_chunked(t):
-    return evidence.evidence_fingerprint(t["spans"], row_limit=0, digits=1)
+    return evidence.evidence_fingerprint(t["spans"], digits=1)
 
 
 @query("w5_revision_order", "SELECT doc_id, row_number() OVER (ORDER BY doc_id // 4, doc_id % 3, doc_id) - 1 AS pos FROM documents")
@@ -537,14 +537,14 @@ def g1_outdated(t):
     return gates.outdated_outputs(gates.read_briefs(_brief_outputs(t))).groupBy("shown_status").agg(F.count("*").alias("n"))
 
 
-@query("g2_brief_quality", f"""SELECT doc_id AS run_id, CASE WHEN doc_id % 21 = 0 THEN 'brief fields are empty or repeated' WHEN trim(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' .,:;-') = '' THEN 'brief fields are empty or repeated'
-    ELSE 'brief repeats the title' END AS quality_error FROM {_B}""")
+@query("g2_brief_quality", f"""SELECT doc_id AS run_id, CASE WHEN doc_id % 21 = 0 THEN 'NARRATIVE_NOT_DISTINCT' WHEN trim(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' .,:;-') = '' THEN 'NARRATIVE_NOT_DISTINCT'
+    ELSE 'NARRATIVE_IS_TITLE' END AS quality_error FROM {_B}""")
 def g2(t):
     """The change text of these briefs is the title, so every brief fails one of the first two rules."""
     return gates.brief_quality(gates.read_briefs(_brief_outputs(t))).select("run_id", "quality_error")
 
 
-@query("g2_limitations", """SELECT doc_id AS run_id, CASE WHEN doc_id % 21 = 0 THEN 'brief fields are empty or repeated' WHEN doc_id % 14 = 0 AND doc_id % 29 <> 0 THEN 'brief limitations are repeated' END AS quality_error FROM documents WHERE length(regexp_replace(split_part(text, chr(10), 1), '[ .,:;-]', '', 'g')) > 0""")
+@query("g2_limitations", """SELECT doc_id AS run_id, CASE WHEN doc_id % 21 = 0 THEN 'NARRATIVE_NOT_DISTINCT' WHEN doc_id % 14 = 0 AND doc_id % 29 <> 0 THEN 'LIMITATIONS_NOT_DISTINCT' END AS quality_error FROM documents WHERE length(regexp_replace(split_part(text, chr(10), 1), '[ .,:;-]', '', 'g')) > 0""")
 def g2_limits(t):
     rows = gates.read_briefs(_brief_outputs(t)).filter(F.length(F.regexp_replace("title", "[ .,:;-]", "")) > 0)
     return gates.brief_quality(rows.withColumn("title", F.lit("another title"))).select("run_id", "quality_error")
@@ -598,12 +598,12 @@ def g1_deep(t):
     return _reports(t).select("run_id", listed("reasons").alias("reasons"))
 
 
-@query("g2_deep_quality", "SELECT doc_id AS run_id, CASE WHEN doc_id % 31 = 0 THEN 'deep report sections are repeated' END AS quality_error FROM documents")
+@query("g2_deep_quality", "SELECT doc_id AS run_id, CASE WHEN doc_id % 31 = 0 THEN 'SECTIONS_NOT_DISTINCT' END AS quality_error FROM documents")
 def g2_deep(t):
     return gates.deep_quality(_reports(t)).select("run_id", "quality_error")
 
 
-@query("g3_deep_citations", """SELECT doc_id AS run_id, CASE WHEN doc_id % 43 = 0 THEN 'report metadata does not match' WHEN doc_id % 37 = 0 THEN 'section references an unknown claim' WHEN doc_id % 9 = 0 THEN 'factual claim is unsupported' WHEN doc_id % 10 = 7 THEN 'claim references unavailable evidence' END AS reason,
+@query("g3_deep_citations", """SELECT doc_id AS run_id, CASE WHEN doc_id % 43 = 0 THEN 'METADATA_MISMATCH' WHEN doc_id % 37 = 0 THEN 'DANGLING_CLAIM_REFERENCE' WHEN doc_id % 9 = 0 THEN 'UNCITED_CLAIM' WHEN doc_id % 10 = 7 THEN 'FOREIGN_EVIDENCE' END AS reason,
     CASE WHEN doc_id % 9 = 0 THEN 0.0 ELSE 1.0 END AS citation_coverage, 2 - CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS citations_verified FROM documents""")
 def g3_deep(t):
     rows = _reports(t)
@@ -615,9 +615,9 @@ def g3_deep(t):
     return gates.verify_citations(runs, claims, allowed, deep=True, section_refs=gates.report_section_refs(rows)).select("run_id", "reason", "citation_coverage", "citations_verified")
 
 
-@query("g3_brief_citations", """SELECT r.run_id, CASE WHEN f.failure IS NOT NULL THEN f.failure.r WHEN coalesce(req, 0) > 0 AND sup / req < 0.9 THEN 'claim citation coverage is too low' END AS reason,
+@query("g3_brief_citations", """SELECT r.run_id, CASE WHEN f.failure IS NOT NULL THEN f.failure.r WHEN coalesce(req, 0) > 0 AND sup / req < 0.9 THEN 'COVERAGE_BELOW_THRESHOLD' END AS reason,
     round(CASE WHEN coalesce(req, 0) = 0 THEN 1.0 ELSE sup / req END, 6) AS citation_coverage, coalesce(v, 0) AS citations_verified FROM runs r LEFT JOIN (
-    SELECT run_id, min(CASE WHEN foreign_n > 0 THEN {'n': claim_no, 'c': 1, 'r': 'claim references unavailable evidence'} WHEN factual AND n = 0 THEN {'n': claim_no, 'c': 2, 'r': 'factual claim is unsupported'} END) AS failure,
+    SELECT run_id, min(CASE WHEN foreign_n > 0 THEN {'n': claim_no, 'c': 1, 'r': 'FOREIGN_EVIDENCE'} WHEN factual AND n = 0 THEN {'n': claim_no, 'c': 2, 'r': 'UNCITED_CLAIM'} END) AS failure,
         count(CASE WHEN factual THEN 1 END) AS req, count(CASE WHEN factual AND n > 0 THEN 1 END) AS sup, sum(n) AS v FROM (
         SELECT c.run_id, c.claim_no, c.claim_type IN ('fact', 'interpretation') AS factual, count(x.span_id) AS n, count(CASE WHEN x.span_id IS NOT NULL AND a.span_id IS NULL THEN 1 END) AS foreign_n
         FROM claims c LEFT JOIN cites x USING (run_id, claim_no) LEFT JOIN allowed a ON a.run_id = x.run_id AND a.span_id = x.span_id GROUP BY 1, 2, 3) GROUP BY 1) f USING (run_id)""")

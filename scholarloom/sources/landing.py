@@ -12,7 +12,7 @@ EXTENSIONS = {
 }
 
 
-def address(payloads: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+def address(payloads: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Add payload_sha256, byte_size, observed_date, extension and the reason a row cannot be landed."""
     media = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
     size = F.octet_length("payload")
@@ -22,8 +22,9 @@ def address(payloads: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame
         size.alias("byte_size"),
         F.to_date("observed_at").alias("observed_date"),
         F.coalesce(F.try_element_at(media, F.lower("media_type")), F.lit(".bin")).alias("extension"),
-        F.when(~F.col("source_key").rlike("^[a-z0-9][a-z0-9_-]{0,127}$"), "unsafe source key")
-        .when(size > max_bytes, "payload too large").alias("refused"),
+        # Fixed value: the pattern of a source key.
+        F.when(~F.coalesce(F.col("source_key").rlike("^[a-z0-9][a-z0-9_-]{0,127}$"), F.lit(False)), "unsafe source key")
+        .when(F.lit(False) if max_bytes is None else size > max_bytes, "payload too large").alias("refused"),
     )
 
 
@@ -81,7 +82,7 @@ def within_window(records: DataFrame, since: Column, until: Column) -> DataFrame
 
 def route_documents(
     files: DataFrame, *, signature: bytes = b"%PDF-", media_types: tuple[str, ...] = ("application/pdf",),
-    max_bytes: int = 100 * 1024 * 1024,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Content hash, error code and outcome (``succeeded``, ``failed``, ``quarantined``) per fetched file.
 
@@ -92,7 +93,7 @@ def route_documents(
     start = F.substring(F.col("content"), 1, len(signature)) == F.lit(signature)
     code = (
         F.when(~F.coalesce(media.isin(*media_types), F.lit(False)), "INVALID_MEDIA_TYPE")
-        .when(size > max_bytes, "DOCUMENT_TOO_LARGE")
+        .when(F.lit(False) if max_bytes is None else size > max_bytes, "DOCUMENT_TOO_LARGE")
         .when(~start, "INVALID_PDF_SIGNATURE")
     )
     return files.withColumn("sha256", F.sha2("content", 256)).withColumn("byte_size", size).withColumn(

@@ -110,8 +110,7 @@ def finish(
                     .when(invalid, "rejected").otherwise("normalized"))
         .withColumn("error_code", F.when(F.col("_problem").isNotNull(), "NORMALIZATION_FAILED")
                     .when(invalid, "VALIDATION_FAILED"))
-        .withColumn("error_detail", F.substring(
-            F.coalesce("_problem", F.when(invalid, F.array_join("errors", "; "))), 1, 1000))
+        .withColumn("error_detail", F.coalesce("_problem", F.when(invalid, F.array_join("errors", "; "))))
         .drop("_problem")
     )
 

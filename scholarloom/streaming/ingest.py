@@ -27,21 +27,28 @@ def read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def refused_path(table: str) -> str:
+    """Where rows that cannot be landed are kept, with their reason."""
+    return f"{table.rstrip('/')}-refused"
+
+
 def store_batch(batch: DataFrame, batch_id: int, table: str) -> None:
     """Append the rows of a batch that are not stored yet, below the batch id and a hash prefix.
 
     The key columns are compared with the table, payloads are not read back. A replayed batch id
-    overwrites its own folders, so a batch that died half-way leaves nothing twice.
+    overwrites its own folders, so a batch that died half-way leaves nothing twice. Refused rows are stored beside the table with
+    their reason. Rows are gathered by prefix first, so a batch writes at most one file per prefix and task it lands in.
     """
     spark = batch.sparkSession
-    rows, _ = split_refused(address(batch))
+    rows, refused = split_refused(address(batch))
+    refused.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(refused_path(table))
     rows = rows.withColumn("prefix", F.substring("payload_sha256", 1, DIGITS))
     fresh = first_of_key(rows, [*PAYLOAD_KEY], ["observed_at", "upstream_version", "canonical_url"]).drop("sightings")
     key_schema = "source_key string, upstream_id string, payload_sha256 string, prefix string, batch bigint"
     stored = read_stored(spark, table, key_schema).filter(F.col("batch") != batch_id)
     key = ["prefix", *PAYLOAD_KEY]
     new = fresh.join(stored.select(*key), key, "left_anti").withColumn("batch", F.lit(batch_id).cast("bigint"))
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "prefix").parquet(table)
+    new.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "prefix").parquet(table)
 
 
 def ingest_files(

@@ -3,10 +3,11 @@
 import datetime as dt
 import random
 
+
 import pytest
 from pyspark.sql import functions as F
 
-from scholarloom.operators import evidence, gates, linking, reports, topics
+from scholarloom.operators import evidence, gates, linking, reports, search, topics
 from scholarloom.operators.catalog import CatalogQuery, match_reason
 from scholarloom.operators.ordered import carry_forward, global_position, latest_by, next_in_order, sum_before, top_per_key
 from scholarloom.operators.retention import plan_totals, retention_plan
@@ -74,7 +75,7 @@ def test_three_sources_one_event_and_unlink(spark):
     artifacts = linking.upsert_artifacts(rows, F.lit(DAY))
     assert {r["upstream_id"]: r["novelty"] for r in artifacts.collect()} == {"n1": 1.0, "r1": 0.0, "m1": 1.0, "p1": 1.0}
     again = linking.upsert_artifacts(rows.filter("upstream_id = 'm1'"), F.lit(DAY), existing=artifacts)
-    assert {r["upstream_id"]: r["novelty"] for r in again.collect()}["m1"] == 0.0
+    assert {r["upstream_id"]: (r["novelty"], r["sightings"]) for r in again.collect()} == {"m1": (0.0, 2), "n1": (1.0, 1), "r1": (0.0, 2), "p1": (1.0, 1)}
     links = linking.link_rows(rows)
     events, stored = linking.upsert_events(links), linking.upsert_links(links)
     got = {r["canonical_key"]: r for r in linking.event_measures(events, stored, artifacts).collect()}
@@ -128,7 +129,7 @@ def test_first_failing_claim_decides(spark):
     runs = spark.createDataFrame([(i, True, True) for i in (1, 2, 3, 4, 5)], "run_id long, identity_matches boolean, metadata_matches boolean")
     allowed = spark.createDataFrame([(i, "e1") for i in (1, 2, 3, 4)], "run_id long, span_id string")
     got = {r["run_id"]: (r["reason"], r["citation_coverage"], r["citations_verified"]) for r in gates.verify_citations(runs, claims, allowed, deep=True).collect()}
-    assert got == {1: (None, 1.0, 1), 2: ("factual claim is unsupported", 0.5, 1), 3: (None, 1.0, 0), 4: ("unsupported factual claim was not refused", 1.0, 1), 5: (None, 1.0, 0)}
+    assert got == {1: (None, 1.0, 1), 2: ("UNCITED_CLAIM", 0.5, 1), 3: (None, 1.0, 0), 4: ("UNREFUSED_CLAIM", 1.0, 1), 5: (None, 1.0, 0)}
 
 
 def test_daily_report_is_one_row_and_replaces_its_date(spark, tmp_path):
@@ -168,3 +169,19 @@ def test_ingest_is_idempotent_and_accepts_late_files(spark, tmp_path):
     assert run() == ["a", "b"] and run() == ["a", "b"]
     drop("two", "b", "c")
     assert run() == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("text", ["άλφα", "йод", "한국어", "ガイド", "café", "cafe"])
+def test_search_finds_every_script(spark, text):
+    documents = spark.createDataFrame([("w", "ΆΛΦΑ βήτα Йод 한국어 ガイド Café")], "work_id string, title string")
+    terms = search.search_terms(documents, "work_id", ["title"])
+    assert [r["entity_id"] for r in search.matching_ids(terms, text).collect()] == ["w"]
+
+
+def test_late_pages_and_long_texts_stay(spark):
+    pages = spark.createDataFrame([("d", 600, ["x" * 150_000], 0)], "document_id string, page int, blocks array<string>, image_count int")
+    spans = evidence.segment(pages)
+    assert [r["char_end"] for r in spans.collect()] == [150_000]
+    many = spark.range(1_000).select(F.lit("v").alias("version_id"), F.sha2(F.col("id").cast("string"), 256).alias("span_id"), F.col("id").cast("int").alias("page"), F.lit(0).alias("char_start"), F.lit("text").alias("text"), F.lit("h").alias("text_sha256"))
+    places = [r["place"] for r in evidence.pack_evidence(many).orderBy("place").collect()]
+    assert places == list(range(1, 1_000, 35))[:28] and places[-1] > 900
