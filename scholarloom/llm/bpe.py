@@ -2,7 +2,8 @@
 
 A pre-token is a linked list of byte pieces. Every adjacent pair whose join is in the vocabulary waits in the bucket of its
 rank, as the position of its left piece; three levels of 64-bit words mark the buckets in use, so find-first-set gives the
-lowest rank in three steps. Entries whose pair has changed since are skipped. Each merge costs a constant number of queue
+lowest rank in three steps. Entries whose pair has changed since are skipped. Short pre-tokens share one queue and are
+merged a bucket at a time; long ones have a queue of their own, in which each merge costs a constant number of queue
 steps, so a pre-token of a million bytes takes as many steps as a million short ones.
 
 - Null and empty texts: no ids, empty decoded bytes. Special tokens are ordinary text.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from scholarloom.llm.common import small_batches, texts
 
-CACHED = 300_000
-CACHED_BYTES = 64
+CACHED, PAIRS = 300_000, 400_000
+SHORT, TOGETHER = 64, 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -126,34 +128,138 @@ def merged(token: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Ids(dict):
-    """Ids of pre-tokens as little-endian bytes; short pre-tokens are kept, up to ``CACHED`` of them."""
+class PairRanks(dict):
+    """Rank of the join of two tokens, by ``left << 16 | right``; -1 where the vocabulary has none."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes]) -> None:
         super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, token: str) -> bytes:
-        raw = token.encode()
-        found = np.array(merged(raw, self.ranks), "<u4").tobytes()
-        if len(raw) <= CACHED_BYTES:
-            if len(self) >= CACHED:
-                self.clear()
-            self[token] = found
+        self.ranks, self.tokens = ranks, tokens
+
+    def __missing__(self, key: int) -> int:
+        if len(self) >= PAIRS:
+            self.clear()
+        found = self[key] = self.ranks.get(self.tokens[key >> 16] + self.tokens[key & 0xFFFF], -1)
         return found
 
 
+def merged_together(words: list[bytes], ranks: dict[bytes, int], pairs: PairRanks) -> list[bytes]:
+    """Ids of many short pre-tokens as little-endian bytes: one queue and one linked list hold all of them.
+
+    A bucket's positions are merged as arrays, at each visit the leftmost of every pre-token only, so each
+    pre-token sees the same merges in the same order as on its own.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    data, first = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+    n, own = len(data), np.repeat(np.arange(len(words)), sizes)
+    ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)[data]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[first + sizes - 1] = before[first] = -1
+    waits = np.full(n, -1, np.int64)
+    queue = RankQueue()
+    buckets: dict[int, list[np.ndarray]] = queue.buckets
+
+    def push(at: np.ndarray, found: np.ndarray) -> None:
+        waits[at] = found
+        at, found = at[found >= 0], found[found >= 0]
+        if not len(at):
+            return
+        order = np.argsort(found, kind="stable")
+        at, found = at[order], found[order]
+        cuts = np.flatnonzero(np.diff(found, prepend=-1)).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            rank = int(found[lo])
+            if rank in buckets:
+                buckets[rank].append(at[lo:hi])
+            else:
+                buckets[rank] = [at[lo:hi]]
+                queue.mark(rank)
+
+    def joins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (ids[left] << 16 | ids[right]).tolist()
+        return np.fromiter((pairs[k] for k in keys), np.int64, len(keys))
+
+    start = np.flatnonzero(after >= 0)
+    push(start, joins(start, after[start]))
+    while (rank := queue.lowest()) >= 0:
+        held = buckets[rank]
+        at = held[0] if len(held) == 1 else np.sort(np.concatenate(held))
+        at = at[waits[at] == rank]  # the others are stale
+        if len(at) > 1:
+            lead = np.diff(own[at], prepend=-1) != 0
+            rest, at = at[~lead], at[lead]
+        else:
+            rest = at[:0]
+        if len(rest):
+            buckets[rank] = [rest]
+        else:
+            queue.drop(rank)
+        if not len(at):
+            continue
+        right = after[at]
+        following = after[right]
+        ids[at], after[at] = rank, following
+        waits[right] = waits[at] = -1
+        ids[right] = -1
+        more = following >= 0
+        before[following[more]] = at[more]
+        left = before[at]
+        less = left >= 0
+        push(np.concatenate([left[less], at[more]]), joins(np.concatenate([left[less], at[more]]), np.concatenate([at[less], following[more]])))
+    kept = ids >= 0
+    whole, stops = ids[kept].astype("<u4").tobytes(), np.cumsum(np.bincount(own[kept], minlength=len(words))) * 4
+    return [whole[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary; made once in each worker."""
+    """Encoder and decoder of one vocabulary; made once in each worker.
+
+    Ids of short pre-tokens are kept: the ``CACHED`` latest, and as many before them.
+    """
 
     made: dict[str, Codec] = {}
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ids, self.split = Ids(ranks), regex.compile(pattern).findall
+        self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = dict(zip(ranks.values(), ranks.keys(), strict=True))
+        self.pairs = PairRanks(ranks, self.tokens)
+        self.latest: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of all of ``words``."""
+        known = {}
+        for word in words:
+            if (found := self.latest.get(word) or self.older.get(word)) is not None:
+                known[word] = found
+        asked = [w for w in words if w not in known]
+        raw = [w.encode() for w in asked]
+        short = [k for k, r in enumerate(raw) if len(r) <= SHORT]
+        for k, r in enumerate(raw):
+            if len(r) > SHORT:
+                known[asked[k]] = np.array(merged(r, self.ranks), "<u4").tobytes()
+        if short:
+            for k, found in zip(short, merged_together([raw[k] for k in short], self.ranks, self.pairs), strict=True):
+                known[asked[k]] = self.latest[asked[k]] = found
+        if len(self.latest) >= CACHED:
+            self.older, self.latest = self.latest, {}
+        return known
+
+    def encode_all(self, whole: list[bytes]) -> Iterator[bytes]:
+        """Ids of every text; the texts' pre-tokens are learnt together, some MB of text at a time."""
+        lo = 0
+        while lo < len(whole):
+            hi, size = lo, 0
+            while hi < len(whole) and (hi == lo or size + len(whole[hi]) <= TOGETHER):
+                size += len(whole[hi])
+                hi += 1
+            pieces = [self.split(text.decode()) for text in whole[lo:hi]]
+            ids = self.learn(set().union(*pieces))
+            for own in pieces:
+                yield b"".join(map(ids.__getitem__, own))
+            lo = hi
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.ids.__getitem__, self.split(text.decode())))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes | np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids.tolist()))
@@ -182,7 +288,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, into: str = "ids") -> Data
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
         codec = _codec(vocabulary)
-        found = [np.frombuffer(codec.encode(text), "<i4") for text in texts(column)]
+        found = [np.frombuffer(ids, "<i4") for ids in codec.encode_all(list(texts(column)))]
         return pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), np.concatenate([*found, np.zeros(0, np.int32)]))
 
     return docs.withColumn(into, ids(F.col("text").cast("string")))
@@ -211,8 +317,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def digests(column: pa.Array) -> pa.Array:
         codec, rows = _codec(vocabulary), []
-        for text in texts(column):
-            ids = codec.encode(text)
+        for ids in codec.encode_all(list(texts(column))):
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
         kinds = (pa.int64(), pa.string(), pa.string())
         parts = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
