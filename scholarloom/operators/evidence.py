@@ -82,14 +82,18 @@ def new_spans(spans: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def pack_evidence(
-    spans: DataFrame, *, target: int = settings.PACK_TARGET,
+    spans: DataFrame, documents: DataFrame | None = None, *, target: int = settings.PACK_TARGET,
     span_chars: int = settings.PACK_SPAN_CHARS, total_chars: int = settings.PACK_TOTAL_CHARS,
 ) -> DataFrame:
     """The evidence an analysis is given: evenly spread spans of each version within a character budget.
 
     ``spans``: version_id, span_id, page, char_start, text, text_sha256. The stride runs over all spans of a
-    version, numbered chunk by chunk, so its end can be cited like its beginning. A span counts with at most ``span_chars`` towards the budget; its text stays whole.
+    version, numbered chunk by chunk, so its end can be cited like its beginning. With ``documents`` (document_id, parse_status)
+    only spans of parsed and partly parsed documents count. A span counts with at most ``span_chars`` towards the budget; its text stays whole.
     """
+    if documents is not None:
+        readable = documents.filter(F.col("parse_status").isin("parsed", "partial")).select("document_id")
+        spans = spans.join(readable, "document_id", "left_semi")
     order = [F.col("page"), F.col("char_start"), F.col("span_id")]
     sizes = spans.groupBy("version_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / target)).alias("_stride"))
     whole = Window.partitionBy("version_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholarloom import settings
 from scholarloom.functions.text import comparison_form, label_form
@@ -57,6 +58,62 @@ def _relabel(items: Column, names: list[str], labelled: dict[str, list[str]]) ->
         (label_form(x[n], labelled[n]) if n in labelled else x[n]).alias(n) for n in names]))
 
 
+KINDS = {"string": ["STRING"], "double": ["DOUBLE", "FLOAT", "DECIMAL", "BIGINT"], "int": ["BIGINT"]}
+
+
+def _shape(value: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """Whether ``value`` (variant) has no field beyond ``kind`` at any depth, and whether its scalars and nestings are of this kind.
+
+    Missing values and NULLs pass; the rules of a field say whether it may be empty.
+    """
+    found = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    empty = value.isNull() | (found == "VOID")
+    yes = F.lit(True)
+    if isinstance(kind, T.ArrayType):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        known = F.coalesce(F.forall(items, lambda x: _shape(x, kind.elementType)[0]), yes)
+        return known, empty | ((found == "ARRAY") & F.coalesce(F.forall(items, lambda x: _shape(x, kind.elementType)[1]), yes))
+    if isinstance(kind, T.StructType):
+        # The object is read once and named by the lambda.
+        fields = F.array(F.try_variant_get(value, "$", "map<string,variant>"))
+        names = F.array(*[F.lit(f.name) for f in kind])
+
+        def known_in(m: Column) -> Column:
+            ok = F.coalesce(F.size(F.array_except(F.map_keys(m), names)) == 0, yes)
+            for f in kind:
+                if isinstance(f.dataType, (T.ArrayType, T.StructType)):
+                    ok &= _shape(m[f.name], f.dataType)[0]
+            return ok
+
+        def fits_in(m: Column) -> Column:
+            ok = yes
+            for f in kind:
+                ok &= _shape(m[f.name], f.dataType)[1]
+            return ok
+
+        return F.forall(fields, known_in), empty | ((found == "OBJECT") & F.forall(fields, fits_in))
+    return yes, empty | found.isin(KINDS[kind.simpleString()])
+
+
+def _nested_rules(text: str, schema: str) -> list[tuple[str, Column]]:
+    """Rules about fields inside the fields, and about kinds; unknown fields of the top level have their own rule."""
+    root = F.array(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"))
+    fields = [f for f in T.DataType.fromDDL(schema) if not f.name.startswith("_")]
+
+    def every(m: Column, part: int) -> Column:
+        ok = F.lit(True)
+        for f in fields:
+            ok &= _shape(m[f.name], f.dataType)[part]
+        return ok
+
+    return [("nested unknown field", F.forall(root, lambda m: every(m, 0))), ("field kind", F.forall(root, lambda m: every(m, 1)))]
+
+
+def _filled(items: Column) -> Column:
+    """A list without NULLs."""
+    return F.forall(items, lambda x: x.isNotNull())
+
+
 def read_briefs(outputs: DataFrame, text: str = "output_json") -> DataFrame:
     """``brief`` and ``reasons`` (empty when valid) of each stored brief, labels brought to form first."""
     read = outputs.withColumn("_b", F.from_json(text, BRIEF_SCHEMA, OPTIONS))
@@ -74,11 +131,12 @@ def read_briefs(outputs: DataFrame, text: str = "output_json") -> DataFrame:
         ("change", _length(b["change"], 1, 320)),
         *[(n, _length(b[n], 8, 800)) for n in NARRATIVE[1:]],
         *[(n, b[n].isin(labels[n])) for n in ("evidence_state", "code_state", "recommended_action")],
-        ("limitations", F.size(b["limitations"]).between(1, 8) & F.forall(b["limitations"], lambda x: x.isNotNull())),
+        ("limitations", F.size(b["limitations"]).between(1, 8) & _filled(b["limitations"])),
         ("claims", F.size(b["claims"]).between(1, 20)),
         ("claim text", F.forall(b["claims"], lambda c: _length(c["text"], 1, 1000))),
         ("claim type", F.forall(b["claims"], lambda c: c["type"].isin(labels["claim_type"]))),
-        ("claim evidence", F.forall(b["claims"], lambda c: F.size(c["evidence_ids"]).between(0, 12))),
+        ("claim evidence", F.forall(b["claims"], lambda c: F.size(c["evidence_ids"]).between(0, 12) & _filled(c["evidence_ids"]))),
+        *_nested_rules(text, BRIEF_SCHEMA),
     ]
     return read.withColumn("reasons", _reasons(rules)).drop("_b")
 
@@ -116,23 +174,24 @@ def read_deep_reports(outputs: DataFrame, text: str = "output_json") -> DataFram
         ("work_id", _length(r["work_id"], 1)),
         ("title", _length(r["title"], 1)),
         ("publication_status", r["publication_status"].isin(labels["publication_status"])),
-        *[(s, _length(r[s]["markdown"], 8) & share(r[s]["confidence"]) & r[s]["claim_ids"].isNotNull()) for s in SECTIONS],
+        *[(s, _length(r[s]["markdown"], 8) & share(r[s]["confidence"]) & _filled(r[s]["claim_ids"])) for s in SECTIONS],
         ("reproducibility", r["reproducibility"]["status"].isin(labels["reproducibility"])
          & r["reproducibility"]["hardware_fit"].isin(labels["hardware_fit"])
          & F.forall(r["reproducibility"]["repository_urls"], lambda u: u.rlike("^https?://"))
-         & r["reproducibility"]["assets"].isNotNull() & r["reproducibility"]["steps"].isNotNull() & r["reproducibility"]["risks"].isNotNull()),
+         & _filled(r["reproducibility"]["assets"]) & _filled(r["reproducibility"]["steps"]) & _filled(r["reproducibility"]["risks"])),
         ("production_applications", F.forall(r["production_applications"], lambda a: a["name"].isNotNull()
-         & a["system_change"].isNotNull() & a["expected_value"].isNotNull() & a["risks"].isNotNull() & a["claim_ids"].isNotNull())),
+         & a["system_change"].isNotNull() & a["expected_value"].isNotNull() & _filled(a["risks"]) & _filled(a["claim_ids"]))),
         ("commercial_hypotheses", F.forall(r["commercial_hypotheses"], lambda h: h["problem"].isNotNull() & h["buyer"].isNotNull()
          & h["workflow"].isNotNull() & h["pilot"].isNotNull() & h["value_metric"].isNotNull() & share(h["confidence"])
-         & h["evidence_ids"].isNotNull() & h["unknowns"].isNotNull())),
+         & _filled(h["evidence_ids"]) & _filled(h["unknowns"]))),
         ("learning_path", F.forall(r["learning_path"], lambda s: s["concept"].isNotNull() & s["reason"].isNotNull() & (s["sequence"] >= 1))),
         ("skeptic_findings", F.forall(r["skeptic_findings"], lambda f: f["severity"].isin(labels["severity"])
-         & f["resolution"].isin(labels["resolution"]) & f["finding"].isNotNull() & f["affected_claim_ids"].isNotNull())),
+         & f["resolution"].isin(labels["resolution"]) & f["finding"].isNotNull() & _filled(f["affected_claim_ids"]))),
         ("claims", F.size(r["claims"]) >= 1),
-        ("claim fields", F.forall(r["claims"], lambda c: _length(c["id"], 1) & _length(c["text"], 1) & c["evidence_ids"].isNotNull())),
+        ("claim fields", F.forall(r["claims"], lambda c: _length(c["id"], 1) & _length(c["text"], 1) & _filled(c["evidence_ids"]))),
         ("claim labels", F.forall(r["claims"], lambda c: c["type"].isin(labels["claim_type"])
          & c["importance"].isin(labels["importance"]) & c["verification_status"].isin(labels["verification_status"]))),
+        *_nested_rules(text, DEEP_SCHEMA),
     ]
     return read.withColumn("reasons", _reasons(rules)).drop("_d")
 

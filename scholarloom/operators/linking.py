@@ -125,32 +125,58 @@ def link_rows(records: DataFrame) -> DataFrame:
     )
 
 
-def upsert_events(linked: DataFrame) -> DataFrame:
-    """One event per canonical key: newest title, newest known moment. ``linked`` is from ``link_rows``."""
-    moment = F.coalesce("updated_at", "published_at")
-    return linked.withColumn("_moment", moment).groupBy("event_id", "canonical_key").agg(
-        F.max_by("title", "arrival").alias("title"), F.min("work_id").alias("primary_work_id"),
-        F.max_by("_moment", F.when(F.col("_moment").isNotNull(), F.col("arrival"))).alias("occurred_at"),
-        F.max("observed_at").alias("updated_at"))
+def upsert_events(linked: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """One event per canonical key: newest title, newest known moment. ``linked`` is from ``link_rows``.
+
+    ``existing``: stored events with the columns of the result. They count as earlier than every record; a stored
+    event that no record names stays as it is, and a moment is kept when the new records have none.
+    """
+    keys = ["event_id", "canonical_key"]
+    rows = linked.select(
+        *keys, "title", F.col("work_id").alias("primary_work_id"), F.coalesce("updated_at", "published_at").alias("occurred_at"),
+        F.col("observed_at").alias("updated_at"), F.lit(1).alias("_age"), "arrival")
+    if existing is not None:
+        types = {f.name: f.dataType for f in rows.schema}
+        rows = rows.unionByName(existing.select(
+            *keys, *[F.col(n).cast(types[n]).alias(n) for n in ("title", "primary_work_id", "occurred_at", "updated_at")],
+            F.lit(0).alias("_age"), F.lit(None).cast(types["arrival"]).alias("arrival")))
+    order = F.struct("_age", "arrival")
+    return rows.groupBy(*keys).agg(
+        F.max_by("title", order).alias("title"), F.min("primary_work_id").alias("primary_work_id"),
+        F.max_by("occurred_at", F.when(F.col("occurred_at").isNotNull(), order)).alias("occurred_at"),
+        F.max("updated_at").alias("updated_at"))
 
 
-def upsert_links(linked: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
+def upsert_links(linked: DataFrame, corrections: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
     """One link per (event, artifact), from its newest record; a correction made later switches it off.
 
     ``corrections``: event_id, artifact_id, corrected_at, reason. A record that arrives after the
-    correction brings the link back.
+    correction brings the link back. ``existing``: stored links as this function returns them; a record brings
+    a stored link back, and a stored link without a record keeps its state unless a correction names it.
     """
+    keys = ["event_id", "artifact_id"]
     link = F.struct("relationship", "basis", "confidence", "matching_evidence", "observed_at")
-    rows = linked.groupBy("event_id", "artifact_id").agg(F.max_by(link, "arrival").alias("l")).select(
-        "event_id", "artifact_id", "l.*")
-    if corrections is None:
+    rows = linked.groupBy(*keys).agg(F.max_by(link, "arrival").alias("l")).select(*keys, "l.*")
+    if existing is not None:
+        stored = existing.join(rows.select(*keys), keys, "left_anti")
+        off = {n: F.col(n).cast(t) if n in existing.columns else F.lit(None).cast(t) for n, t in (("corrected_at", "timestamp"), ("correction_reason", "string"))}
+        kept = stored.select(*keys, "relationship", "basis", "confidence", "matching_evidence", F.lit(None).cast(rows.schema["observed_at"].dataType).alias("observed_at"),
+                             F.col("active").alias("_active"), off["corrected_at"].alias("_at"), off["correction_reason"].alias("_why"))
+        rows = rows.select("*", F.lit(True).alias("_active"), F.lit(None).cast("timestamp").alias("_at"), F.lit(None).cast("string").alias("_why")).unionByName(kept)
+    elif corrections is None:
         return rows.withColumn("active", F.lit(True)).drop("observed_at")
-    newest = corrections.groupBy("event_id", "artifact_id").agg(F.max(F.struct("corrected_at", "reason")).alias("c"))
-    joined = rows.join(newest, ["event_id", "artifact_id"], "left")
-    off = F.coalesce(F.col("c.corrected_at") >= F.col("observed_at"), F.lit(False))
+    else:
+        rows = rows.select("*", F.lit(True).alias("_active"), F.lit(None).cast("timestamp").alias("_at"), F.lit(None).cast("string").alias("_why"))
+    if corrections is None:
+        return rows.select(*keys, "relationship", "basis", "confidence", "matching_evidence", F.col("_active").alias("active"),
+                           F.col("_at").alias("corrected_at"), F.col("_why").alias("correction_reason"))
+    newest = corrections.groupBy(*keys).agg(F.max(F.struct("corrected_at", "reason")).alias("c"))
+    joined = rows.join(newest, keys, "left")
+    off = F.col("c").isNotNull() & F.coalesce(F.col("c.corrected_at") >= F.col("observed_at"), F.col("observed_at").isNull())
     return joined.select(
-        "event_id", "artifact_id", "relationship", "basis", "confidence", "matching_evidence", (~off).alias("active"),
-        F.when(off, F.col("c.corrected_at")).alias("corrected_at"), F.when(off, F.col("c.reason")).alias("correction_reason"))
+        *keys, "relationship", "basis", "confidence", "matching_evidence", (F.col("_active") & ~off).alias("active"),
+        F.when(off, F.col("c.corrected_at")).otherwise(F.col("_at")).alias("corrected_at"),
+        F.when(off, F.col("c.reason")).otherwise(F.col("_why")).alias("correction_reason"))
 
 
 def per_source(links: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -50,6 +50,13 @@ def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
 
+def preprint(number: Column, first_month: int = 0) -> Column:
+    """Preprint id of a number: the month grows by one for each 100 000, so that no two numbers share an id."""
+    month = F.floor(number / 100_000) + first_month
+    return F.concat((F.floor(month / 12) + 24).cast("string"), F.lpad((month % 12 + 1).cast("string"), 2, "0"), F.lit("."),
+                    F.lpad((number % 100_000).cast("string"), 5, "0"))
+
+
 def published(doc: Column) -> Column:
     return F.when(doc % 17 != 0, at(-(doc % 400)))
 
@@ -136,7 +143,7 @@ class Corpus(Mapping):
     def external_ids(self) -> DataFrame:
         first = F.col("first_doc")
         ids = F.array(
-            F.when(first % 2 == 0, F.struct(F.lit("arxiv").alias("t"), F.concat(F.lit("2401."), F.lpad(first.cast("string"), 5, "0")).alias("v"))),
+            F.when(first % 2 == 0, F.struct(F.lit("arxiv").alias("t"), preprint(first).alias("v"))),
             F.when(first % 5 == 0, F.struct(F.lit("github").alias("t"), F.concat(F.lit("own/r"), first).alias("v"))),
             F.when(first % 3 == 0, F.struct(F.lit("doi").alias("t"), F.concat(F.lit("10.5555/d."), first).alias("v"))))
         return self._grouped.select("work_id", F.explode(F.filter(ids, lambda i: i.isNotNull())).alias("i")).select(
@@ -183,9 +190,8 @@ class Corpus(Mapping):
 
     @cached_property
     def text_pages(self) -> DataFrame:
-        """Pages of eight lines of the labelled documents."""
-        labelled = self.raw("labels").select("doc_id")
-        lines = self.raw("documents").select("doc_id", F.split("text", "\n").alias("lines")).join(labelled, "doc_id")
+        """Pages of eight lines of all documents."""
+        lines = self.raw("documents").filter("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("lines"))
         count = F.ceil(F.size("lines") / LINES_PER_PAGE).cast("int")
         return lines.select(
             (F.col("doc_id") * 10).alias("document_id"), F.col("doc_id").alias("version_id"), "lines",
@@ -194,7 +200,7 @@ class Corpus(Mapping):
 
     @cached_property
     def spans(self) -> DataFrame:
-        """Non-empty lines of the labelled documents as spans, addressed by page and line."""
+        """Non-empty lines of all documents as spans, addressed by page and line."""
         rows = self.text_pages.select("document_id", "version_id", "page", F.posexplode("blocks").alias("char_start", "raw"))
         text = collapse_space(F.col("raw"))
         return rows.withColumn("text", text).filter("text <> ''").select(
@@ -207,7 +213,7 @@ class Corpus(Mapping):
         e, user = F.col("event_id"), F.col("user_id")
         table = F.create_map(*[F.lit(x) for pair in EVENT_SOURCES.items() for x in pair])
         upstream = F.concat(F.lit("u"), user, F.lit("-"), e % 5)
-        paper = F.concat(F.lit("2401."), F.lpad(user.cast("string"), 5, "0"))
+        paper = preprint(user)
         identity = F.struct(F.lit("arxiv").alias("id_type"), paper.alias("raw_value"), paper.alias("normalized_value"))
         empty_ids = F.array().cast("array<struct<id_type:string,raw_value:string,normalized_value:string>>")
         urls = F.array(F.concat(F.lit("https://github.com/EN/src"), user % 20, F.lit(".git")))
@@ -302,6 +308,11 @@ def sql_at(days: str, hours: str = "0") -> str:
     return f"(TIMESTAMP '2024-01-01' + to_days(CAST({days} AS INT)) + to_hours(CAST({hours} AS INT)))"
 
 
+def sql_preprint(number: str, first_month: int = 0) -> str:
+    month = f"({number} // 100000 + {first_month})"
+    return f"(({month} // 12 + 24) || lpad(CAST({month} % 12 + 1 AS VARCHAR), 2, '0') || '.' || lpad(CAST({number} % 100000 AS VARCHAR), 5, '0'))"
+
+
 def sql_pick(index: str, options: list[str]) -> str:
     return f"list_extract([{', '.join(repr(o) for o in options)}], CAST({index} AS INT) + 1)"
 
@@ -356,7 +367,7 @@ VIEWS: dict[str, str] = {
         {sql_published('doc_id')} AS published_at, {sql_at('doc_id % 31')} AS observed_at,
         CASE WHEN doc_id % 4 = 0 THEN 'https://github.com/' || lang || '/' || source || CASE WHEN doc_id % 8 = 0 THEN '.git' ELSE '' END END AS repository_url,
         doc_id = max(doc_id) OVER (PARTITION BY work_id) AS is_current FROM docs""",
-    "external_ids": """SELECT work_id, 'arxiv' AS id_type, '2401.' || CASE WHEN first_doc < 100000 THEN lpad(CAST(first_doc AS VARCHAR), 5, '0') ELSE substr(CAST(first_doc AS VARCHAR), 1, 5) END AS value FROM works WHERE first_doc % 2 = 0
+    "external_ids": f"""SELECT work_id, 'arxiv' AS id_type, {sql_preprint('first_doc')} AS value FROM works WHERE first_doc % 2 = 0
         UNION ALL SELECT work_id, 'github', 'own/r' || first_doc FROM works WHERE first_doc % 5 = 0
         UNION ALL SELECT work_id, 'doi', '10.5555/d.' || first_doc FROM works WHERE first_doc % 3 = 0""",
     "authors": """SELECT work_id, 1 AS author_order, 'Author ' || (first_doc % 97) AS display_name FROM works
@@ -374,7 +385,7 @@ VIEWS: dict[str, str] = {
         {sql_at('doc_id % 25', 'n')} AS attempted_at FROM documents, (VALUES (0), (1), (2)) k(n) WHERE doc_id % 3 <> 0 AND n <= doc_id % 3""",
     "lines": f"""SELECT doc_id * 10 AS document_id, doc_id AS version_id, i, i // {LINES_PER_PAGE} + 1 AS page, i % {LINES_PER_PAGE} AS block, raw FROM (
         SELECT d.doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
-        FROM documents d JOIN labels USING (doc_id))""",
+        FROM documents d)""",
     "spans": f"""SELECT document_id, version_id, page, block AS char_start, text, sha256(document_id || '|' || page || '|' || block) AS span_id,
         sha256(text) AS text_sha256 FROM (SELECT *, {sql_collapse('raw')} AS text FROM lines) WHERE text <> ''""",
     "sightings": f"""SELECT event_id AS record_id, event_id AS arrival, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_SOURCES.items())} END AS source_key,
@@ -382,7 +393,7 @@ VIEWS: dict[str, str] = {
         {sql_pick('event_id % 3', ['model', 'dataset', 'space'])} AS kind, event_type || ' ' || user_id || ' ' || event_id AS title,
         'https://example.org/u' || user_id || '-' || (event_id % 5) AS canonical_url, ts AS observed_at,
         CASE WHEN event_id % 3 <> 0 THEN ts - to_days(2) END AS published_at, CASE WHEN event_id % 2 = 0 THEN ts - to_days(1) END AS updated_at,
-        CASE WHEN user_id % 4 <> 3 THEN '2401.' || CASE WHEN user_id < 100000 THEN lpad(CAST(user_id AS VARCHAR), 5, '0') ELSE substr(CAST(user_id AS VARCHAR), 1, 5) END END AS paper_id,
+        CASE WHEN user_id % 4 <> 3 THEN {sql_preprint('user_id')} END AS paper_id,
         CASE WHEN event_id % 3 = 0 THEN 'https://github.com/EN/src' || (user_id % 20) || '.git' END AS repository_url FROM events""",
     "facts": f"SELECT * FROM ({_sql_values(_FACTS)}) t(source_key, authority, content_class, fixed_artifact_type, fixed_source_type, linked_relationship, free_relationship)",
     "faced": """SELECT s.*, f.authority, f.content_class, f.linked_relationship, f.free_relationship,

@@ -298,7 +298,7 @@ def u1(t):
 
 @query("a7_evidence_counts", "SELECT version_id, count(*) AS evidence_count FROM spans GROUP BY 1")
 def a7(t):
-    documents = t["documents"].select("document_id", "version_id")
+    documents = t["text_pages"].select("document_id", "version_id").distinct()
     return catalog.evidence_counts(documents, t["spans"])
 
 

@@ -15,7 +15,7 @@ from scholarloom.functions.identifiers import (
 from scholarloom.functions.mentions import paper_mentions, repository_mentions, transcript_mentions
 from scholarloom.functions.scoring import clamp, half_life_freshness, linear_freshness, tier_quality
 from scholarloom.functions.text import (
-    casefold, clean, collapse_space, comparison_form, first_sentence, is_heading, label_form, normal_form, sorted_json,
+    casefold, clean, comparison_form, first_sentence, is_heading, label_form, normal_form, sorted_json,
     stable_key,
 )
 from scholarloom.operators import evidence, gates, ranking, reports
@@ -23,7 +23,7 @@ from scholarloom.operators.identity import resolve_identities
 from scholarloom.operators.ordered import global_position
 from scholarloom.operators.retention import retention_plan
 from scholarloom.operators.similar import similar_titles
-from scholarloom.plans.corpus import EPOCH, as_of, at, first_line, pick, sql_at, sql_collapse, sql_normal, sql_pick, sql_published, sql_time, work_key
+from scholarloom.plans.corpus import EPOCH, as_of, at, first_line, pick, preprint, sql_at, sql_collapse, sql_normal, sql_pick, sql_preprint, sql_published, sql_time, work_key
 from scholarloom.plans.registry import listed, query, shown
 from scholarloom.session import shared_dir
 from scholarloom.sources import landing
@@ -71,8 +71,7 @@ def _rest(text: Column) -> Column:
 def _entries(t) -> DataFrame:
     """Atom entries: every eleventh without an id, every nineteenth without a usable date."""
     doc, text = F.col("doc_id"), F.col("text")
-    number = F.lpad(doc.cast("string"), 5, "0")
-    identity = F.when(doc % 11 != 0, F.concat(F.lit("http://arxiv.org/abs/2401."), number, F.lit("v"), doc % 3 + 1))
+    identity = F.when(doc % 11 != 0, F.concat(F.lit("http://arxiv.org/abs/"), preprint(doc), F.lit("v"), doc % 3 + 1))
     doi = F.when(doc % 3 == 0, F.concat(F.lit("https://doi.org/10.5555/D."), doc)).when(doc % 3 == 1, F.lit("bad doi"))
     entry = F.concat(
         F.lit('<a:entry xmlns:a="http://www.w3.org/2005/Atom" xmlns:p="http://arxiv.org/schemas/atom">'),
@@ -93,7 +92,7 @@ _ENTRY_STATUS = f"CASE WHEN doc_id % 11 = 0 OR doc_id % 19 = 0 OR {_TITLE} = ''
 
 
 @query("s3_normalize_papers", f"""SELECT doc_id AS record_id, {_ENTRY_STATUS} AS status, nullif({_TITLE}, '') AS title,
-    CASE WHEN doc_id % 11 <> 0 THEN '2401.' || substr(lpad(CAST(doc_id AS VARCHAR), 5, '0'), 1, 5) END AS upstream_id,
+    CASE WHEN doc_id % 11 <> 0 THEN {sql_preprint('doc_id')} END AS upstream_id,
     CASE WHEN doc_id % 11 <> 0 THEN 'v' || (doc_id % 3 + 1) ELSE 'v1' END AS upstream_version, 2 - doc_id % 2 AS authors, 'cs.AI|' || lang AS topics,
     CASE WHEN doc_id % 3 = 0 THEN '10.5555/d.' || doc_id END AS doi, 'https://github.com/own/r' || doc_id AS repositories FROM documents""")
 def s3(t):
@@ -103,7 +102,7 @@ def s3(t):
         F.try_element_at(doi, F.lit(1))["normalized_value"].alias("doi"), listed("repository_urls").alias("repositories"))
 
 
-@query("s3b_landing_identity", """SELECT doc_id AS record_id, CASE WHEN doc_id % 11 <> 0 THEN '2401.' || substr(lpad(CAST(doc_id AS VARCHAR), 5, '0'), 1, 5) ELSE 'malformed' END AS upstream_id,
+@query("s3b_landing_identity", f"""SELECT doc_id AS record_id, CASE WHEN doc_id % 11 <> 0 THEN {sql_preprint('doc_id')} ELSE 'malformed' END AS upstream_id,
     CASE WHEN doc_id % 11 <> 0 THEN 'v' || (doc_id % 3 + 1) END AS upstream_version FROM documents""")
 def s3b(t):
     return _entries(t).select("record_id", F.regexp_replace("upstream_id", "^malformed:[0-9a-f]{16}$", "malformed").alias("upstream_id"), "upstream_version")
@@ -165,10 +164,10 @@ def s7(t):
 
 
 @query("s8_normalize_posts", f"""SELECT doc_id AS record_id, nullif({_TITLE}, '') AS title, CASE WHEN {sql_normal(_TITLE)} IS NULL OR doc_id % 5 = 0 THEN 'rejected' ELSE 'normalized' END AS status,
-    '2402.' || substr(lpad(CAST(doc_id AS VARCHAR), 5, '0'), 1, 5) AS papers, 'https://github.com/post/r' || doc_id % 100 AS repositories FROM documents""")
+    {sql_preprint('doc_id', 1)} AS papers, 'https://github.com/post/r' || doc_id % 100 AS repositories FROM documents""")
 def s8(t):
     doc, text = F.col("doc_id"), F.col("text")
-    mention = F.concat(F.lit(" see arXiv:2402."), F.lpad(doc.cast("string"), 5, "0"), F.lit("v2 and https://github.com/post/r"), doc % 100)
+    mention = F.concat(F.lit(" see arXiv:"), preprint(doc, 1), F.lit("v2 and https://github.com/post/r"), doc % 100)
     body = F.concat(F.lit("<item>"), _element("title", first_line(text)), _element("description", F.concat(F.coalesce(_rest(text), F.lit("")), mention)), F.lit("</item>"))
     url = F.concat(F.when(doc % 5 == 0, "https://other.example.org/").otherwise("https://blog.example.com/"), doc)
     rows = normalize_posts(_payloads(t, body, F.concat(F.lit("p"), doc), url, "official-rss"), ["blog.example.com"])
@@ -176,7 +175,7 @@ def s8(t):
     return rows.select("record_id", "title", "status", listed(F.transform(papers, lambda i: i["normalized_value"])).alias("papers"), listed("repository_urls").alias("repositories"))
 
 
-@query("s9_normalize_social", f"""SELECT conv_id || '-' || turn AS upstream_id, substr({sql_collapse('text')}, 1, 160) AS title, length(text) AS characters, {sql_time("TIMESTAMP '2024-01-01' + to_seconds(conv_id)")} AS published
+@query("s9_normalize_social", f"""SELECT conv_id || '-' || turn AS upstream_id, substr(text, 1, 160) AS title, length(text) AS characters, {sql_time("TIMESTAMP '2024-01-01' + to_seconds(conv_id)")} AS published
     FROM conversations WHERE turn % 3 <> 0 AND {sql_collapse('text')} <> ''""")
 def s9(t):
     conv, turn = F.col("conv_id"), F.col("turn")
@@ -185,11 +184,7 @@ def s9(t):
         F.concat(F.when(turn % 3 == 0, "https://elsewhere.example/").otherwise("https://x.com/a/"), conv).alias("url")))
     items = exported_items(t.raw("conversations").select(item.cast("binary").alias("payload"), at(conv % 31).alias("observed_at")))
     rows = normalize_social(items)
-    return rows.select("upstream_id", collapse_first("title").alias("title"), F.length("abstract").alias("characters"), shown("published_at").alias("published"))
-
-
-def collapse_first(name: str) -> Column:
-    return F.substring(collapse_space(F.col("abstract")), 1, 160)
+    return rows.select("upstream_id", "title", F.length("abstract").alias("characters"), shown("published_at").alias("published"))
 
 
 @query("s10_validation_errors", """SELECT 'accepted status requires public decision evidence' AS error, count(*) AS records FROM documents WHERE doc_id % 13 = 0
@@ -268,20 +263,21 @@ def f3(t):
     return t.raw("documents").select("doc_id", version_label(explicit, F.when(doc % 3 == 1, "v7"), F.sha2("text", 256)).alias("label"))
 
 
-@query("f4_repository_urls", """SELECT page_id, CASE WHEN page_id % 3 <> 2 THEN 'https://github.com/Own/R' || page_id END AS canonical, lower('https://github.com/own/r' || page_id) AS match_form FROM pages""")
+@query("f4_repository_urls", r"""SELECT page_id, 'https://github.com/' || host || '/' || regexp_replace(name, '\.git$', '') AS canonical, rtrim(regexp_replace(lower(url), '\.git$', ''), '/') AS match_form FROM (
+    SELECT page_id, url, split_part(split_part(split_part(rest, '#', 1), '?', 1), '/', 1) AS host, nullif(split_part(split_part(split_part(rest, '#', 1), '?', 1), '/', 2), '') AS name
+    FROM (SELECT page_id, url, regexp_replace(url, '^[a-z]+://', '') AS rest FROM pages))""")
 def f4(t):
-    page = F.col("page_id")
-    url = F.concat(pick(page % 3, ["https://GitHub.com/", "https://github.com/", "http://github.com/"]), F.lit("Own/R"), page, F.when(page % 2 == 0, ".git/tree/x?y").otherwise("/"))
-    other = F.concat(F.lit("https://github.com/Own/R"), page, F.when(page % 2 == 0, ".git").otherwise("//"))
-    return t.raw("pages").select("page_id", canonical_repository(url).alias("canonical"), repository_match_form(other).alias("match_form"))
+    """Every page as a repository: the host is the owner, the first part of the path the name."""
+    hosted = F.concat(F.lit("https://GitHub.com/"), F.regexp_replace("url", "^[a-z]+://", ""))
+    return t.raw("pages").select("page_id", canonical_repository(hosted).alias("canonical"), repository_match_form(F.col("url")).alias("match_form"))
 
 
-@query("f5_mentions", """SELECT doc_id, '2401.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') || '|math/0000001' AS papers, 'https://github.com/Own/r' || doc_id || '|https://github.com/x/y' AS repositories,
+@query("f5_mentions", f"""SELECT doc_id, {sql_preprint('doc_id')} || '|math/0000001' AS papers, 'https://github.com/Own/r' || doc_id || '|https://github.com/x/y' AS repositories,
     'https://v.example/' || doc_id || '.vtt' AS transcripts FROM documents""")
 def f5(t):
     doc = F.col("doc_id")
-    number = F.lpad((doc % 100_000).cast("string"), 5, "0")
-    text = F.concat("text", F.lit(" ArXiv:2401."), number, F.lit("v3 https://arxiv.org/pdf/2401."), number, F.lit(" arxiv:MATH/0000001 https://github.com/Own/r"), doc,
+    number = preprint(doc)
+    text = F.concat("text", F.lit(" ArXiv:"), number, F.lit("v3 https://arxiv.org/pdf/"), number, F.lit(" arxiv:MATH/0000001 https://github.com/Own/r"), doc,
                     F.lit(".git https://github.com/x/y https://v.example/"), doc, F.lit(".vtt end"))
     return t.raw("documents").select("doc_id", listed(paper_mentions(text)).alias("papers"), listed(repository_mentions(text)).alias("repositories"), listed(transcript_mentions(text)).alias("transcripts"))
 
@@ -347,10 +343,11 @@ def f15(t):
     return t.raw("documents").select("doc_id", stable_key(F.col("source"), F.concat(F.lit("doc-"), "doc_id")).alias("key"))
 
 
-@query("f16_headings", r"SELECT doc_id, regexp_matches(t, '^(?:\d+(?:\.\d+)*\s+)?[A-Z][A-Za-z0-9 ,:()/-]{2,80}$') AND len(string_split(t, ' ')) <= 12 AS heading FROM (SELECT doc_id, rtrim(split_part(text, chr(10), 1), '.') AS t FROM documents)")
+@query("f16_headings", r"""SELECT doc_id, line, regexp_matches(t, '^(?:\d+(?:\.\d+)*\s+)?[A-Z][A-Za-z0-9 ,:()/-]{2,80}$') AND len(string_split(t, ' ')) <= 12 AS heading FROM (
+    SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, rtrim(unnest(l), '.') AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
 def f16(t):
-    title = F.rtrim(first_line(F.col("text")), F.lit("."))
-    return t.raw("documents").select("doc_id", is_heading(title).alias("heading"))
+    lines = t.raw("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    return lines.select("doc_id", "line", is_heading(F.rtrim("raw", F.lit("."))).alias("heading"))
 
 
 @query("f18_tier_quality", "SELECT record_id, round((CASE trust_tier WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.75 WHEN 'C' THEN 0.5 ELSE 0.25 END) * CASE WHEN record_id % 2 = 0 THEN 0.9 ELSE 1.0 END, 6) AS quality FROM records JOIN sources USING (source_key)")
@@ -468,13 +465,21 @@ def d5_stored(t):
     return landing.stored_documents(routed).select("sha256", "page_id")
 
 
-@query("w6_evidence_packing", """SELECT version_id, span_id, place, slot FROM (SELECT *, row_number() OVER w AS slot, sum(least(length(text), 1800)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chars FROM (
-    SELECT *, count(*) OVER (PARTITION BY version_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY page, char_start, span_id) AS place FROM spans))
-    WHERE (place - 1) % greatest(1, n // 28) = 0 WINDOW w AS (PARTITION BY version_id ORDER BY place)) WHERE chars <= 20000 AND slot <= 28""")
+_PACKING = """SELECT version_id, span_id, place, slot FROM (SELECT *, row_number() OVER w AS slot, sum(least(length(text), 1800)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chars FROM (
+    SELECT *, count(*) OVER (PARTITION BY version_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY page, char_start, span_id) AS place FROM SPANS))
+    WHERE (place - 1) % greatest(1, n // 28) = 0 WINDOW w AS (PARTITION BY version_id ORDER BY place)) WHERE chars <= 20000 AND slot <= 28"""
+
+
+@query("w6_evidence_packing", _PACKING.replace("SPANS", "spans"))
 def w6(t):
     return evidence.pack_evidence(t["spans"]).select("version_id", "span_id", "place", "slot")
 
 
+@query("w6_readable_evidence", _PACKING.replace("SPANS", "spans WHERE document_id IN (SELECT document_id FROM pdfs WHERE parse_status IN ('parsed', 'partial'))"))
+def w6_readable(t):
+    return evidence.pack_evidence(t["spans"], t["documents"]).select("version_id", "span_id", "place", "slot")
+
+
 @query("a14_evidence_fingerprint", """SELECT version_id, sha256(version_id || '|' || string_agg(h, '|' ORDER BY c)) AS evidence_fingerprint FROM (
     SELECT version_id, substr(span_id, 1, 2) AS c, sha256(string_agg(text_sha256, '|' ORDER BY span_id)) AS h FROM spans GROUP BY 1, 2) GROUP BY 1""")
 def a14(t):
@@ -532,6 +537,16 @@ def g1(t):
     return gates.read_briefs(_brief_outputs(t)).select("run_id", F.concat_ws("", F.transform("reasons", lambda r: F.concat(r, F.lit("|")))).alias("reasons"))
 
 
+@query("g1_nested_schema", f"""SELECT doc_id AS run_id, {_BAD} || CASE doc_id % 4 WHEN 1 THEN 'nested unknown field|' WHEN 2 THEN 'field kind|' WHEN 3 THEN 'claim evidence|' ELSE '' END AS reasons FROM {_B}""")
+def g1_nested(t):
+    """The same briefs with a field too many inside a claim, a number for a text, or NULL for an evidence id."""
+    rows, run, body = _brief_outputs(t), F.col("run_id"), F.col("output_json")
+    spoilt = (F.when(run % 4 == 1, F.replace(body, F.lit('"type":"Fact"'), F.lit('"type":"Fact","weight":1')))
+              .when(run % 4 == 2, F.regexp_replace(body, '"work_id":"[^"]*"', '"work_id":5'))
+              .when(run % 4 == 3, F.regexp_replace(body, r'"evidence_ids":\[[^\]]*\]', '"evidence_ids":[null]')).otherwise(body))
+    return gates.read_briefs(rows.withColumn("output_json", spoilt)).select("run_id", F.concat_ws("", F.transform("reasons", lambda r: F.concat(r, F.lit("|")))).alias("reasons"))
+
+
 @query("g1_outdated_outputs", f"SELECT CASE WHEN {_BAD} <> '' THEN 'rejected' ELSE 'succeeded' END AS shown_status, count(*) AS n FROM {_B} GROUP BY 1")
 def g1_outdated(t):
     return gates.outdated_outputs(gates.read_briefs(_brief_outputs(t))).groupBy("shown_status").agg(F.count("*").alias("n"))

@@ -97,6 +97,48 @@ def e8_links(t):
     return t["links"].select("event_id", "artifact_id", "relationship", "basis", "confidence", F.array_join("matching_evidence", "|").alias("evidence"))
 
 
+_STORED = "SELECT * FROM linked_rows WHERE epoch_us(observed_at) // 3600000000 % 3 <> 0"
+_BATCH = "SELECT * FROM linked_rows WHERE epoch_us(observed_at) // 3600000000 % 3 = 0"
+
+
+def _two_batches(t):
+    """Linked rows of two thirds of the hours as stored, the others as the batch that follows."""
+    late = F.floor(F.unix_micros("observed_at") / 3_600_000_000) % 3 == 0
+    return t["linked_rows"].filter(~late), t["linked_rows"].filter(late)
+
+
+@query("e6_artifact_merge", f"""SELECT artifact_id, title, CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END AS novelty, n AS sightings FROM (
+    SELECT artifact_id, coalesce(max_by(title, arrival) FILTER (WHERE late), max_by(title, arrival)) AS title, count(*) AS n FROM (
+        SELECT *, sha256(source_key || chr(0) || upstream_id) AS artifact_id, epoch_us(observed_at) // 3600000000 % 3 = 0 AS late FROM faced) GROUP BY 1)""")
+def e6_merge(t):
+    facts = linking.with_source_facts(t["sightings"], linking.source_facts(t.spark))
+    late = F.floor(F.unix_micros("observed_at") / 3_600_000_000) % 3 == 0
+    stored = linking.upsert_artifacts(facts.filter(~late), as_of())
+    return linking.upsert_artifacts(facts.filter(late), as_of(), existing=stored).select("artifact_id", "title", "novelty", "sightings")
+
+
+@query("e8_event_merge", f"""SELECT event_id, title, primary_work_id, {sql_time('occurred_at')} AS occurred, {sql_time('updated_at')} AS updated FROM (
+    SELECT sha256(canonical_key) AS event_id, coalesce(max_by(title, arrival) FILTER (WHERE late), max_by(title, arrival)) AS title, min(work_id) AS primary_work_id,
+        coalesce(max_by(m, arrival) FILTER (WHERE late AND m IS NOT NULL), max_by(m, arrival) FILTER (WHERE m IS NOT NULL)) AS occurred_at, max(observed_at) AS updated_at
+    FROM (SELECT *, coalesce(updated_at, published_at) AS m, epoch_us(observed_at) // 3600000000 % 3 = 0 AS late FROM linked_rows) GROUP BY canonical_key)""")
+def e8_merge(t):
+    before, batch = _two_batches(t)
+    return linking.upsert_events(batch, existing=linking.upsert_events(before)).select(
+        "event_id", "title", "primary_work_id", shown("occurred_at").alias("occurred"), shown("updated_at").alias("updated"))
+
+
+@query("e8_link_merge", f"""SELECT event_id, artifact_id, coalesce(n.basis, s.basis) AS basis, n.event_id IS NOT NULL OR coalesce(s.source_key, '') <> 'reddit' AS active,
+    CASE WHEN n.event_id IS NULL AND s.source_key = 'reddit' THEN 'mistaken' END AS reason FROM
+    (SELECT sha256(canonical_key) AS event_id, artifact_id, any_value(source_key) AS source_key, max_by(basis, arrival) AS basis FROM ({_STORED}) GROUP BY canonical_key, artifact_id) s FULL JOIN
+    (SELECT sha256(canonical_key) AS event_id, artifact_id, max_by(basis, arrival) AS basis FROM ({_BATCH}) GROUP BY canonical_key, artifact_id) n USING (event_id, artifact_id)""")
+def e8_link_merge(t):
+    """Stored links to the community source were switched off; those that the batch names again are back."""
+    before, batch = _two_batches(t)
+    wrong = before.filter("source_key = 'reddit'").select("event_id", "artifact_id").distinct()
+    stored = linking.upsert_links(before, wrong.withColumn("corrected_at", at(90)).withColumn("reason", F.lit("mistaken")))
+    return linking.upsert_links(batch, existing=stored).select("event_id", "artifact_id", "basis", "active", F.col("correction_reason").alias("reason"))
+
+
 @query("e9_manual_unlink", """SELECT b.event_id, count(DISTINCT a.source_key) AS source_count, least(1.0, greatest(0, count(DISTINCT a.source_key) - 1) / 2) AS corroboration FROM event_base b
     LEFT JOIN (SELECT event_id, source_key FROM links JOIN artifacts USING (artifact_id) WHERE source_key <> 'reddit') a USING (event_id) GROUP BY 1""")
 def e9(t):

@@ -1,9 +1,9 @@
 """Chunked order helpers, linking, evidence, gates, reports and ingestion on small literal frames."""
 
 import datetime as dt
+import json
 import random
 
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +91,35 @@ def test_three_sources_one_event_and_unlink(spark):
     early = wrong.withColumn("corrected_at", F.lit(DAY))
     assert linking.upsert_links(links, early).filter("NOT active").isEmpty()
 
+    later = linking.link_rows(linked(spark, [{"source": "github", "up": "r1", "work": "w", "urls": ["https://github.com/a/b"]}])).withColumn("title", F.lit("renamed"))
+    known = events.withColumn("occurred_at", F.lit(DAY))
+    merged = {r["canonical_key"]: (r["title"], r["occurred_at"]) for r in linking.upsert_events(later, existing=known).collect()}
+    assert merged == {"work:w": ("renamed", DAY), "artifact:reddit:p1": ("t4", DAY)}
+    switched = linking.upsert_links(links, wrong)
+    assert switched.filter("NOT active").count() == 1
+    back = linking.upsert_links(later, existing=switched)
+    assert back.count() == 4 and back.filter("NOT active OR corrected_at IS NOT NULL").isEmpty()
+    still = linking.upsert_links(later.limit(0), existing=switched)
+    assert [r["correction_reason"] for r in still.filter("NOT active").collect()] == ["no"]
+    assert linking.upsert_links(later.limit(0), wrong, existing=stored).filter("NOT active").count() == 1
+
+
+def test_nested_fields_and_kinds_of_outputs(spark):
+    good = {
+        "schema_version": "1.0", "work_id": "w", "change": "c", "problem": "a problem", "contribution": "a contribution", "evidence_state": "weak", "limitations": ["l"],
+        "code_state": "unknown", "technical_relevance": "technical", "commercial_relevance": "commercial", "recommended_action": "track",
+        "claims": [{"text": "t", "type": "fact", "evidence_ids": ["e"]}, {"text": "u", "type": "fact", "evidence_ids": []}]}
+    claim = good["claims"][0]
+    cases = {
+        "good": (good, []), "field": ({**good, "claims": [claim, {**claim, "weight": 1}]}, ["nested unknown field"]), "number": ({**good, "work_id": 5}, ["field kind"]),
+        "list": ({**good, "limitations": [1, "l"]}, ["field kind"]), "null": ({**good, "claims": [{**claim, "evidence_ids": ["e", None]}]}, ["claim evidence"]),
+        "object": ({**good, "claims": ["t"]}, ["field kind"]), "top": ({**good, "more": {}}, ["unknown field"])}
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, (v, _) in cases.items()], "run_id string, output_json string")
+    got = {r["run_id"]: r["reasons"] for r in gates.read_briefs(rows).collect()}
+    assert all(set(want) <= set(got[k]) and bool(want) == bool(got[k]) for k, (_, want) in cases.items()), got
+    broken = spark.createDataFrame([("x", "[1"), ("y", None), ("z", "")], "run_id string, output_json string")
+    assert all(r["reasons"] for r in gates.read_briefs(broken).collect())
+
 
 def test_segments(spark):
     pages = spark.createDataFrame([("d", 1, ["1 Intro", "a  b", " "], 0), ("d", 2, ["c"], 1), ("d", 3, [], 2), ("d", 4, [], 0)], "document_id string, page int, blocks array<string>, image_count int")
