@@ -201,8 +201,9 @@ def catalog_page(t: Tables, query: CatalogQuery) -> DataFrame:
     return shown.withColumn("match_reason", F.lit(match_reason(query)).cast("string"))
 
 
-def paper_detail(t: Tables, work_id: str) -> DataFrame:
-    return base_papers(t).filter(F.col("work_id") == work_id)
+def paper_detail(t: Tables, wanted: DataFrame) -> DataFrame:
+    """The open papers among the works of ``wanted`` (work_id)."""
+    return base_papers(t).join(wanted.select("work_id"), "work_id", "left_semi")
 
 
 def authors_of(page_ids: DataFrame, t: Tables) -> DataFrame:
@@ -272,9 +273,9 @@ def documents_to_process(t: Tables, limit: int | None = 5) -> DataFrame:
     return page(rows, [F.col("publication_date").desc_nulls_last(), F.col("work_id").asc()], limit)
 
 
-def evidence_listing(t: Tables, work_id: str, limit: int | None = 50, offset: int = 0) -> DataFrame:
-    """Spans of the current version of a work, in reading order."""
-    version = t["works"].filter(F.col("work_id") == work_id).select(F.col("current_version_id").alias("version_id"))
+def evidence_listing(t: Tables, wanted: DataFrame, limit: int | None = 50, offset: int = 0) -> DataFrame:
+    """Spans of the current version of the works of ``wanted`` (work_id), in reading order."""
+    version = t["works"].join(wanted.select("work_id"), "work_id", "left_semi").select(F.col("current_version_id").alias("version_id"))
     documents = t["documents"].join(version, "version_id", "left_semi").select("document_id")
     rows = t["spans"].join(documents, "document_id", "left_semi")
     return page(rows, [F.col("page"), F.col("char_start"), F.col("span_id")], limit, offset)

@@ -93,7 +93,7 @@ def p8(t):
 @query("p9_paper_detail", "SELECT work_id, title, version_label, source_key FROM papers WHERE work_id = (SELECT min(work_id) FROM papers)")
 def p9(t):
     first = catalog.base_papers(t).agg(F.min("work_id").alias("work_id"))
-    return catalog.base_papers(t).join(F.broadcast(first), "work_id", "left_semi").select("work_id", "title", "version_label", "source_key")
+    return catalog.paper_detail(t, first).select("work_id", "title", "version_label", "source_key")
 
 
 @query("p10_document_status", """SELECT v.version_id, coalesce(d.parse_status, a.status, 'not_acquired') AS document_status FROM versions v
@@ -131,12 +131,14 @@ def p15(t):
     return within_window(dated, since, until).select("version_id", "work_id")
 
 
-@query("p17_evidence_listing", """SELECT page, char_start, span_id, text FROM spans WHERE version_id = (SELECT min(doc_id) FROM labels)
+@query("p17_evidence_listing", """SELECT page, char_start, span_id, text FROM spans WHERE document_id IN (SELECT document_id FROM pdfs WHERE version_id IN (
+    SELECT current_version_id FROM works WHERE work_id = (SELECT min(work_id) FROM works w JOIN pdfs d ON d.version_id = w.current_version_id)))
     ORDER BY page, char_start, span_id LIMIT 50""")
 def p17(t):
-    first = t.raw("labels").agg(F.min("doc_id").alias("version_id"))
-    rows = t["spans"].join(F.broadcast(first), "version_id", "left_semi")
-    return catalog.page(rows, [F.col("page"), F.col("char_start"), F.col("span_id")], 50).select("page", "char_start", "span_id", "text")
+    """Evidence of the first work whose current version has a document."""
+    current = t["works"].select("work_id", F.col("current_version_id").alias("version_id"))
+    first = current.join(t["documents"], "version_id", "left_semi").agg(F.min("work_id").alias("work_id"))
+    return catalog.evidence_listing(t, first).select("page", "char_start", "span_id", "text")
 
 
 @query("j1_star_join", "SELECT trust_tier, publication_status, count(*) AS papers FROM papers GROUP BY 1, 2")

@@ -18,7 +18,7 @@ from scholarloom.functions.text import (
     casefold, clean, comparison_form, first_sentence, is_heading, label_form, normal_form, sorted_json,
     stable_key,
 )
-from scholarloom.operators import evidence, gates, ranking, reports
+from scholarloom.operators import evidence, gates, invariants, ranking, reports
 from scholarloom.operators.identity import resolve_identities
 from scholarloom.operators.ordered import global_position
 from scholarloom.operators.retention import retention_plan
@@ -674,6 +674,11 @@ def s13_rows(t):
     return gates.claim_rows(_reports(t), "report").select("claim_id", "claim_type", "importance")
 
 
+@query("s13_section_rows", f"SELECT doc_id AS run_id, 'brief' AS section_key, 1 AS section_order, 'verified' AS status, title AS content_markdown, 1.0 AS confidence FROM {_B}")
+def s13_sections(t):
+    return gates.section_rows(gates.read_briefs(_brief_outputs(t)), "brief")
+
+
 @query("j4_unsupported_claims", "SELECT claim_id FROM claims WHERE claim_type IN ('fact', 'interpretation') AND claim_id NOT IN (SELECT claim_id FROM edges)")
 def j4(t):
     return gates.unsupported_claims(t["claims"], gates.claim_evidence(t["claims"], t["allowed"])).select("claim_id")
@@ -719,7 +724,7 @@ def g8(t):
 
 @query("g9_daily_report")
 def g9(t):
-    """One row with every part of the day's report; JSON text, so only its rows are checked here."""
+    """One row with every part of the day's report; JSON text, whose parts g9_report_parts checks."""
     made = t["artifacts"].withColumn("created_at", F.lit(None).cast("timestamp"))
     parts = {
         "top_technical": ranking.ranked(t, "technical").select((-F.col("total_score")).alias("order"), "work_id", "title", "total_score", "reason", "status"),
@@ -734,6 +739,38 @@ def g9(t):
     return reports.daily_report("2024-02-01", parts)
 
 
+_REPORT_IDS = {
+    "top_technical": "work_id", "top_commercial": "work_id", "what_happened": "event_id", "launches": "artifact_id", "community_signals": "artifact_id",
+    "important_updates": "work_id", "learning_focus": "concept", "coverage_gaps": "gap"}
+_NEWEST = "coalesce(updated_at, published_at) DESC NULLS LAST, artifact_id"
+
+
+def _sql_part(part: str, key: str, order: str, rows: str, limit: int) -> str:
+    return f"SELECT '{part}' AS part, row_number() OVER (ORDER BY {order}) - 1 AS position, {key} AS id FROM (SELECT * FROM {rows} ORDER BY {order} LIMIT {limit})"
+
+
+@query("g9_report_parts", " UNION ALL ".join([
+    _sql_part("top_technical", "work_id", "total_score DESC, work_id", "results WHERE score_kind = 'technical'", 10),
+    _sql_part("top_commercial", "work_id", "total_score DESC, work_id", "results WHERE score_kind = 'commercial'", 10),
+    _sql_part("what_happened", "event_id", "occurred_at DESC NULLS LAST, event_id", "linked_events", 8),
+    _sql_part("launches", "artifact_id", _NEWEST, "artifacts WHERE artifact_type IN ('repository', 'release', 'model', 'dataset', 'space')", 8),
+    _sql_part("community_signals", "artifact_id", _NEWEST, "artifacts WHERE content_class = 'community_reaction' OR authority < 0.5", 8),
+    _sql_part("important_updates", "work_id", "observed_at DESC, work_id", "versions WHERE is_current AND work_id IN (SELECT work_id FROM versions GROUP BY 1 HAVING count(*) > 1)", 10),
+    _sql_part("learning_focus", "concept", "f", """(SELECT concept, min((p, s)) AS f FROM (SELECT p, s, CASE s WHEN 0 THEN 'Concept ' || (doc_id % 7) ELSE lang END AS concept FROM (
+        SELECT *, row_number() OVER (ORDER BY doc_id % 40 DESC, doc_id DESC) AS p FROM documents) d, (VALUES (0), (1)) k(s) WHERE p <= 2) GROUP BY 1)""", 10),
+    """SELECT 'coverage_gaps', 0, (SELECT count(*) FROM works WHERE work_type = 'paper' AND work_id NOT IN (SELECT work_id FROM with_docs)) || ' papers have no parsed document.'
+        WHERE EXISTS (SELECT 1 FROM works WHERE work_type = 'paper' AND work_id NOT IN (SELECT work_id FROM with_docs))"""]))
+def g9_parts(t):
+    """The stored report taken apart again: part, position and id. The corpus has verified deep reports, so one gap is left."""
+    kinds = ", ".join(f"{part} array<struct<{key}:string>>" for part, key in _REPORT_IDS.items())
+    report = g9(t).select(F.from_json("report_json", kinds).alias("r"))
+
+    def rows(part: str, key: str) -> Column:
+        return F.transform(F.col("r")[part], lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("position"), x[key].alias("id")))
+
+    return report.select(F.inline(F.concat(*[rows(part, key) for part, key in _REPORT_IDS.items()])))
+
+
 @query("g10_claim_audit", "SELECT (SELECT count(DISTINCT span_id) FROM edges) AS cited, (SELECT count(*) FROM claims WHERE claim_type IN ('fact', 'interpretation') AND claim_id NOT IN (SELECT claim_id FROM edges)) AS unsupported")
 def g10(t):
     edges = gates.claim_evidence(t["claims"], t["allowed"])
@@ -774,6 +811,21 @@ def e4(t):
     return resolve_identities(_identity_records(t)).review
 
 
+@query("e3_resolution_invariants", "SELECT 'current_versions' AS rule, 0 AS violations UNION ALL SELECT 'external_ids', 0")
+def e3_invariants(t):
+    """Every resolved work has one current version, and no external id names two works."""
+    found = resolve_identities(_identity_records(t))
+    ids = found.external_ids.select(F.lit("any").alias("id_type"), F.col("identity").alias("value"), "work_id")
+    return invariants.violations({"versions": found.versions, "external_ids": ids}).groupBy("rule").agg(F.count("key").alias("violations"))
+
+
+@query("c1_invariants", """SELECT 'current_versions' AS rule, count(*) AS violations FROM (SELECT work_id FROM versions GROUP BY 1 HAVING count(CASE WHEN is_current THEN 1 END) <> 1)
+    UNION ALL SELECT 'external_ids', count(*) FROM (SELECT id_type, value FROM external_ids GROUP BY 1, 2 HAVING count(DISTINCT work_id) > 1)
+    UNION ALL SELECT 'results', count(*) FROM (SELECT work_id, score_kind FROM results GROUP BY 1, 2 HAVING count(*) > 1)""")
+def c1(t):
+    return invariants.violations(t).groupBy("rule").agg(F.count("key").alias("violations"))
+
+
 @query("j7_similar_titles")
 def j7(t):
     titles = _identity_records(t).select("author", "year", "title").distinct()

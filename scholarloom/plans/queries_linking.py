@@ -230,6 +230,11 @@ def r5(t):
     return ranking.insert_summary(t["results"], t["results"].filter("work_id < 'w8'"))
 
 
+@query("r5_new_results", "SELECT work_id, score_kind, round(total_score, 3) AS total_score FROM results WHERE work_id >= 'w8'")
+def r5_new(t):
+    return ranking.insert_results(t["results"], t["results"].filter("work_id < 'w8'")).select("work_id", "score_kind", F.round("total_score", 3).alias("total_score"))
+
+
 @query("r5_results_long", "SELECT work_id, score_kind, round(total_score, 3) AS total_score FROM results")
 def r5_long(t):
     return t["results"].select("work_id", "score_kind", F.round("total_score", 3).alias("total_score"))
