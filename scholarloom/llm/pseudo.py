@@ -5,8 +5,8 @@ tokens by their last two bytes. The network sees ``SIDE`` tokens on both sides o
 token in the middle over the whole token set. A document's score is the sum of the log-probabilities of all its tokens.
 
 All of the corpus counts: words are counted over all documents, and every document trains. In each of ``ROUNDS`` rounds every task
-starts from the same weights and walks its documents, with every ``STRIDE``-th place as a target (another phase in each round); the weights are then averaged over
-all tasks by the number of targets, as sums in two steps. Only the network itself (about 60 kB) reaches the driver.
+starts from the same weights and walks its documents, with every ``STRIDE``-th place as a target, another phase in each round; there are as many rounds as
+phases, so every place of every document is a target once. After a round the weights are averaged over all tasks by the number of targets, as sums in two steps. Only the network itself (about 60 kB) reaches the driver.
 
 - Null or empty text, or no words: no tokens, log-likelihood 0, null mean. Empty table: no rows.
 - Repeated rows: one result each (and each counts in training). Null doc_id: scored like any other. Extra columns are not read.
@@ -30,7 +30,8 @@ from scholarloom.llm.common import ALNUM, LOWER, columns, small_batches, split_w
 FREQUENT, CLASSES, SIDE, WIDTH = 96, 32, 2, 16
 VOCABULARY = FREQUENT + CLASSES
 EDGE = VOCABULARY
-ROUNDS, STRIDE, MINIBATCH, RATE = 2, 8, 512, 0.1
+ROUNDS = STRIDE = 2
+MINIBATCH, RATE = 512, 0.1
 SUMS = 16
 AT_ONCE = 65_536
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]

@@ -3,6 +3,7 @@ import collections
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -198,6 +199,24 @@ def test_pseudo_likelihood(spark, docs, cases, none):
     assert np.allclose(pseudo.log_likelihoods(net, tokens, first), want, atol=1e-4)
 
 
+def test_every_place_is_a_target(monkeypatch):
+    """One target a step is recorded: over all rounds each place of each document is met once, whatever the batch."""
+    step, sizes = pseudo.Network.step, [1, 1, 2, 3, 1, 5, 8]
+    met = []
+    monkeypatch.setattr(pseudo.Network, "step", lambda self, around, target, memory: (met.extend(target.tolist()), step(self, around, target, memory))[1])
+    rows, at = [], 0
+    for size in sizes:
+        rows.append(bytes(range(at, at + size)))
+        at += size
+    batch = pa.RecordBatch.from_pydict({"tokens": rows})
+    shared = type("Shared", (), {"value": pseudo.Network.fresh().flat()})
+    for k in range(pseudo.ROUNDS):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(pseudo, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": staticmethod(lambda: 0)}))}))
+            list(pseudo._train(shared, k * pseudo.STRIDE // pseudo.ROUNDS)([batch]))
+    assert sorted(met) == list(range(at))
+
+
 def test_neighbours_tell_more_than_frequencies(spark):
     """On documents it was not trained on, the network beats the token frequencies of those it was trained on. (Word order is random in these texts, language is not.)"""
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
