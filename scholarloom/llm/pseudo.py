@@ -1,8 +1,9 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
-Words (A-Z lower-cased) are mapped to tokens: the ``FREQUENT`` most frequent words of the corpus have one each, the others share ``CLASSES``
-tokens by their last two bytes. The network sees ``SIDE`` tokens on both sides of a place, adds one embedding per place, and predicts the
-token in the middle over the whole token set. A document's score is the sum of the log-probabilities of all its tokens.
+Words (A-Z lower-cased) are the tokens, all words of the corpus the vocabulary. The output is factored by classes: the ``FREQUENT`` most frequent words
+have a class each, the others share ``CLASSES`` classes by their last two bytes. The network sees the classes at ``SIDE`` places on both sides of a place, adds
+one embedding per place, and predicts the class in the middle. A word's log-probability is that of its class given the neighbours plus that of the word
+within its class, its share of the class in the counts of all words, which are joined. A document's score is the sum over all its words.
 
 All of the corpus counts: words are counted over all documents, and every document trains. In each of ``ROUNDS`` rounds every task
 starts from the same weights and walks its documents, with every ``STRIDE``-th place as a target, another phase in each round; there are as many rounds as
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholarloom.llm.common import ALNUM, LOWER, columns, small_batches, split_words, stored, texts, utf8, word_hashes
+from scholarloom.llm.common import ALNUM, LOWER, columns, runs, small_batches, split_words, stored, texts, utf8, word_hashes
 
 FREQUENT, CLASSES, SIDE, WIDTH = 96, 32, 2, 16
 VOCABULARY = FREQUENT + CLASSES
@@ -38,48 +39,94 @@ PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("word", pa.int64()), ("class", pa.int32()), ("n", pa.int64())])
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         data = LOWER[data]
         starts, ends, _ = split_words(data, offsets, ALNUM)
-        words, counts = np.unique(word_hashes(data, starts, ends).view(np.int64), return_counts=True)
-        yield columns(schema, word=words, n=counts)
+        words, at, counts = np.unique(word_hashes(data, starts, ends).view(np.int64), return_index=True, return_counts=True)
+        yield columns(schema, word=words, n=counts, **{"class": classes_of(data, starts[at], ends[at])})
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of all documents, the most frequent first."""
+def classes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Shared class of every word, by its last two bytes."""
+    if not len(ends):
+        return ends
+    before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.int64)
+    return FREQUENT + (data[ends - 1].astype(np.int64) * 31 + before * 7) % CLASSES
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, class, n): the hash of every word of all documents, the class it would share, and how often it occurs."""
     small_batches(docs.sparkSession)
-    totals = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "word long, class int, n long").groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
+
+
+def most_frequent(totals: DataFrame) -> np.ndarray:
     return np.array([r.word for r in totals.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()], np.int64)
 
 
+def frequent_words(docs: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words of all documents, the most frequent first."""
+    return most_frequent(word_counts(docs))
+
+
+def within_classes(totals: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(word, log_share): log-probability within its class of every word that shares one."""
+    shared = totals.where(~F.col("word").isin(frequent.tolist())) if len(frequent) else totals
+    sizes = shared.groupBy("class").agg(F.sum("n").alias("size"))
+    return shared.join(F.broadcast(sizes), "class").select("word", (F.log(F.col("n").cast("double")) - F.log(F.col("size").cast("double"))).alias("log_share"))
+
+
 def tokens_of(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, first): the token of every word, and the number of words before each text."""
     data = LOWER[data]
     starts, ends, first = split_words(data, offsets, ALNUM)
-    last = data[ends - 1].astype(np.int64) if len(ends) else ends
-    before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.int64) if len(ends) else ends
-    out = FREQUENT + (last * 31 + before * 7) % CLASSES
+    return _tokens(data, starts, ends, word_hashes(data, starts, ends).view(np.int64), frequent), first
+
+
+def _tokens(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    out = classes_of(data, starts, ends)
     if len(frequent) and len(starts):
-        hashes, order = word_hashes(data, starts, ends).view(np.int64), np.argsort(frequent)
+        order = np.argsort(frequent)
         at = np.minimum(np.searchsorted(frequent[order], hashes), len(frequent) - 1)
         known = frequent[order][at] == hashes
         out[known] = order[at[known]]
-    return out.astype(np.uint8), first
+    return out.astype(np.uint8)
+
+
+TOKENS = T.StructType([T.StructField("tokens", T.BinaryType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+
+
+def _listed(values: np.ndarray, first: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
 
 
 def tokenised(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, tokens): one byte a word, stored."""
+    """(row, doc_id, tokens, words, counts), stored: one byte a word; each different word that shares a class, and how often the text holds it. ``row`` is a number of its own for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    @F.arrow_udf(T.BinaryType())
-    def tokens(text: pa.Array) -> pa.Array:
-        found, first = tokens_of(*utf8(text), shared.value)
+    @F.arrow_udf(TOKENS)
+    def cut(text: pa.Array) -> pa.Array:
+        data, offsets = utf8(text)
+        data, n = LOWER[data], len(offsets) - 1
+        starts, ends, first = split_words(data, offsets, ALNUM)
+        hashes = word_hashes(data, starts, ends).view(np.int64)
+        found = _tokens(data, starts, ends, hashes, shared.value)
         whole = found.tobytes()
-        return pa.array([whole[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+        rare = found >= FREQUENT
+        owner, hashes = np.repeat(np.arange(n), np.diff(first))[rare], hashes[rare]
+        order = np.lexsort((hashes, owner))
+        owner, hashes = owner[order], hashes[order]
+        bounds = runs([owner, hashes])
+        per_text = np.searchsorted(owner[bounds[:-1]], np.arange(n + 1))
+        return pa.StructArray.from_arrays([
+            pa.array([whole[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()),
+            _listed(hashes[bounds[:-1]], per_text, pa.int64()), _listed(np.diff(bounds), per_text, pa.int32())], names=["tokens", "words", "counts"])
 
-    return stored(docs.select("doc_id", tokens(F.col("text").cast("string")).alias("tokens")), "tokens")
+    small_batches(docs.sparkSession)
+    told = docs.select("doc_id", cut(F.col("text").cast("string")).alias("cut"))
+    return stored(told.select(F.monotonically_increasing_id().alias("row"), "doc_id", "cut.tokens", "cut.words", "cut.counts"), "tokens")
 
 
 @dataclass
@@ -194,7 +241,7 @@ def trained(tokens: DataFrame) -> Network:
 
 
 def log_likelihoods(net: Network, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Summed log-probability of every text's tokens, each given its neighbours."""
+    """Summed log-probability of the classes of every text's words, each given its neighbours."""
     line, at = padded(tokens, first)
     sums = np.zeros(len(first) - 1, np.float64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -205,14 +252,24 @@ def log_likelihoods(net: Network, tokens: np.ndarray, first: np.ndarray) -> np.n
     return sums
 
 
+def word_terms(tokens: DataFrame, within: DataFrame) -> DataFrame:
+    """(row, word_log): summed log-probability within their classes of a row's words that share one."""
+    pairs = tokens.select("row", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("row", F.col("p.words").alias("word"), F.col("p.counts").alias("times"))
+    return pairs.join(within, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("word_log"))
+
+
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every whole document."""
-    tokens = tokenised(docs, frequent_words(docs))
+    totals = stored(word_counts(docs), "words")
+    frequent = most_frequent(totals)
+    tokens = tokenised(docs, frequent)
     shared = docs.sparkSession.sparkContext.broadcast(trained(tokens).flat())
 
     @F.arrow_udf(T.DoubleType())
     def score(column: pa.Array) -> pa.Array:
         return pa.array(log_likelihoods(Network.from_flat(shared.value), *utf8(column)), pa.float64())
 
-    told = tokens.select("doc_id", F.octet_length("tokens").cast("long").alias("n_tokens"), score("tokens").alias("log_likelihood"))
+    told = tokens.select("row", "doc_id", F.octet_length("tokens").cast("long").alias("n_tokens"), score("tokens").alias("class_log"))
+    told = told.join(word_terms(tokens, within_classes(totals, frequent)), "row", "left")
+    told = told.select("doc_id", "n_tokens", (F.col("class_log") + F.coalesce("word_log", F.lit(0.0))).alias("log_likelihood"))
     return told.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

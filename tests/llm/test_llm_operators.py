@@ -199,6 +199,27 @@ def test_pseudo_likelihood(spark, docs, cases, none):
     assert np.allclose(pseudo.log_likelihoods(net, tokens, first), want, atol=1e-4)
 
 
+def test_words_of_a_class_have_their_own_probability(spark):
+    """A word seen once scores lower than a usual one of the same class, by the logarithm of how often each occurs; repeated rows count once each."""
+    usual, odd = "station", "qqxzion"
+    texts = ["w%dx" % (k % 120) + " and the " + usual for k in range(240)] + ["a " + usual + " b", "a " + odd + " b", "a " + odd + " b", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    totals = pseudo.word_counts(frame)
+    frequent = np.zeros(0, np.int64)
+    tokens = pseudo.tokenised(frame, frequent)
+    got = {r.doc_id: r.word_log for r in tokens.join(pseudo.word_terms(tokens, pseudo.within_classes(totals, frequent)), "row").collect()}
+    assert abs(got[240] - got[241] - np.log(241 / 2)) < 1e-9 and got[241] == got[242] and 243 not in got
+    counts = collections.Counter(w for t in texts for w in brute.alnum_words(t))
+    kind = lambda w: (ord(w[-1]) * 31 + (ord(w[-2]) if len(w) > 1 else 0) * 7) % pseudo.CLASSES
+    sizes = collections.Counter()
+    for w, n in counts.items():
+        sizes[kind(w)] += n
+    for doc, text in enumerate(texts[:-1]):
+        assert abs(got[doc] - sum(np.log(counts[w] / sizes[kind(w)]) for w in brute.alnum_words(text))) < 1e-9
+    scored = {r.doc_id: r.log_likelihood for r in pseudo.pseudo_likelihood(frame.where("doc_id >= 100")).collect()}
+    assert scored[240] != scored[241] and scored[243] == 0
+
+
 def test_every_place_is_a_target(monkeypatch):
     """One target a step is recorded: over all rounds each place of each document is met once, whatever the batch."""
     step, sizes = pseudo.Network.step, [1, 1, 2, 3, 1, 5, 8]
