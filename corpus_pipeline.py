@@ -27,7 +27,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return phrases.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return phrases.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_row=True)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,16 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark import TaskContext
 
-from scholarloom.llm.common import ALNUM, LOWER, columns, document_id, integers, real_id, small_batches, split_words, stored, texts, utf8, word_hashes
+from scholarloom.llm.common import ALNUM, LOWER, columns, document_id, integers, keyed, real_id, small_batches, split_words, stored, texts, utf8, word_hashes
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-INDEX = pa.schema([("segment", pa.int64()), ("docs", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("terms", pa.list_(pa.int64())),
+INDEX = pa.schema([("segment", pa.int64()), ("docs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("terms", pa.list_(pa.int64())),
                    ("counts", pa.list_(pa.int32())), ("positions", pa.binary())])
-INDEX_DDL = "segment long, docs array<long>, first array<int>, terms array<long>, counts array<int>, positions binary"
-FOUND = pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.binary()), ("items", pa.list_(pa.string()))])
-FOUND_DDL = "segment long, place int, doc_id long, n_words long, spans binary, items array<string>"
+INDEX_DDL = "segment long, docs array<long>, keys array<long>, first array<int>, terms array<long>, counts array<int>, positions binary"
+FOUND = pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.binary()), ("items", pa.list_(pa.string()))])
+FOUND_DDL = "segment long, place int, doc_id long, row_key long, n_words long, spans binary, items array<string>"
 
 
 def _listed(values: list[np.ndarray], kind) -> pa.Array:
@@ -57,7 +57,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gaps = np.diff(order, prepend=0)  # positions rise within a term; the first of each is whole
         gaps[at] = order[at]
         yield pa.RecordBatch.from_arrays([
-            pa.array([number], pa.int64()), _listed([integers(batch.column("doc_id"))], pa.int64()), _listed([first.astype(np.int32)], pa.int32()),
+            pa.array([number], pa.int64()), _listed([integers(batch.column("doc_id"))], pa.int64()), _listed([integers(batch.column("row_key"))], pa.int64()), _listed([first.astype(np.int32)], pa.int32()),
             _listed([terms], pa.int64()), _listed([counts.astype(np.int32)], pa.int32()), pa.array([gaps.astype("<i4").tobytes()], pa.binary())], schema=INDEX)
         number += 1
 
@@ -65,7 +65,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def positional_index(docs: DataFrame) -> DataFrame:
     """Postings of every token of ``docs`` (doc_id, text), stored in the shared folder."""
     small_batches(docs.sparkSession)
-    return stored(docs.select(document_id().alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_segments, INDEX_DDL), "postings")
+    return stored(keyed(docs).mapInArrow(_segments, INDEX_DDL), "postings")
 
 
 class Phrases:
@@ -119,7 +119,7 @@ def _search(phrases, slop: int):
         query: Phrases = phrases.value
         for batch in batches:
             for row in range(batch.num_rows):
-                docs, first, terms, counts = (np.asarray(batch.column(n)[row].values) for n in ("docs", "first", "terms", "counts"))
+                docs, keys, first, terms, counts = (np.asarray(batch.column(n)[row].values) for n in ("docs", "keys", "first", "terms", "counts"))
                 gaps = np.frombuffer(batch.column("positions")[row].as_buffer(), "<i4").astype(np.int64)
                 at = np.cumsum(counts, dtype=np.int64) - counts
                 spans: list[list[int]] = [[] for _ in docs]
@@ -136,7 +136,7 @@ def _search(phrases, slop: int):
                             for start, doc in zip(starts[inside].tolist(), owners[inside].tolist(), strict=True):
                                 spans[doc] += [start - int(first[doc]), size]
                                 items[doc].update(query.items[k])
-                yield columns(FOUND, segment=np.full(len(docs), batch.column("segment")[row].as_py()), place=np.arange(len(docs), dtype=np.int32), doc_id=docs,
+                yield columns(FOUND, segment=np.full(len(docs), batch.column("segment")[row].as_py()), place=np.arange(len(docs), dtype=np.int32), doc_id=docs, row_key=keys,
                               n_words=np.diff(first).astype(np.int64), spans=[np.array(s, "<i4").tobytes() for s in spans], items=[sorted(i) for i in items])
     return work
 
@@ -152,7 +152,7 @@ def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[str,
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(segment, place, doc_id, n_words, spans, items) for every document of the index.
+    """(segment, place, doc_id, row_key, n_words, spans, items) for every document of the index.
 
     ``spans`` holds (first word, words) of every match as little-endian 32-bit integers; ``items`` the items matched.
     """
@@ -167,7 +167,7 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slo
         whole = whole.unionAll(part)
     joined = F.array_join(F.transform(F.collect_list("spans"), F.hex), "")
     return whole.groupBy("segment", "place").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.unhex(joined).alias("spans"),
+        F.first("doc_id").alias("doc_id"), F.first("row_key").alias("row_key"), F.max("n_words").alias("n_words"), F.unhex(joined).alias("spans"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
@@ -194,9 +194,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows of ``docs`` without a hit; columns as given. Rows that share a doc_id go together when one of them is hit."""
-    hit = contamination(docs, items, window).where("contaminated").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("llm_doc")).distinct()
-    return docs.withColumn("llm_doc", document_id()).join(hit, "llm_doc", "left_anti").select(*docs.columns)
+def uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, by_row: bool = False) -> DataFrame:
+    """Rows of ``docs`` without a hit; columns as given. Rows that share a doc_id go together when one of them is hit, with ``by_row`` only those of the same text."""
+    hit = phrase_matches(positional_index(docs), items, window).where(F.octet_length("spans") > 0)
+    hit = hit.select(F.col("doc_id").alias("llm_doc"), *([F.col("row_key").alias("llm_key")] if by_row else [])).distinct()
+    own = docs.withColumns({"llm_doc": document_id(), "llm_key": F.xxhash64("text")})
+    return own.join(hit, hit.columns, "left_anti").select(*docs.columns)
 
 

@@ -145,9 +145,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of the smallest doc_id of every group; of rows that repeat this doc_id within a group one stays. Columns as given."""
-    groups = near_duplicates(docs)
-    chosen = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("llm_doc"), F.col("fp").alias("llm_fp"))
-    chosen = chosen.groupBy("llm_doc").agg(F.min("llm_fp").alias("llm_fp"))
-    own = docs.withColumn("llm_doc", document_id())
-    return own.join(chosen.select("llm_doc"), "llm_doc", "left_semi").dropDuplicates(["llm_doc"]).select(*docs.columns)
+    """The row of the smallest doc_id of every group, of several such rows that of the smallest text hash; one row a group. Columns as given."""
+    small_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    prints = stored(docs.select(document_id().alias("doc_id"), F.xxhash64(text).alias("row_key"), _fingerprints(text).alias("fp")), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
+    roots = component_of(close_links(nodes.select("fp")))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    chosen = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("llm_doc"), F.col("least.row_key").alias("llm_key"))
+    own = docs.withColumns({"llm_doc": document_id(), "llm_key": F.xxhash64(text)})
+    return own.join(chosen, ["llm_doc", "llm_key"], "left_semi").dropDuplicates(["llm_doc", "llm_key"]).select(*docs.columns)

@@ -49,6 +49,23 @@ def test_near_duplicates(docs, cases, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
+def test_one_row_of_every_group_whatever_the_ids(spark):
+    """Groups of null ids only, and a doc_id with different texts in two groups, keep a row each; copies do not."""
+    other = [" ".join("%s%d" % (w, k * j) for j in range(40)) for k, w in enumerate(["red", "green", "blue", "grey"], 1)]
+    rows = [(None, other[0]), (None, other[0]), (None, other[1]), (7, other[2]), (7, other[3]), (9, other[3]), (7, other[2])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len({c[1] for c in brute.components(rows)}) == 4
+    same(simhash.one_of_each(frame), [(None, other[0]), (None, other[1]), (7, other[2]), (7, other[3])])
+
+
+def test_rows_of_one_id_are_contaminated_by_their_own_text(spark):
+    passage = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, passage), (None, "clean"), (3, "x " + passage), (3, "also clean"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    same(phrases.uncontaminated(docs, items, by_row=True), [(None, "clean"), (3, "also clean"), (3, None)])
+    assert phrases.uncontaminated(docs, items).count() == 0
+
+
 def test_every_close_pair_shares_a_key_and_tiles_lose_no_link(spark, monkeypatch):
     draw = np.random.default_rng(3)
     base = draw.integers(-2**63, 2**63 - 1, 12)
