@@ -1,7 +1,8 @@
 """URL filters: host and path rules first, then gradient-boosted trees on lexical features; DataFrame functions and Spark ML only.
 
 Features: lengths, depth, digit ratio, entropy of the characters, hyphens, parameters, and how often URLs of the same host suffix are
-bad among the training URLs (smoothed). Training takes at most ``SAMPLE`` labelled URLs, those with the smallest hashes.
+bad among all labelled URLs (smoothed); these shares are a stored table that is joined. The trees are fitted on at most ``SAMPLE`` labelled URLs, those with
+the smallest hashes.
 
 - Null url or one without ``://``: empty host and path; no rule fits; the trees judge it like any other.
 - Repeated rows: one result each. No training URLs, or all of one label: every URL without a rule is allowed (or blocked, if all are bad).
@@ -18,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholarloom.llm.common import stored
 from scholarloom.llm.rules import bound
 
 SAMPLE = 20_000
@@ -69,6 +71,11 @@ def entropy(text: Column) -> Column:
     return F.when(F.length(text) > 0, bound(F.split(text, ""), told)).otherwise(F.lit(0.0))
 
 
+def ends(host: Column) -> tuple[Column, Column]:
+    """(suffix, top): the last two labels of a host, and the last."""
+    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+
+
 def lexical(pages: DataFrame) -> DataFrame:
     """``pages`` with host, path, suffixes and the lexical features of ``url``."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
@@ -77,14 +84,14 @@ def lexical(pages: DataFrame) -> DataFrame:
     size = F.greatest(F.length("whole"), F.lit(1))
     count = lambda pattern, column: F.regexp_count(column, F.lit(pattern))
     return cut.withColumns({
-        "suffix": F.substring_index("host", ".", -2), "top": F.substring_index("host", ".", -1),
+        "suffix": ends(F.col("host"))[0], "top": ends(F.col("host"))[1],
         "url_length": F.length("whole").cast("double"), "host_length": F.length("host").cast("double"), "path_length": F.length("path").cast("double"),
         "labels": count(r"\.", "host").cast("double"), "hyphens": count("-", "host").cast("double"), "depth": count("/", "path").cast("double"),
         "digit_ratio": count("[0-9]", "whole") / size, "entropy": entropy(F.col("host")), "parameters": count("[?&][^?&=#]+=", "whole").cast("double")}).drop("whole")
 
 
 def suffix_rates(training: DataFrame, key: str, into: str) -> DataFrame:
-    """(key, share of bad URLs, drawn towards the share of all); as many rows as the sample has suffixes at most."""
+    """(key, share of bad URLs, drawn towards the share of all), over all rows of ``training``."""
     whole = training.agg(F.coalesce(F.avg("bad"), F.lit(0.0)).alias("all"))
     return training.groupBy(key).agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n")).join(whole).select(
         key, ((F.col("bad") + SMOOTHING * F.col("all")) / (F.col("n") + SMOOTHING)).alias(into))
@@ -95,15 +102,13 @@ class UrlModel:
 
     def __init__(self, labelled: DataFrame) -> None:
         chosen = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select("url", F.col("bad").cast("double").alias("bad"))
-        chosen = chosen.orderBy(F.xxhash64("url"), "url", "bad").limit(SAMPLE)
-        training = lexical(chosen).drop("path").cache()
-        self.share = training.agg(F.avg("bad")).first()[0] or 0.0
-        rates = {k: suffix_rates(training, k, into) for k, into in (("suffix", "suffix_bad"), ("top", "top_bad"))}
-        self.rates = {k: {r[0]: r[1] for r in frame.toLocalIterator()} for k, frame in rates.items()}
-        spark = labelled.sparkSession
-        self.tables = {k: spark.createDataFrame(sorted(self.rates[k].items()) or [("", self.share)], f"{k} string, {into} double") for k, into in (("suffix", "suffix_bad"), ("top", "top_bad"))}
-        self.model = None
-        if 0 < self.share < 1:
+        suffix, top = ends(parts(F.col("url"))[0])
+        counted = chosen.select(suffix.alias("suffix"), top.alias("top"), "bad")
+        self.share = counted.agg(F.avg("bad")).first()[0] or 0.0
+        self.tables = {k: stored(suffix_rates(counted, k, into), f"rates-{k}") for k, into in (("suffix", "suffix_bad"), ("top", "top_bad"))}
+        training = lexical(chosen.orderBy(F.xxhash64("url"), "url", "bad").limit(SAMPLE)).drop("path").cache()
+        self.model, of_sample = None, training.agg(F.avg("bad")).first()[0] or 0.0
+        if 0 < of_sample < 1:
             fitted = self._assembled(training).withColumn("label", F.col("bad"))
             self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, seed=SEED, featuresCol="features", labelCol="label").fit(fitted.select("features", "label"))
         training.unpersist()

@@ -170,6 +170,19 @@ def test_url_trees_learn(spark):
     assert got == {k: "block" if k % 5 == 0 else "allow" for k in range(600)}
 
 
+def test_shares_of_suffixes_count_all_labelled_urls(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SAMPLE", 40)
+    rows = [("http://a%d.%s%d.test/" % (k, "bad" if k % 2 else "fine", k % 60), k % 2) for k in range(1_200)] + [(None, 1), ("http://x.none.test/", None)]
+    model = urls.UrlModel(spark.createDataFrame(rows, "url string, bad int"))
+    got = {r.suffix: r.suffix_bad for r in model.tables["suffix"].collect()}
+    assert model.share == 0.5 and len(got) == 60 and model.model is not None
+    for suffix, rate in got.items():
+        assert abs(rate - ((20 if suffix.startswith("bad") else 0) + urls.SMOOTHING * 0.5) / (20 + urls.SMOOTHING)) < 1e-12
+    pages = spark.createDataFrame([(1, "http://new.bad31.test/"), (2, "http://new.fine30.test/"), (3, "http://new.unseen.test/")], "page_id long, url string")
+    told = {r.page_id: r.suffix_bad for r in model._assembled(urls.lexical(pages)).collect()}
+    assert told == {1: got["bad31.test"], 2: got["fine30.test"], 3: 0.5}
+
+
 def test_quality(spark, docs, cases, none):
     data = "/root/testdata/sf0.01"
     real, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
