@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosines of header lines and licence files to templates, then inheritance from the nearest directory.
 
 Every line of every file is compared with every template: a term's weight is its count in the line times its inverse document frequency,
-counted over all files; terms that no template has count in the line's length only. A file's licence is the template of its best
+counted over all files; terms that no template has count in the line's length only, with the weight ``OTHER`` at most, so that names, years and
+usual words of a header weigh the same among ten files and among a billion. A file's licence is the template of its best
 line, if the cosine is ``LEAST`` or more. A licence file (by its name) gives its licence to its directory; a file without a licence of its
 own takes that of the nearest directory above it that has one.
 
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from scholarloom.llm.common import ALNUM, LOWER, columns, mixed, small_batches, split_words, utf8, word_hashes
 
 LEAST = 0.6
+OTHER = float(np.log(4) + 1)  # the weight of a word that a quarter of the files hold
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 #: Licence notices by SPDX identifier.
 TEMPLATES = {
@@ -78,16 +80,20 @@ def _holders(templates: Templates):
 
 
 def inverse_frequencies(files: DataFrame, templates: Templates) -> tuple[np.ndarray, float]:
-    """(weight of each template term, weight of a term that no file holds), over all files."""
+    """(weight of each template term, weight of any other term), over all files."""
     small_batches(files.sparkSession)
     rows = files.select(F.col("text").cast("string").alias("text")).mapInArrow(_holders(templates), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    return weights_of(rows, templates)
+
+
+def weights_of(rows: list, templates: Templates) -> tuple[np.ndarray, float]:
     held, n = np.zeros(len(templates.terms)), 0
     for r in rows:
         if r.term < 0:
             n = r.n
         else:
             held[r.term] = r.n
-    return np.log((1 + n) / (1 + held)) + 1, float(np.log(1 + n) + 1)
+    return np.log((1 + n) / (1 + held)) + 1, min(OTHER, float(np.log(1 + n) + 1))
 
 
 def best_of_texts(data: np.ndarray, offsets: np.ndarray, templates: Templates, weights: np.ndarray, rare: float) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scholarloom.llm import bpe, licences, lines, phrases, pseudo, quality, rules, simhash, superkmer, urls
@@ -299,6 +300,21 @@ def test_licences(spark, none):
     assert {r.scope for r in licences.inherited(licences.own_licences(files, {})).collect()} == {"none"}
 
 
+def test_a_header_passes_at_every_corpus_size():
+    """Shares of files that hold a template term as in prose with some licences; only the number of files grows."""
+    held = licences.Templates(licences.TEMPLATES)
+    usual = licences.Templates({"x": "the of to and in is or with for any this under that are a free use work source form"}).terms
+    rare = licences.Templates({"x": "released license mit licensed version 2 0 apache"}).terms
+    share = np.where(np.isin(held.terms, usual), 0.3, np.where(np.isin(held.terms, rare), 0.02, 0.0005))
+    for n in (1_000, 100_000, 30_000_000):
+        rows = [Row(term=-1, n=n)] + [Row(term=k, n=int(x * n)) for k, x in enumerate(share)]
+        weights, other = licences.weights_of(rows, held)
+        for header in ("Code released under the MIT License", "Project code released under the MIT License", "Copyright 2019 Ada Example, released under the MIT License"):
+            data = np.frombuffer(header.encode(), np.uint8)
+            best, cosine = licences.best_of_texts(data, np.array([0, len(data)]), held, weights, other)
+            assert held.names[best[0]] == "MIT" and cosine[0] >= licences.LEAST, (n, header, cosine)
+
+
 def test_licence_cosines_equal_a_plain_sum(spark):
     texts = ["Released under MIT rules\nthe license of this work", "licensed under the the GNU license", "x y z"]
     files = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")
