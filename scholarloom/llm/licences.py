@@ -1,6 +1,8 @@
 """License scans: sparse TF-IDF cosines of header lines and licence files to templates, then inheritance from the nearest directory.
 
-Every line of every file is compared with every template: a term's weight is its count in the line times its inverse document frequency,
+Every line of every file is compared with every notice; every comment block (joined comment lines) with notices and licence texts; every paragraph
+and every file as a whole with the texts, which must come to ``LEAST_TEXT``. The best line or block counts, unless a text is found: in
+a paragraph, over it in a block, over both in the whole file, as texts of several licences share paragraphs. In a comparison a term's weight is its count in the line times its inverse document frequency,
 counted over all files; terms that no template has count in the line's length only, with the weight ``OTHER`` at most, so that names, years and
 usual words of a header weigh the same among ten files and among a billion. A file's licence is the template of its best
 line, if the cosine is ``LEAST`` or more. A licence file (by its name) gives its licence to its directory; a file without a licence of its
@@ -22,8 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholarloom.llm.common import ALNUM, LOWER, columns, mixed, small_batches, split_words, utf8, word_hashes
+from scholarloom.llm.licence_texts import all_texts
 
-LEAST = 0.6
+LEAST, LEAST_TEXT = 0.6, 0.75
+MARKS = np.zeros(256, bool)
+MARKS[list(b"#*/;%-")] = True  # what comment lines begin with
 OTHER = float(np.log(4) + 1)  # the weight of a word that a quarter of the files hold
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 #: Licence notices by SPDX identifier.
@@ -44,9 +49,10 @@ TEMPLATES = {
 class Templates:
     """Distinct terms of all templates (sorted hashes) and the count of each in each template."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
-        self.names = sorted(templates)
-        whole = [LOWER[np.frombuffer(templates[n].encode(), np.uint8)] for n in self.names]
+    def __init__(self, templates: dict[str, str] | list[tuple[str, str]]) -> None:
+        pairs = sorted(templates.items() if isinstance(templates, dict) else templates)
+        self.names = [n for n, _ in pairs]
+        whole = [LOWER[np.frombuffer(t.encode(), np.uint8)] for _, t in pairs]
         hashes = []
         for data in whole:
             starts, ends, _ = split_words(data, np.array([0, len(data)]), ALNUM)
@@ -96,17 +102,39 @@ def weights_of(rows: list, templates: Templates) -> tuple[np.ndarray, float]:
     return np.log((1 + n) / (1 + held)) + 1, min(OTHER, float(np.log(1 + n) + 1))
 
 
+class Words:
+    """Words of a batch of texts: hash, text, and the line, comment block (-1 outside) and paragraph of each."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        data, self.texts = LOWER[data], len(offsets) - 1
+        starts, ends, first = split_words(data, offsets, ALNUM)
+        self.hashes = word_hashes(data, starts, ends)
+        self.text = np.repeat(np.arange(self.texts), np.diff(first))
+        breaks = np.flatnonzero(data == 10)
+        number = np.searchsorted(breaks, starts)
+        self.line = number + self.text  # distinct for every line of every text, and rising
+        new_text, step = np.diff(self.text, prepend=-1) != 0, np.diff(number, prepend=-2)
+        self.paragraph = np.cumsum(new_text | (step > 1))
+        opens = np.flatnonzero(new_text | (step > 0))  # the first word of each line that has words
+        begin = np.maximum(np.append(-1, breaks)[number[opens]] + 1, offsets[self.text[opens]])
+        marks = np.append(0, np.cumsum(MARKS[data]))
+        comment = np.repeat(marks[starts[opens]] > marks[begin], np.diff(np.append(opens, len(starts))))
+        self.block = np.where(comment, np.cumsum(new_text | (np.diff(comment, prepend=False))), -1)
+
+
 def best_of_texts(data: np.ndarray, offsets: np.ndarray, templates: Templates, weights: np.ndarray, rare: float) -> tuple[np.ndarray, np.ndarray]:
     """(best template or -1, its cosine) over the lines of each text."""
-    n = len(offsets) - 1
+    words = Words(data, offsets)
+    return best_of_units(words, words.line, templates, weights, rare)
+
+
+def best_of_units(words: Words, unit: np.ndarray, templates: Templates, weights: np.ndarray, rare: float) -> tuple[np.ndarray, np.ndarray]:
+    """(best template or -1, its cosine) over the units of each text; words of unit -1 are left out."""
+    n, inside = words.texts, unit >= 0
     best, cosine = np.full(n, -1, np.int64), np.zeros(n)
-    data = LOWER[data]
-    starts, ends, first = split_words(data, offsets, ALNUM)
-    if not len(starts) or not len(templates.terms):
+    hashes, text, line = words.hashes[inside], words.text[inside], unit[inside]
+    if not len(hashes) or not len(templates.terms):
         return best, cosine
-    text = np.repeat(np.arange(n), np.diff(first))
-    line = np.searchsorted(np.flatnonzero(data == 10), starts) + text  # distinct for every line of every text, and rising
-    hashes = word_hashes(data, starts, ends)
     keys = mixed(hashes + line.astype(np.uint64) * np.uint64(0x9E37_79B9_7F4A_7C15))
     order = np.argsort(keys, kind="stable")
     new = np.ones(len(order), bool)
@@ -130,15 +158,26 @@ def best_of_texts(data: np.ndarray, offsets: np.ndarray, templates: Templates, w
     return best, cosine
 
 
-def own_licences(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """``files`` with ``licence`` (null below ``least``) and ``cosine`` of their best line."""
-    held = Templates(TEMPLATES if templates is None else templates)
-    weights, rare = inverse_frequencies(files, held)
+def own_licences(files: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, bodies: list[tuple[str, str]] | None = None, least_text: float = LEAST_TEXT) -> DataFrame:
+    """``files`` with ``licence`` and ``cosine``: of the unit that counts, else null and the cosine of the best line.
+
+    Given ``templates``, only the ``bodies`` given are compared as texts.
+    """
+    notices = TEMPLATES if templates is None else templates
+    bodies = bodies if bodies is not None else all_texts() if templates is None else []
+    held, long, both = Templates(notices), Templates(bodies), Templates([*notices.items(), *bodies])
+    every, rare = inverse_frequencies(files, both)
+    weights, long_weights = every[np.searchsorted(both.terms, held.terms)], every[np.searchsorted(both.terms, long.terms)]
 
     @F.arrow_udf(T.StructType([T.StructField("licence", T.StringType()), T.StructField("cosine", T.DoubleType())]))
     def scan(text: pa.Array) -> pa.Array:
-        best, cosine = best_of_texts(*utf8(text), held, weights, rare)
+        words = Words(*utf8(text))
+        best, cosine = best_of_units(words, words.line, held, weights, rare)
         names = [held.names[b] if b >= 0 and c >= least else None for b, c in zip(best.tolist(), cosine.tolist(), strict=True)]
+        for unit, own, own_weights, limit in ((words.block, held, weights, least), (words.paragraph, long, long_weights, least_text), (words.block, long, long_weights, least_text), (words.text, long, long_weights, least_text)):
+            found, value = best_of_units(words, unit, own, own_weights, rare)
+            for k in np.flatnonzero((found >= 0) & (value >= limit) & ((own is long) | (value > cosine))).tolist():
+                names[k], cosine[k] = own.names[found[k]], value[k]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(cosine, pa.float64())], names=["licence", "cosine"])
 
     return files.withColumn("llm_found", scan(F.col("text").cast("string"))).withColumns({"licence": F.col("llm_found.licence"), "cosine": F.col("llm_found.cosine")}).drop("llm_found")

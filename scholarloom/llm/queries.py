@@ -86,10 +86,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_license_inheritance")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files of a tree: source, language and a number are the directories; every fiftieth file is a licence file."""
+    """The documents as files of a tree: source, language and a number are the directories; every fiftieth file is a licence file, some of them one or two directories up."""
     doc = F.col("doc_id")
     name = F.when(doc % 50 == 0, F.concat(F.lit("LICENSE-"), doc)).otherwise(F.concat(F.lit("f"), doc, F.lit(".txt")))
-    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", (F.crc32(doc.cast("string").cast("binary")) % 8).cast("string"), name).alias("path"), "text")
+    number = (F.crc32(doc.cast("string").cast("binary")) % 8).cast("string")
+    path = F.when(doc % 250 == 0, F.concat_ws("/", "source", name)).when(doc % 100 == 0, F.concat_ws("/", "source", "lang", name)).otherwise(F.concat_ws("/", "source", "lang", number, name))
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), "text")
     return licences.inherited(licences.own_licences(files))
 
 

@@ -1,4 +1,5 @@
 import collections
+import textwrap
 
 import brute
 import numpy as np
@@ -9,7 +10,7 @@ import tiktoken
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from scholarloom.llm import bpe, licences, lines, phrases, pseudo, quality, rules, simhash, superkmer, urls
+from scholarloom.llm import bpe, licence_texts, licences, lines, phrases, pseudo, quality, rules, simhash, superkmer, urls
 from scholarloom.llm.components import component_of
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -300,6 +301,22 @@ def test_licences(spark, none):
     assert {r.scope for r in licences.inherited(licences.own_licences(files, {})).collect()} == {"none"}
 
 
+def test_whole_texts_and_wrapped_blocks_are_found(spark):
+    wrap = lambda text, mark="", width=60: "\n".join(mark + part for part in textwrap.wrap(text, width))
+    t = licence_texts
+    rows = {
+        "LICENSE": ("Copyright (c) 2020 Some One\n\n" + "\n\n".join(map(wrap, (t.GRANT, t.KEPT, t.AS_IS))), "MIT"),
+        "COPYING": (dict(t.all_texts()[:7])["GPL-2.0"], "GPL-2.0"),
+        "b/LICENSE": ("Copyright 2021 A B\n\n" + "\n\n".join(map(wrap, (t.REDISTRIBUTION, t.TWO, t.THIRD, t.BSD_AS_IS))), "BSD-3-Clause"),
+        "b2/LICENSE": ("Copyright 2021 A B\n\n" + "\n\n".join(map(wrap, (t.REDISTRIBUTION, t.TWO, t.BSD_AS_IS))), "BSD-2-Clause"),
+        "c/m.c": ("/*\n" + wrap(t.MPL, " * ", 40) + "\n */\nint main(void) { return 0; }", "MPL-2.0"),
+        "c/i.py": (wrap(t.ISC, "# ", 50) + "\nimport sys\nprint(sys.path)", "ISC"),
+        "c/s.js": ("// Released under\n// the MIT License\nlet x = 1", "MIT"),
+        "c/prose.txt": ("It was a long day and the people of the town were tired of the rain, which had fallen for weeks on the roofs and the fields.", None)}
+    files = spark.createDataFrame([(p, x) for p, (x, _) in rows.items()], "path string, text string")
+    assert {r.path: r.licence for r in licences.own_licences(files).collect()} == {p: want for p, (_, want) in rows.items()}
+
+
 def test_a_header_passes_at_every_corpus_size():
     """Shares of files that hold a template term as in prose with some licences; only the number of files grows."""
     held = licences.Templates(licences.TEMPLATES)
