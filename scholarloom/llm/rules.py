@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholarloom.llm.common import document_id
+from scholarloom.llm.common import document_id, stored
 
 BLANKS = r"[\x20\x09-\x0D]+"
 TRIMMED = " \t\n\x0b\x0c\r"
@@ -93,17 +93,62 @@ def measures(docs: DataFrame) -> DataFrame:
     return told.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def depleted(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
-    """Ids of documents of whose characters in lines less than ``left`` is outside lines above the host's limit."""
-    own = docs.select(document_id().alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    normal = F.transform(F.split("text", "\n"), lambda line: F.lower(F.btrim(line, F.lit(TRIMMED))))
-    lines = own.select("doc_id", "host", F.explode(F.transform(F.filter(normal, lambda line: line != ""), lambda line: F.struct(F.xxhash64(line).alias("line"), F.length(line).alias("size")))).alias("l"))
-    lines = lines.select("doc_id", "host", "l.line", "l.size").groupBy("host", "line", "doc_id").agg(F.sum("size").alias("size"))
+def host_of(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit(""))
+
+
+def marked_lines(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+    """(doc_id, host, line, size, places, common): every different line of a document, its characters, and whether it is above the host's limit (else null).
+
+    ``places``: (row_key, pos) of the line in the rows of the document, the first line being 0. A query that does not read them does not gather them.
+    """
+    own = docs.select(document_id().alias("doc_id"), F.xxhash64("text").alias("row_key"), host_of(host).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    normal = F.transform(F.split("text", "\n"), lambda line, pos: F.struct(F.lower(F.btrim(line, F.lit(TRIMMED))).alias("line"), pos.alias("pos")))
+    lines = own.select("doc_id", "row_key", "host", F.explode(F.transform(F.filter(normal, lambda x: x["line"] != ""), lambda x: F.struct(F.xxhash64(x["line"]).alias("line"), F.length(x["line"]).alias("size"), x["pos"].alias("pos")))).alias("l"))
+    lines = lines.select("doc_id", "row_key", "host", "l.line", "l.size", "l.pos").groupBy("host", "line", "doc_id").agg(
+        F.sum("size").alias("size"), F.collect_set(F.struct("row_key", "pos")).alias("places"))
     hosts = own.groupBy("host").agg(F.count_distinct("doc_id").alias("docs"))
     common = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > least_docs)
     common = common.join(hosts, "host").where(F.col("holders") > share * F.col("docs")).select("host", "line", F.lit(True).alias("common"))
+    return lines.join(common, ["host", "line"], "left")
+
+
+def without_common_lines(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+    """``docs`` whose ``text`` (and ``n_chars``) is without the lines above the host's limit; columns as given."""
+    return _cut(docs, host, marked_lines(docs, host, least_docs, share))
+
+
+def _cut(docs: DataFrame, host: str, marked: DataFrame) -> DataFrame:
+    gone = marked.where("common").select("doc_id", "host", F.explode("places").alias("p")).groupBy("doc_id", "host", "p.row_key").agg(F.collect_list("p.pos").alias("llm_gone"))
+    gone = gone.select(F.col("doc_id").alias("llm_doc"), F.col("host").alias("llm_host"), F.col("row_key").alias("llm_key"), "llm_gone")
+    own = docs.withColumns({"llm_doc": document_id(), "llm_host": host_of(host), "llm_key": F.xxhash64("text")})
+    lines = F.split(F.col("text"), "\n")
+
+    def left(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("llm_gone"))
+        return F.array_join(F.transform(places, lambda k: F.get(lines, k)), "\n")
+
+    cut = own.join(gone, ["llm_doc", "llm_host", "llm_key"], "left").withColumn("text", F.when(F.col("llm_gone").isNull(), F.col("text")).otherwise(bound(lines, left)))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("llm_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def kept_texts(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
+    """``without_common_lines`` of the documents that are not depleted; columns as given. One table of marked lines settles both."""
+    marked = stored(marked_lines(docs, host, least_docs, share), "marked-lines")
+    gone = depleted_of(marked, left).select(F.col("doc_id").alias("llm_doc"))
+    return _cut(docs, host, marked).withColumn("llm_doc", document_id()).join(gone, "llm_doc", "left_anti").select(*docs.columns)
+
+
+def depleted(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
+    """Ids of documents of whose characters in lines less than ``left`` is outside lines above the host's limit."""
+    return depleted_of(marked_lines(docs, host, least_docs, share), left)
+
+
+def depleted_of(marked: DataFrame, left: float = LEFT) -> DataFrame:
     kept = F.when(F.col("common").isNull(), F.col("size")).otherwise(0)
-    return lines.join(common, ["host", "line"], "left").groupBy("doc_id").agg(F.sum("size").alias("whole"), F.sum(kept).alias("rest")).where(
+    return marked.groupBy("doc_id").agg(F.sum("size").alias("whole"), F.sum(kept).alias("rest")).where(
         F.col("rest") < left * F.col("whole")).select("doc_id")
 
 

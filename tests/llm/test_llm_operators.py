@@ -148,6 +148,19 @@ def test_common_lines_deplete(spark):
     assert rules.depleted(frame, least_docs=30).count() == 0
 
 
+def test_common_lines_are_taken_out_of_the_texts(spark):
+    menu = "  Home | Products | CONTACT us "
+    rows = [(k, "h" if k % 2 else None, "own title %d\n%s\n\nown body of number %d, long enough\n%s" % (k, menu, k, menu.lower()), 7) for k in range(60)]
+    rows += [(90, "h", menu + "\n" + menu, 7), (91, "other", menu + "\nx", 7), (1, "h", "another text\n" + menu, 7), (None, "h", None, None), rows[3]]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars int").repartition(3)
+    cut = lambda text, host: text if host == "other" or text is None else "\n".join(x for x in text.split("\n") if x.strip().lower() != menu.strip().lower())
+    want = [(d, h, cut(t, h), n if cut(t, h) == t else len(cut(t, h))) for d, h, t, n in rows]
+    found = rules.without_common_lines(frame, least_docs=20, share=0.5)
+    assert found.schema == frame.schema
+    same(found, want)
+    same(rules.kept_texts(frame, least_docs=20, share=0.5), [w for w in want if w[0] != 90])
+
+
 RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"), urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
 
 
