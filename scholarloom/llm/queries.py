@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarloom.llm import bpe, licences, lines, phrases, pseudo, quality, rules, simhash, superkmer, urls
+from scholarloom.llm import bpe, licences, lines, periodic, phrases, pseudo, quality, rules, simhash, superkmer, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe_bitmap_queue")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_repeated_tails(table(spark, sf_dir, "documents")))
+    best = F.col("best")
+    told = F.concat_ws("", F.transform("runs", lambda run: F.concat(F.concat_ws(",", run.start, run.length, run.period), F.lit("\n"))))
+    return found.withColumn("best", periodic.best_run(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"), best.period.alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
