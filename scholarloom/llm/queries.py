@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarloom.llm import bpe, licences, lines, negatives, periodic, phrases, pseudo, quality, rules, simhash, superkmer, urls
+from scholarloom.llm import bpe, licences, lines, negatives, periodic, phrases, pii, pii_examples, pseudo, quality, rules, simhash, superkmer, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +158,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("vec_id")
     rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(number % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return negatives.hard_negatives(rows, number % 100 == 0)
+
+
+@query("op13_personal_data")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"), pii_examples.labelled(spark))
+    base = F.filter("spans", lambda span: ~span.added)
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda span: F.concat_ws(":", span.kind, span.start, span.end)))
+    counts = {f"n_{kind}": F.size(F.filter(base, lambda span, kind=kind: span.kind == kind)).cast("long") for kind in pii.KINDS}
+    return found.select("doc_id", *(count.alias(name) for name, count in counts.items()), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
