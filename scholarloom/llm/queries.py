@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarloom.llm import bpe, licences, lines, negatives, periodic, phrases, pii, pii_examples, pseudo, quality, rules, simhash, superkmer, urls
@@ -165,5 +165,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"), pii_examples.labelled(spark))
     base = F.filter("spans", lambda span: ~span.added)
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda span: F.concat_ws(":", span.kind, span.start, span.end)))
-    counts = {f"n_{kind}": F.size(F.filter(base, lambda span, kind=kind: span.kind == kind)).cast("long") for kind in pii.KINDS}
-    return found.select("doc_id", *(count.alias(name) for name, count in counts.items()), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda span: span.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
