@@ -116,3 +116,64 @@ def measures(text):
     lines = [x for x in (text or "").split("\n") if x.strip(BLANKS)]
     failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), failed
+
+
+def periodic_runs(words):
+    """(start, length, period) of all runs, period by period."""
+    least = {}
+    for q in range(1, len(words) // 4 + 1):
+        at = 0
+        while at + q < len(words):
+            start = at
+            while at + q < len(words) and words[at] == words[at + q]:
+                at += 1
+            if at > start and at - start + q >= max(6, 4 * q):
+                least.setdefault((start, at - start + q), q)
+            at += 1
+    return sorted((start, length, q) for (start, length), q in least.items())
+
+
+def collapsed(words):
+    gone = {k for start, length, q in periodic_runs(words) for k in range(start + q, start + length)}
+    return " ".join(w for k, w in enumerate(words) if k not in gone)
+
+
+def hard_negatives(rows, every=100):
+    """Rows (vec_id, label, vector), already of whole numbers; every row is one of its own."""
+    out = []
+    score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    for a, (anchor, label, vector) in enumerate(rows):
+        if anchor is None or anchor % every:
+            continue
+        told = sorted((-score(vector, v), order(i), k) for k, (i, _, v) in enumerate(rows) if k != a)
+        for worth, positive, _ in [t for t in told if rows[t[2]][1] == label][:5]:
+            fitting = [t for t in told if rows[t[2]][1] != label and 80 * -worth <= 100 * -t[0] <= 100 * -worth]
+            out += [(anchor, None if positive == LAST else positive, rank, None if i == LAST else i, -worth, -s) for rank, (s, i, _) in enumerate(fitting[:5], 1)]
+    return out
+
+
+PII = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def base_spans(text):
+    """(kind, start, end) in code points by the patterns as they are stated."""
+    found = []
+    for rank, (kind, pattern) in enumerate(PII):
+        for m in re.finditer(pattern, text or ""):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            double = [d * 2 - 9 * (d > 4) for d in digits[-2::-2]]
+            good = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")),
+                    "card": 12 <= len(digits) <= 19 and (sum(digits[::-2]) + sum(double)) % 10 == 0, "phone": 9 <= len(digits) <= 15}[kind]
+            if good:
+                found.append((m.start(), rank, m.end()))
+    return [(PII[rank][0], a, b) for a, rank, b in sorted(found)]
+
+
+def viterbi(unary, pairs):
+    """Best labels of one sequence by trying all."""
+    import itertools
+
+    def worth(labels):
+        return sum(u[y] for u, y in zip(unary, labels, strict=True)) + sum(pairs[a][b] for a, b in itertools.pairwise([0, *labels, 0]))
+
+    return max(itertools.product(range(len(pairs)), repeat=len(unary)), key=worth)
