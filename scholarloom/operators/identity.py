@@ -3,9 +3,13 @@
 The rules are order dependent: each record sees the effect of the earlier ones. Instead of replaying
 them in one task, all records are decided at once from a guess of which records are accepted, and
 the guess is replaced by the outcome until nothing changes. A decision only depends on earlier
-records, so after k rounds at least the first k records are right, and the only stable outcome is
-the one of the sequential rules. In practice a few rounds are enough, because records that conflict
-with nothing are right from the first one.
+records, and every round the earliest record that is still wrong comes right, so the only stable outcome is
+the one of the sequential rules.
+
+Titles are compared with those of guessed works only. A round lets at most a few further records of an
+author and year found works, a number that grows by ``GROWTH``; the others wait. A series of near titles thus has few works
+at any time, its records are found close to one of them and refused, and no frame holds its pairs. Only titles
+that are new on one side are compared in a round, and identities are followed again only where a guess on them changed.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ from pyspark.sql import functions as F
 
 from scholarloom import settings
 from scholarloom.operators.ordered import global_position, latest_by, next_in_order, sum_before
-from scholarloom.operators.similar import similar_titles
+from scholarloom.operators.similar import titles_near
 from scholarloom.session import durable
 
 BLOCK = ["author", "year"]
+#: Works that one author and year may found in the first round, and how that number grows.
+FIRST_WORKS, GROWTH = 16, 4
 
 
 @dataclass(frozen=True)
@@ -126,52 +132,85 @@ def resolve_identities(
             if existing_labels is not None else seed_pos.select("work_id", F.lit("").alias("label"))
         labels = labels.unionByName(old.join(seed_pos, "work_id").select("pos", "label", "title"))
     ids = durable(ids)
+    # An identity of one record alone leads nowhere.
+    linked = durable(ids.join(ids.groupBy("identity").agg(F.count("*").alias("_n")).filter("_n > 1"), "identity", "left_semi"))
+
+    has_block = F.col("author").isNotNull() & F.col("year").isNotNull()
+    blocked = base.filter(has_block).select("pos", *BLOCK)
+    first_named = linked.groupBy("identity").agg(F.min("pos").alias("_first"))
+    follows = linked.join(first_named, "identity").filter("_first < pos").select("pos").distinct().withColumn("_follows", F.lit(True))
+    start = base.select("pos", "seed", *BLOCK).join(follows, "pos", "left").withColumn(
+        "_free", ~F.col("seed") & has_block & F.col("_follows").isNull())
+    waiting = _waiting_rank(start.filter("_free"))
+    flags = durable(start.join(waiting, "pos", "left").select("pos", F.coalesce(F.col("_rank") < FIRST_WORKS, F.lit(True)).alias("accepted")))
 
-    blocked = base.filter("author IS NOT NULL AND year IS NOT NULL").select("pos", *BLOCK)
-    flags = base.select("pos", F.lit(True).alias("accepted"))
-    known_titles = pairs = None
+    room, relink = FIRST_WORKS, True
+    asked_before = shown_before = pairs = None
     while True:
         accepted = flags.filter("accepted").select("pos")
-        links = durable(_exact_links(ids, accepted))
-        parents = links.groupBy("pos").agg(F.min("claim").alias("parent"))
-        rooted = _roots(parents.join(accepted, "pos", "left_semi"))
-        # Roots of everything an identity may point at: followers by table, creators are their own.
-        owners = links.join(rooted.select(F.col("pos").alias("claim"), "root"), "claim", "left").select(
-            "pos", F.coalesce("root", "claim").alias("work")
-        )
-        exact = durable(owners.groupBy("pos").agg(F.min("work").alias("work"), F.max("work").alias("other")))
+        if relink:
+            links = durable(_exact_links(linked, accepted))
+            parents = links.groupBy("pos").agg(F.min("claim").alias("parent"))
+            rooted = _roots(parents.join(accepted, "pos", "left_semi"))
+            # Roots of everything an identity may point at: followers by table, creators are their own.
+            owners = links.join(rooted.select(F.col("pos").alias("claim"), "root"), "claim", "left").select(
+                "pos", F.coalesce("root", "claim").alias("work")
+            )
+            exact = durable(owners.groupBy("pos").agg(F.min("work").alias("work"), F.max("work").alias("other")))
         member_of = accepted.join(exact.select("pos", "work"), "pos", "left").select(
             "pos", F.coalesce("work", "pos").alias("work")
         )
         members = member_of.join(labels, "pos")
-        spans = _title_spans(members).join(
+        spans = durable(_title_spans(members).join(
             blocked.select(F.col("pos").alias("work"), *BLOCK), "work"
-        )
-        spans = durable(spans)
-        asking = base.filter("NOT seed").join(exact, "pos", "left_anti").filter(
-            "author IS NOT NULL AND year IS NOT NULL"
-        ).select("pos", *BLOCK, "title")
-        titles = spans.select(*BLOCK, "title").unionByName(asking.select(*BLOCK, "title")).distinct()
-        if known_titles is None or not titles.join(known_titles, [*BLOCK, "title"], "left_anti").isEmpty():
-            known_titles = titles if known_titles is None else known_titles.unionByName(titles).distinct()
-            known_titles = durable(known_titles)
-            pairs = durable(similar_titles(known_titles, BLOCK, threshold))
+        ))
+        asking = base.filter(~F.col("seed") & has_block).join(exact, "pos", "left_anti").select("pos", *BLOCK, "title")
+        pairs, asked_before, shown_before = _known_pairs(asking, spans, threshold, pairs, asked_before, shown_before)
         close = _has_candidate(asking, spans, pairs).withColumn("close", F.lit(True))
-        outcome = (
-            base.select("pos", "seed").join(exact, "pos", "left").join(close, "pos", "left")
-            .select("pos", (
-                F.col("seed")
-                | F.when(F.col("work").isNotNull(), F.col("work") == F.col("other")).otherwise(F.col("close").isNull())
-            ).alias("accepted"))
+        judged = (
+            base.select("pos", "seed", *BLOCK).join(flags.select("pos", F.col("accepted").alias("guess")), "pos")
+            .join(exact, "pos", "left").join(close, "pos", "left")
+            .withColumn("_sure", F.col("seed") | F.when(F.col("work").isNotNull(), F.col("work") == F.col("other")).otherwise(~has_block))
+            .withColumn("_fit", F.col("work").isNull() & ~F.col("seed") & has_block & F.col("close").isNull())
+            .select("pos", *BLOCK, "guess", "_sure", "_fit")
         )
-        changed = outcome.join(flags.select("pos", F.col("accepted").alias("guess")), "pos")
-        changed = durable(changed)
-        if changed.filter("accepted <> guess").isEmpty():
+        judged = durable(judged)
+        room *= GROWTH
+        queue = _waiting_rank(judged.filter("_fit AND NOT guess"))
+        changed = durable(judged.join(queue, "pos", "left").select(
+            "pos", "guess", (F.col("_sure") | (F.col("_fit") & (F.col("guess") | (F.col("_rank") < room)))).alias("accepted"),
+            (F.col("_rank") >= room).alias("waits")))
+        differing = changed.filter("accepted <> guess")
+        if changed.filter("accepted <> guess OR coalesce(waits, false)").isEmpty():
             break
+        relink = not differing.join(linked, "pos", "left_semi").isEmpty()
         flags = changed.select("pos", "accepted")
     return _frames(base, ids, labels, flags, exact, owners, spans, pairs, asking)
 
 
+def _waiting_rank(free: DataFrame) -> DataFrame:
+    """(pos, _rank): how many earlier records of the same author and year are free to found a work."""
+    return sum_before(free.select("pos", *BLOCK), BLOCK, "pos", F.lit(1), "_rank").select("pos", "_rank")
+
+
+def _known_pairs(asking, spans, threshold, pairs, asked_before, shown_before):
+    """Close (asked, shown) titles, and the titles compared so far; only what is new on a side is compared."""
+    keys = [*BLOCK, "title"]
+    asked, shown = asking.select(*keys).distinct(), spans.select(*keys).distinct()
+    if pairs is None:
+        asked, shown = durable(asked), durable(shown)
+        return durable(titles_near(asked, shown, BLOCK, threshold)), asked, shown
+    new_asked = durable(asked.join(asked_before, keys, "left_anti"))
+    new_shown = durable(shown.join(shown_before, keys, "left_anti"))
+    if not new_shown.isEmpty():
+        pairs = pairs.unionByName(durable(titles_near(asked_before, new_shown, BLOCK, threshold)))
+        shown_before = shown_before.unionByName(new_shown)
+    if not new_asked.isEmpty():
+        pairs = pairs.unionByName(durable(titles_near(new_asked, shown_before, BLOCK, threshold)))
+        asked_before = asked_before.unionByName(new_asked)
+    return pairs, asked_before, shown_before
+
+
 def _frames(base, ids, labels, flags, exact, owners, spans, pairs, asking) -> Resolution:
     """Split the stable state into the output frames."""
     accepted = flags.filter("accepted").select("pos")

@@ -43,15 +43,8 @@ def _cut(short: Column, threshold: float) -> Column:
     return F.struct(F.greatest(F.lit(1), q).alias("q"), width.alias("width"))
 
 
-def similar_titles(titles: DataFrame, block: list[str], threshold: float) -> DataFrame:
-    """(block, title, other) pairs, both directions, with ratio(title, other) >= threshold.
-
-    ``titles`` has one row per distinct (block, title). The pair of a title with itself is included.
-    """
-    sized = titles.select(*block, "title", F.length("title").alias("size"))
-    shared = sized.groupBy(*block).agg(F.count("*").alias("_n")).filter("_n > 1").select(*block)
-    sized = sized.join(shared, block, "left_semi")
-
+def _chunks(sized: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """The chunks a title is cut into as the shorter one of a pair."""
     cut = sized.withColumn("cut", _cut(F.col("size"), threshold)).select("*", "cut.q", "cut.width")
     most = _budget(F.col("size"), _longest(F.col("size"), threshold), threshold)
     chunks = cut.withColumn("index", F.explode(F.sequence(F.lit(0), most)))
@@ -59,30 +52,60 @@ def similar_titles(titles: DataFrame, block: list[str], threshold: float) -> Dat
     reach = F.least(F.col("index"), most)
     buckets = F.sequence(
         F.floor(F.greatest(F.lit(0), start - reach) / F.col("width")), F.floor((start + reach) / F.col("width")))
-    chunks = chunks.select(
+    return chunks.select(
         *block, F.col("title").alias("short_title"), F.col("size").alias("short"), "q", "width", "index",
         F.col("title").substr(start + 1, F.col("q")).alias("gram"), F.explode(buckets).alias("bucket"))
 
-    # A longer title is cut the way each shorter partner it may have is cut: one or two ways.
+
+def _grams(sized: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """The grams of a title as the longer one, cut the way each shorter partner it may have is cut: one or two ways."""
     partners = F.sequence(F.greatest(F.lit(1), _shortest(F.col("size"), threshold)), F.col("size"))
     ways = sized.withColumn("cut", F.explode(F.array_distinct(F.transform(partners, lambda s: _cut(s, threshold))))).select(
         *block, "title", "size", "cut.q", "cut.width").filter("size >= q")
-    grams = ways.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("q")))).select(
+    return ways.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("q")))).select(
         *block, F.col("title").alias("long_title"), F.col("size").alias("long"), "q", "width", "at",
         F.col("title").substr(F.col("at") + 1, F.col("q")).alias("gram"),
         F.floor(F.col("at") / F.col("width")).alias("bucket"))
 
+
+def _near(shorter: DataFrame, longer: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """(block, long_title, short_title) pairs of different titles within the edit budget."""
     budget = _budget(F.col("short"), F.col("long"), threshold)
     shift = F.col("at") - F.col("index") * F.col("q")
     extra = F.col("long") - F.col("short")
-    found = chunks.join(grams, [*block, "q", "width", "gram", "bucket"]).filter(
+    found = _chunks(shorter, block, threshold).join(_grams(longer, block, threshold), [*block, "q", "width", "gram", "bucket"]).filter(
         (extra >= 0) & (F.col("long_title") != F.col("short_title"))
         & (2 * F.col("short") >= F.lit(threshold) * (F.col("short") + F.col("long")) - F.lit(EPSILON))
         & (F.col("index") <= budget) & (F.abs(shift) <= F.col("index")) & (F.abs(extra - shift) <= budget - F.col("index")))
     pairs = found.select(*block, "long_title", "short_title").distinct()
-    near = pairs.filter(
+    return pairs.filter(
         F.levenshtein("long_title", "short_title") <= _budget(F.length("short_title"), F.length("long_title"), threshold))
-    both = near.select(*block, F.explode(F.array(
+
+
+def titles_near(asked: DataFrame, shown: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """(block, title, other): ``title`` asked, ``other`` shown, with ratio(title, other) >= threshold, equal titles included.
+
+    Both sides have one row per distinct (block, title). Rows grow with the asked titles times the shown ones of their grams, so
+    a side that is kept small, as the works of a series are, keeps the join small whatever the other side holds.
+    """
+    sized = lambda frame: frame.select(*block, "title", F.length("title").alias("size"))
+    ask = sized(asked.join(shown.select(*block).distinct(), block, "left_semi"))
+    show = sized(shown.join(asked.select(*block).distinct(), block, "left_semi"))
+    near = _near(ask, show, block, threshold).select(*block, F.col("short_title").alias("title"), F.col("long_title").alias("other")).unionByName(
+        _near(show, ask, block, threshold).select(*block, F.col("long_title").alias("title"), F.col("short_title").alias("other"))).distinct()
+    equal = asked.select(*block, "title").join(shown.select(*block, "title"), [*block, "title"], "left_semi")
+    return near.filter(matching_ratio("title", "other") >= threshold).unionByName(equal.select(*block, "title", F.col("title").alias("other")))
+
+
+def similar_titles(titles: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """(block, title, other) pairs, both directions, with ratio(title, other) >= threshold.
+
+    ``titles`` has one row per distinct (block, title). The pair of a title with itself is included. The result has every pair; use
+    ``titles_near`` where one side is small.
+    """
+    shared = titles.groupBy(*block).agg(F.count("*").alias("_n")).filter("_n > 1").select(*block)
+    sized = titles.join(shared, block, "left_semi").select(*block, "title", F.length("title").alias("size"))
+    both = _near(sized, sized, block, threshold).select(*block, F.explode(F.array(
         F.struct(F.col("long_title").alias("title"), F.col("short_title").alias("other")),
         F.struct(F.col("short_title").alias("title"), F.col("long_title").alias("other")),
     )).alias("p")).select(*block, "p.title", "p.other").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,13 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the shared checkpoint folder and cut its lineage.
+    """Write ``frame`` as Parquet in the shared folder and read it back: lineage is cut, readers get their columns and filters only.
 
-    Used between rounds of iterative jobs, and wherever a value that depends on partition
-    placement must not change when a lost executor makes Spark recompute it.
+    Used between rounds of iterative jobs, for views that several queries read, and wherever a value that depends on
+    partition placement must not change when a lost executor makes Spark recompute it.
     """
     spark = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return frame.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    frame.write.option("compression", "lz4").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
