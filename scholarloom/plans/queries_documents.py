@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import Column, DataFrame
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from scholarloom import settings
@@ -34,7 +35,7 @@ from scholarloom.sources.papers import landing_identity, normalize_papers
 from scholarloom.sources.records import status_totals
 from scholarloom.sources.repositories import normalize_repositories
 from scholarloom.sources.social import exported_items, normalize_social
-from scholarloom.streaming.ingest import ingest_files
+from scholarloom.streaming.ingest import batch_rows, ingest_files, landed_tables, store_batch
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
@@ -835,19 +836,65 @@ def j7(t):
 # --- incremental ingestion -------------------------------------------------------------------------------
 
 
-@query("t1_incremental_ingest", "SELECT DISTINCT 'd' || (doc_id // 2) AS upstream_id, sha256(text) AS payload_sha256 FROM documents")
-def t1(t):
-    """Streams the documents file into a table; copies within and across batches are stored once."""
-    spark = t.spark
-    folder = f"{shared_dir(spark)}/ingest-{os.urandom(8).hex()}"
-    table = f"{folder}/table"
-
+def _ingest(t, folder: str, store=store_batch) -> None:
+    """Stream the documents file into the tables of ``folder``; documents whose id is divisible by 97 come under a source key that is refused."""
     def prepare(batch: DataFrame) -> DataFrame:
         doc = F.col("doc_id")
         return batch.select(
-            F.lit("feed").alias("source_key"), F.concat(F.lit("d"), F.floor(doc / 2)).alias("upstream_id"), F.lit(None).cast("string").alias("upstream_version"),
+            F.when(doc % 97 == 0, "Not A Key").otherwise("feed").alias("source_key"), F.concat(F.lit("d"), F.floor(doc / 2)).alias("upstream_id"), F.lit(None).cast("string").alias("upstream_version"),
             F.lit("https://example.org").alias("canonical_url"), at(doc % 31).alias("observed_at"), F.lit("text/plain").alias("media_type"), F.col("text").cast("binary").alias("payload"))
 
-    source = spark.readStream.schema(t.raw("documents").schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
-    ingest_files(source, table, f"{folder}/checkpoint", prepare=prepare).awaitTermination()
-    return spark.read.parquet(table).select("upstream_id", "payload_sha256")
+    source = t.spark.readStream.schema(t.raw("documents").schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
+    ingest_files(source, f"{folder}/table", f"{folder}/checkpoint", prepare=prepare, store=store).awaitTermination()
+
+
+def _folder(t) -> str:
+    return f"{shared_dir(t.spark)}/ingest-{os.urandom(8).hex()}"
+
+
+@query("t1_incremental_ingest", "SELECT DISTINCT 'd' || (doc_id // 2) AS upstream_id, sha256(text) AS payload_sha256 FROM documents WHERE doc_id % 97 <> 0")
+def t1(t):
+    """Streams the documents file into a table; copies within and across batches are stored once."""
+    folder = _folder(t)
+    _ingest(t, folder)
+    return landed_tables(t.spark, f"{folder}/table").read("landed").select("upstream_id", "payload_sha256")
+
+
+@query("t2_resumed_batch", """WITH k AS (SELECT 'd' || (doc_id // 2) AS upstream_id, sha256(text) AS h, count(*) AS n FROM documents WHERE doc_id % 97 <> 0 GROUP BY 1, 2)
+    SELECT 'feed' AS source_key, CAST(sum(n) AS BIGINT) AS seen, count(*) AS created, CAST(sum(n) AS BIGINT) - count(*) AS duplicates, 0 AS refused, count(*) AS landed, 0 AS kept_aside FROM k
+    UNION ALL SELECT 'Not A Key', count(*), 0, 0, count(*), 0, count(*) FROM documents WHERE doc_id % 97 = 0""")
+def t2(t):
+    """A batch dies after its rows are written and before its manifest is; nothing of it is seen. Run again, rows, refused rows and counts appear together, once."""
+    folder = _folder(t)
+    tables = landed_tables(t.spark, f"{folder}/table")
+
+    def dies(batch: DataFrame, batch_id: int, table: str) -> None:
+        own = landed_tables(batch.sparkSession, table)
+        own.write_rows(batch_id, batch_rows(batch, batch_id, own))
+        raise RuntimeError("stopped before the manifest")
+
+    try:
+        _ingest(t, folder, dies)
+    except StreamingQueryException:
+        pass
+    seen_early = tables.read("landed").select("source_key")
+    _ingest(t, folder)
+    rows = lambda name, label: tables.read(name).select("source_key").unionByName(seen_early).groupBy("source_key").agg(F.count("*").alias(label))
+    told = tables.read("counts").drop("batch").join(rows("landed", "landed"), "source_key", "left").join(rows("refused", "kept_aside"), "source_key", "left")
+    return told.fillna(0, ["landed", "kept_aside"])
+
+
+@query("t5_batches_compacted", """SELECT 'landed' AS name, count(*) AS n, 1 AS batches FROM (SELECT DISTINCT doc_id // 2 AS d, sha256(text) AS h FROM documents WHERE doc_id % 97 <> 0)
+    UNION ALL SELECT 'refused', count(*), 1 FROM documents WHERE doc_id % 97 = 0""")
+def t5(t):
+    """Late documents in a second run, repeats of the first in a third; all batches compacted into one."""
+    tables = landed_tables(t.spark, f"{_folder(t)}/table")
+    doc = F.col("doc_id")
+    payloads = t.raw("documents").select(
+        "doc_id", F.when(doc % 97 == 0, "Not A Key").otherwise("feed").alias("source_key"), F.concat(F.lit("d"), F.floor(doc / 2)).alias("upstream_id"), F.lit(None).cast("string").alias("upstream_version"),
+        F.lit("https://example.org").alias("canonical_url"), at(doc % 31).alias("observed_at"), F.lit("text/plain").alias("media_type"), F.col("text").cast("binary").alias("payload"))
+    for number, part in enumerate(("doc_id % 3 <> 0", "doc_id % 3 = 0", "doc_id % 97 <> 0")):
+        tables.write(number, batch_rows(payloads.filter(part).drop("doc_id"), number, tables))
+    tables.compact(10)
+    found = tables.read("landed").select(F.lit("landed").alias("name"), "batch").unionByName(tables.read("refused").select(F.lit("refused").alias("name"), "batch"))
+    return found.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("batch").alias("batches"))

@@ -12,7 +12,7 @@ from scholarloom.operators.catalog import CatalogQuery, match_reason
 from scholarloom.operators.ordered import carry_forward, global_position, latest_by, next_in_order, sum_before, top_per_key
 from scholarloom.operators.retention import plan_totals, retention_plan
 from scholarloom.operators.search import query_tokens
-from scholarloom.streaming.ingest import ingest_files
+from scholarloom.streaming.ingest import batch_rows, ingest_files, landed_tables, possible_hits
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -192,7 +192,7 @@ def test_ingest_is_idempotent_and_accepts_late_files(spark, tmp_path):
     def run():
         source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
         ingest_files(source, str(tmp_path / "table"), str(tmp_path / "cursor")).awaitTermination()
-        return sorted(r["upstream_id"] for r in spark.read.parquet(str(tmp_path / "table")).collect())
+        return sorted(r["upstream_id"] for r in landed_tables(spark, str(tmp_path / "table")).read("landed").collect())
 
     drop("one", "a", "b", "a")
     assert run() == ["a", "b"] and run() == ["a", "b"]
@@ -200,6 +200,49 @@ def test_ingest_is_idempotent_and_accepts_late_files(spark, tmp_path):
     assert run() == ["a", "b", "c"]
 
 
+PAYLOADS = "source_key string, upstream_id string, upstream_version string, canonical_url string, observed_at timestamp, media_type string, payload binary"
+
+
+def test_a_batch_appears_whole_or_not_at_all(spark, tmp_path):
+    tables = landed_tables(spark, str(tmp_path / "t"))
+    batch = lambda *ids: spark.createDataFrame([("feed" if i != "x" else "X Y", i, None, "u", DAY, "text/plain", bytearray(i.encode())) for i in ids], PAYLOADS)
+    state = lambda: {n: tables.read(n).count() for n in tables.schemas}
+    assert state() == {"landed": 0, "keys": 0, "refused": 0, "counts": 0}
+    folders = tables.write_rows(0, batch_rows(batch("a", "b", "x"), 0, tables))
+    assert state() == {"landed": 0, "keys": 0, "refused": 0, "counts": 0} and not tables.ended(0)
+    tables.write(0, batch_rows(batch("a", "b", "x"), 0, tables))
+    tables.write(1, batch_rows(batch("a", "b", "b"), 1, tables))
+    tables.write(2, batch_rows(batch("b", "c", "c"), 2, tables))
+    assert state() == {"landed": 3, "keys": 3, "refused": 1, "counts": 4}
+    counts = sorted(tuple(r[n] for n in ("batch", "source_key", "seen", "created", "duplicates", "refused")) for r in tables.read("counts").collect())
+    assert counts == [(0, "X Y", 1, 0, 0, 1), (0, "feed", 2, 2, 0, 0), (1, "feed", 3, 0, 3, 0), (2, "feed", 3, 1, 2, 0)]
+    tables.seal(0, folders)  # a second attempt of a batch takes the place of the first
+    assert state()["landed"] == 3
+    tables.compact(9)
+    assert state() == {"landed": 3, "keys": 3, "refused": 1, "counts": 4} and {r.batch for r in tables.read("landed").collect()} == {9}
+    tables.write(10, batch_rows(batch("a", "d"), 10, tables))
+    assert {r.upstream_id for r in tables.read("landed").collect()} == {"a", "b", "c", "d"}
+
+
+def test_the_key_sketch_loses_no_key(spark):
+    keys = spark.range(3_000).select(F.lit("s").alias("source_key"), F.col("id").cast("string").alias("upstream_id"), F.sha2(F.col("id").cast("string"), 256).alias("payload_sha256"))
+    own = keys.filter("upstream_id % 10 = 0")
+    hits = possible_hits(keys, own)
+    assert own.join(hits, own.columns, "left_anti").isEmpty() and hits.count() < 400
+    assert possible_hits(keys, own.limit(0)).isEmpty()
+
+
+def test_a_batch_of_repeats_moves_no_payload(spark, tmp_path):
+    tables = landed_tables(spark, str(tmp_path / "t"))
+    batch = spark.range(50).select(F.lit("feed").alias("source_key"), F.col("id").cast("string").alias("upstream_id"), F.lit(None).cast("string").alias("upstream_version"),
+                                   F.lit("u").alias("canonical_url"), F.lit(DAY).cast("timestamp").alias("observed_at"), F.lit("text/plain").alias("media_type"), F.col("id").cast("string").cast("binary").alias("payload"))
+    tables.write(0, batch_rows(batch, 0, tables))
+    plan = batch_rows(batch, 1, tables)["landed"]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    tables.write(1, batch_rows(batch, 1, tables))
+    assert tables.read("landed").count() == 50
+
+
 @pytest.mark.parametrize("text", ["άλφα", "йод", "한국어", "ガイド", "café", "cafe"])
 def test_search_finds_every_script(spark, text):
     documents = spark.createDataFrame([("w", "ΆΛΦΑ βήτα Йод 한국어 ガイド Café")], "work_id string, title string")
