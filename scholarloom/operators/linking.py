@@ -152,7 +152,8 @@ def upsert_links(linked: DataFrame, corrections: DataFrame | None = None, existi
 
     ``corrections``: event_id, artifact_id, corrected_at, reason. A record that arrives after the
     correction brings the link back. ``existing``: stored links as this function returns them; a record brings
-    a stored link back, and a stored link without a record keeps its state unless a correction names it.
+    a stored link back, and a stored link without a record keeps its state unless a correction later than its ``observed_at`` names it. For runs in any order use
+    ``link_log`` and ``fold_links``.
     """
     keys = ["event_id", "artifact_id"]
     link = F.struct("relationship", "basis", "confidence", "matching_evidence", "observed_at")
@@ -160,25 +161,62 @@ def upsert_links(linked: DataFrame, corrections: DataFrame | None = None, existi
     if existing is not None:
         stored = existing.join(rows.select(*keys), keys, "left_anti")
         off = {n: F.col(n).cast(t) if n in existing.columns else F.lit(None).cast(t) for n, t in (("corrected_at", "timestamp"), ("correction_reason", "string"))}
-        kept = stored.select(*keys, "relationship", "basis", "confidence", "matching_evidence", F.lit(None).cast(rows.schema["observed_at"].dataType).alias("observed_at"),
+        seen = F.col("observed_at") if "observed_at" in existing.columns else F.lit(None)
+        kept = stored.select(*keys, "relationship", "basis", "confidence", "matching_evidence", seen.cast(rows.schema["observed_at"].dataType).alias("observed_at"),
                              F.col("active").alias("_active"), off["corrected_at"].alias("_at"), off["correction_reason"].alias("_why"))
         rows = rows.select("*", F.lit(True).alias("_active"), F.lit(None).cast("timestamp").alias("_at"), F.lit(None).cast("string").alias("_why")).unionByName(kept)
     elif corrections is None:
-        return rows.withColumn("active", F.lit(True)).drop("observed_at")
+        return rows.withColumn("active", F.lit(True))
     else:
         rows = rows.select("*", F.lit(True).alias("_active"), F.lit(None).cast("timestamp").alias("_at"), F.lit(None).cast("string").alias("_why"))
     if corrections is None:
-        return rows.select(*keys, "relationship", "basis", "confidence", "matching_evidence", F.col("_active").alias("active"),
+        return rows.select(*keys, "relationship", "basis", "confidence", "matching_evidence", "observed_at", F.col("_active").alias("active"),
                            F.col("_at").alias("corrected_at"), F.col("_why").alias("correction_reason"))
     newest = corrections.groupBy(*keys).agg(F.max(F.struct("corrected_at", "reason")).alias("c"))
     joined = rows.join(newest, keys, "left")
     off = F.col("c").isNotNull() & F.coalesce(F.col("c.corrected_at") >= F.col("observed_at"), F.col("observed_at").isNull())
     return joined.select(
-        *keys, "relationship", "basis", "confidence", "matching_evidence", (F.col("_active") & ~off).alias("active"),
+        *keys, "relationship", "basis", "confidence", "matching_evidence", "observed_at", (F.col("_active") & ~off).alias("active"),
         F.when(off, F.col("c.corrected_at")).otherwise(F.col("_at")).alias("corrected_at"),
         F.when(off, F.col("c.reason")).otherwise(F.col("_why")).alias("correction_reason"))
 
 
+LINK_LOG = ["event_id", "artifact_id", "kind", "moment", "arrival", "relationship", "basis", "confidence", "matching_evidence", "reason"]
+
+
+def link_log(linked: DataFrame | None = None, corrections: DataFrame | None = None) -> DataFrame:
+    """What happened to links, as rows that are only ever added: a record that names a link at its ``observed_at``, a correction at its ``corrected_at``.
+
+    A batch adds one row per link and moment, so a link that a feed repeats costs one row a batch.
+    """
+    parts = []
+    keys = ["event_id", "artifact_id"]
+    if linked is not None:
+        newest = linked.groupBy(*keys).agg(F.max_by(F.struct("observed_at", "arrival", "relationship", "basis", "confidence", "matching_evidence"), F.struct("observed_at", "arrival")).alias("l"))
+        parts.append(newest.select(*keys, F.lit("record").alias("kind"), F.col("l.observed_at").alias("moment"), F.col("l.arrival").cast("bigint").alias("arrival"), "l.relationship", "l.basis",
+                                   "l.confidence", "l.matching_evidence", F.lit(None).cast("string").alias("reason")))
+    if corrections is not None:
+        empty = lambda kind: F.lit(None).cast(kind)
+        parts.append(corrections.select(*keys, F.lit("correction").alias("kind"), F.col("corrected_at").alias("moment"), empty("bigint").alias("arrival"), empty("string").alias("relationship"),
+                                        empty("string").alias("basis"), empty("double").alias("confidence"), empty("array<string>").alias("matching_evidence"), "reason").distinct())
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def fold_links(log: DataFrame) -> DataFrame:
+    """State of every link from its log: the newest record's link, off since the first correction that is not before that record.
+
+    Only moments count, so rows may come in any order, in any number of runs, and more than once. A correction of a link that no record names gives no link.
+    """
+    keys = ["event_id", "artifact_id"]
+    record = F.col("kind") == "record"
+    last = log.filter(record).groupBy(*keys).agg(
+        F.max_by(F.struct("relationship", "basis", "confidence", "matching_evidence"), F.struct("moment", "arrival")).alias("l"), F.max("moment").alias("observed_at"))
+    off = log.filter(~record).select(*keys, "moment", "reason").join(last.select(*keys, "observed_at"), keys).filter("moment >= observed_at")
+    first = off.groupBy(*keys).agg(F.min(F.struct("moment", "reason")).alias("c"))
+    return last.join(first, keys, "left").select(
+        *keys, "l.*", "observed_at", F.col("c").isNull().alias("active"), F.col("c.moment").alias("corrected_at"), F.col("c.reason").alias("correction_reason"))
+
+
 def per_source(links: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Active links reduced to one row per (event, source); what all event measures start from."""
     facts = artifacts.select("artifact_id", "source_key", (

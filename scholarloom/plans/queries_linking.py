@@ -139,6 +139,24 @@ def e8_link_merge(t):
     return linking.upsert_links(batch, existing=stored).select("event_id", "artifact_id", "basis", "active", F.col("correction_reason").alias("reason"))
 
 
+@query("e8_link_three_runs", f"""SELECT * FROM (WITH r AS (SELECT sha256(canonical_key) AS event_id, artifact_id, source_key, observed_at, arrival, basis FROM linked_rows),
+    l AS (SELECT event_id, artifact_id, any_value(source_key) AS source_key, max(observed_at) AS seen, max_by(basis, (observed_at, arrival)) AS basis FROM r GROUP BY 1, 2),
+    c AS (SELECT event_id, artifact_id, least(CASE WHEN source_key = 'reddit' AND TIMESTAMP '2024-01-10' >= seen THEN TIMESTAMP '2024-01-10' ELSE TIMESTAMP '2999-01-01' END,
+        CASE WHEN source_key = 'reddit' AND TIMESTAMP '2024-01-27' >= seen THEN TIMESTAMP '2024-01-27' ELSE TIMESTAMP '2999-01-01' END) AS off FROM l)
+    SELECT l.event_id, l.artifact_id, l.basis, c.off = TIMESTAMP '2999-01-01' AS active, CASE c.off WHEN TIMESTAMP '2024-01-10' THEN 'early' WHEN TIMESTAMP '2024-01-27' THEN 'late' END AS reason
+    FROM l JOIN c USING (event_id, artifact_id))""")
+def e8_three_runs(t):
+    """Records in three runs, newest hours first, and two corrections of the community links, the later one before the earlier and both repeated: the log is folded to one state."""
+    rows = t["linked_rows"]
+    wrong = rows.filter("source_key = 'reddit'").select("event_id", "artifact_id").distinct()
+    late, early = (wrong.withColumn("corrected_at", at(day)).withColumn("reason", F.lit(name)) for day, name in ((26, "late"), (9, "early")))
+    third = F.floor(F.unix_micros("observed_at") / 3_600_000_000) % 3
+    log = linking.link_log(rows.filter(third == 2), late)
+    for part, corrections in ((rows.filter(third == 0), early), (rows.filter(third == 1), late.unionByName(early))):
+        log = log.unionByName(linking.link_log(part, corrections))
+    return linking.fold_links(log).select("event_id", "artifact_id", "basis", "active", F.col("correction_reason").alias("reason"))
+
+
 @query("e9_manual_unlink", """SELECT b.event_id, count(DISTINCT a.source_key) AS source_count, least(1.0, greatest(0, count(DISTINCT a.source_key) - 1) / 2) AS corroboration FROM event_base b
     LEFT JOIN (SELECT event_id, source_key FROM links JOIN artifacts USING (artifact_id) WHERE source_key <> 'reddit') a USING (event_id) GROUP BY 1""")
 def e9(t):

@@ -257,3 +257,26 @@ def test_late_pages_and_long_texts_stay(spark):
     many = spark.range(1_000).select(F.lit("v").alias("version_id"), F.sha2(F.col("id").cast("string"), 256).alias("span_id"), F.col("id").cast("int").alias("page"), F.lit(0).alias("char_start"), F.lit("text").alias("text"), F.lit("h").alias("text_sha256"))
     places = [r["place"] for r in evidence.pack_evidence(many).orderBy("place").collect()]
     assert places == list(range(1, 1_000, 35))[:28] and places[-1] > 900
+
+
+def test_link_state_is_the_same_for_every_order_of_runs(spark):
+    """A correction of day 0, a record of day 2 that brings the link back, and a run with the same correction and no record: the link stays on."""
+    import itertools
+
+    from scholarloom.operators import linking
+
+    schema = "event_id string, artifact_id string, observed_at timestamp, arrival bigint, relationship string, basis string, confidence double, matching_evidence array<string>"
+    day = lambda n: dt.datetime(2024, 1, 1 + n)
+    record = lambda n, basis: spark.createDataFrame([("e", "a", day(n), n, "r", basis, 1.0, ["x"])], schema)
+    correction = lambda n, why: spark.createDataFrame([("e", "a", day(n), why), ("other", "a", day(n), why)], "event_id string, artifact_id string, corrected_at timestamp, reason string")
+    first = linking.upsert_links(record(0, "one"), correction(0, "wrong"))
+    second = linking.upsert_links(record(2, "two"), correction(0, "wrong"), existing=first)
+    third = linking.upsert_links(record(2, "two").limit(0), correction(0, "wrong"), existing=second)
+    assert [r.active for frame in (first, second, third) for r in frame.collect()] == [False, True, True]
+    runs = [(record(0, "one"), correction(1, "early")), (record(2, "two"), None), (None, correction(5, "later")), (None, correction(4, "late")), (record(3, "three"), correction(1, "early"))]
+    for order in list(itertools.permutations(range(5)))[::17]:
+        log = None
+        for k in order:
+            own = linking.link_log(*runs[k])
+            log = own if log is None else log.unionByName(own)
+        assert [(r.basis, r.active, r.corrected_at, r.correction_reason) for r in linking.fold_links(log).collect()] == [("three", False, day(4), "late")]
