@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholarloom.llm.common import BLANKS, columns, document_id, integers, keyed, runs, stored, texts
+from scholarloom.llm.common import BLANKS, columns, document_id, integers, keyed, runs, stored, texts, unused
 
 MIN_CHARS = 10
 LINES_AT_ONCE = 200_000
@@ -138,12 +138,11 @@ def kept_lines(text: bytes, bitmap: bytes) -> bytes:
     return b"\n".join([line for line, k in zip(lines, keep, strict=True) if k])
 
 
-def _joined(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``docs`` with ``llm_doc``, ``llm_lines``, ``llm_dropped`` and ``llm_bitmap``."""
-    marks = keep_bitmaps(docs, min_chars).select(
-        F.col("doc_id").alias("llm_doc"), F.col("row_key").alias("llm_key"), F.col("n_lines").alias("llm_lines"),
-        F.col("n_dropped").alias("llm_dropped"), F.col("bitmap").alias("llm_bitmap"))
-    return docs.withColumns({"llm_doc": document_id(), "llm_key": F.xxhash64("text")}).join(marks, ["llm_doc", "llm_key"]).drop("llm_key")
+def _joined(docs: DataFrame, min_chars: int) -> tuple[DataFrame, str]:
+    """``docs`` with its ``doc_id``, ``row_key``, ``n_lines``, ``n_dropped`` and ``bitmap`` as one struct, whose name is the second value."""
+    doc, key, name = unused(docs, "llm_doc", "llm_key", "llm_marks")
+    marks = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.struct("n_lines", "n_dropped", "bitmap").alias(name))
+    return docs.withColumns({doc: document_id(), key: F.xxhash64("text")}).join(marks, [doc, key]).drop(doc, key), name
 
 
 @F.arrow_udf(T.StringType())
@@ -156,21 +155,23 @@ def _kept(text: pa.Array, bitmap: pa.Array) -> pa.Array:
     return pa.array([kept_lines(t, b.as_py()).decode() if b.is_valid else None for t, b in zip(texts(text), bitmap, strict=True)], pa.string())
 
 
-def _cutting() -> Column:
+def _cutting(marks: str) -> Column:
     """Null where nothing is dropped: such texts stay as they are."""
-    return F.when(F.col("llm_dropped") > 0, F.col("llm_bitmap"))
+    return F.when(F.col(marks)["n_dropped"] > 0, F.col(marks)["bitmap"])
 
 
 def kept_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document: lines before dropping, lines dropped, SHA-256 of what stays."""
-    return _joined(docs.select("doc_id", "text"), min_chars).select(
-        "doc_id", F.col("llm_lines").alias("n_lines"), F.col("llm_dropped").alias("n_dropped"), _digest("text", _cutting()).alias("kept_sha256"))
+    found, marks = _joined(docs.select("doc_id", "text"), min_chars)
+    return found.select("doc_id", F.col(marks)["n_lines"].alias("n_lines"), F.col(marks)["n_dropped"].alias("n_dropped"), _digest("text", _cutting(marks)).alias("kept_sha256"))
 
 
 def kept_texts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the kept lines as ``text`` and their length as ``n_chars``; a text that loses nothing, or is null, stays as it is."""
-    cut = _joined(docs, min_chars).withColumn("llm_kept", _kept("text", _cutting()))
-    changed = {"text": F.coalesce("llm_kept", "text")}
+    found, marks = _joined(docs, min_chars)
+    (kept,) = unused(found, "llm_kept")
+    cut = found.withColumn(kept, _kept("text", _cutting(marks)))
+    changed = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("llm_kept").isNotNull(), F.length("llm_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cut.withColumns(changed).select(*docs.columns)

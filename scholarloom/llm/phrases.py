@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark import TaskContext
 
-from scholarloom.llm.common import ALNUM, LOWER, columns, document_id, integers, keyed, real_id, small_batches, split_words, stored, texts, utf8, word_hashes
+from scholarloom.llm.common import ALNUM, LOWER, columns, document_id, integers, keyed, real_id, small_batches, split_words, stored, texts, unused, utf8, word_hashes
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
@@ -197,8 +197,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, by_row: bool = False) -> DataFrame:
     """Rows of ``docs`` without a hit; columns as given. Rows that share a doc_id go together when one of them is hit, with ``by_row`` only those of the same text."""
     hit = phrase_matches(positional_index(docs), items, window).where(F.octet_length("spans") > 0)
-    hit = hit.select(F.col("doc_id").alias("llm_doc"), *([F.col("row_key").alias("llm_key")] if by_row else [])).distinct()
-    own = docs.withColumns({"llm_doc": document_id(), "llm_key": F.xxhash64("text")})
+    doc, key = unused(docs, "llm_doc", "llm_key")
+    hit = hit.select(F.col("doc_id").alias(doc), *([F.col("row_key").alias(key)] if by_row else [])).distinct()
+    own = docs.withColumns({doc: document_id(), key: F.xxhash64("text")})
     return own.join(hit, hit.columns, "left_anti").select(*docs.columns)
 
 

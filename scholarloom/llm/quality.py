@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholarloom.llm.common import NOT_SPACE, mixed, small_batches, split_words, utf8, word_hashes
+from scholarloom.llm.common import NOT_SPACE, mixed, small_batches, split_words, unused, utf8, word_hashes
 
 PER_LABEL, RANK, NEIGHBOURS, SHARPNESS = 1_024, 32, 31, 8
 HELD_OUT, KEEP_AT = 2, 0.7
@@ -133,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return QualityModel(weights, model.axes, model.latent(counts), votes, good, share)
 
 
-def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with ``llm_score``: 0 to 1, higher is likelier of label 1."""
+def scored(docs: DataFrame, model: QualityModel, name: str = "llm_score") -> DataFrame:
+    """``docs`` with ``name``: 0 to 1, higher is likelier of label 1."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -142,7 +142,7 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
     def score(text: pa.Array) -> pa.Array:
         return pa.array(shared.value.scores(term_counts(*utf8(text))), pa.float64())
 
-    return docs.withColumn("llm_score", score(F.col("text").cast("string")))
+    return docs.withColumn(name, score(F.col("text").cast("string")))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -153,4 +153,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not rejected; columns as given."""
-    return scored(docs, fit(docs, labels)).where(F.col("llm_score") >= KEEP_AT).select(*docs.columns)
+    (name,) = unused(docs, "llm_score")
+    return scored(docs, fit(docs, labels), name).where(F.col(name) >= KEEP_AT).select(*docs.columns)

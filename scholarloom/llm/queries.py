@@ -117,9 +117,9 @@ b AS (SELECT d.doc_id, host, s, len(w) AS n_words, length(array_to_string(w, '')
       FROM d LEFT JOIN r USING (doc_id)),
 l AS (SELECT doc_id, host, lower(trim(line, BLANKS)) AS line FROM (SELECT doc_id, host, unnest(s) AS line FROM d)),
 hosts AS (SELECT host, count(DISTINCT doc_id) AS docs FROM d GROUP BY host),
-common AS (SELECT host, line FROM l JOIN hosts USING (host) WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT doc_id) > 100 AND count(DISTINCT doc_id) > 0.01 * max(docs)),
+common AS (SELECT host, line FROM l JOIN hosts USING (host) WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT doc_id) > 2 AND (count(DISTINCT doc_id) > 0.05 * max(docs) OR count(DISTINCT doc_id) > 100)),
 rest AS (SELECT doc_id FROM l LEFT JOIN (SELECT host, line, true AS common FROM common) USING (host, line) WHERE line <> ''
-         GROUP BY doc_id HAVING coalesce(sum(CASE WHEN common IS NULL THEN length(line) END), 0) < 0.3 * sum(length(line)))
+         GROUP BY doc_id HAVING coalesce(sum(CASE WHEN common IS NULL THEN length(line) END), 0) < 0.5 * sum(length(line)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND doc_id NOT IN (SELECT doc_id FROM rest) AS kept
 FROM b""".replace("WORDS", BLANK_WORDS).replace("BLANKS", BLANKS))

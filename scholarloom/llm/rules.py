@@ -2,7 +2,8 @@
 
 Measures are worked out within a row by array functions, in n log n at most. The line rule hashes normalised lines, counts the
 distinct documents of every line per host, takes away lines above the limit, and rejects documents of which too little is left.
-A line is above the limit when more than ``least_docs`` documents of the host hold it and these are more than ``share`` of the host's documents.
+A line is above the limit when more than ``least_docs`` documents of the host hold it and these are more than ``share`` of the host's documents or
+more than ``many``: the low floor and the share judge small hosts too, the number alone is enough on large ones.
 
 - Null text: no words; such a document fails the base rule. Empty text likewise.
 - Null host: one host of its own. Repeated rows of one doc_id count once for a line, and each gets its row.
@@ -16,14 +17,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholarloom.llm.common import document_id, stored
+from scholarloom.llm.common import document_id, stored, unused
 
 BLANKS = r"[\x20\x09-\x0D]+"
 TRIMMED = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20  # words; percent
-LEAST_DOCS, SHARE, LEFT = 100, 0.01, 0.3
+LEAST_DOCS, SHARE, MANY, LEFT = 2, 0.05, 100, 0.5
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -97,7 +98,7 @@ def host_of(host: str) -> Column:
     return F.coalesce(F.col(host).cast("string"), F.lit(""))
 
 
-def marked_lines(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+def marked_lines(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, many: int = MANY) -> DataFrame:
     """(doc_id, host, line, size, places, common): every different line of a document, its characters, and whether it is above the host's limit (else null).
 
     ``places``: (row_key, pos) of the line in the rows of the document, the first line being 0. A query that does not read them does not gather them.
@@ -109,41 +110,43 @@ def marked_lines(docs: DataFrame, host: str = "source", least_docs: int = LEAST_
         F.sum("size").alias("size"), F.collect_set(F.struct("row_key", "pos")).alias("places"))
     hosts = own.groupBy("host").agg(F.count_distinct("doc_id").alias("docs"))
     common = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > least_docs)
-    common = common.join(hosts, "host").where(F.col("holders") > share * F.col("docs")).select("host", "line", F.lit(True).alias("common"))
+    common = common.join(hosts, "host").where((F.col("holders") > share * F.col("docs")) | (F.col("holders") > many)).select("host", "line", F.lit(True).alias("common"))
     return lines.join(common, ["host", "line"], "left")
 
 
-def without_common_lines(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+def without_common_lines(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, many: int = MANY) -> DataFrame:
     """``docs`` whose ``text`` (and ``n_chars``) is without the lines above the host's limit; columns as given."""
-    return _cut(docs, host, marked_lines(docs, host, least_docs, share))
+    return _cut(docs, host, marked_lines(docs, host, least_docs, share, many))
 
 
 def _cut(docs: DataFrame, host: str, marked: DataFrame) -> DataFrame:
-    gone = marked.where("common").select("doc_id", "host", F.explode("places").alias("p")).groupBy("doc_id", "host", "p.row_key").agg(F.collect_list("p.pos").alias("llm_gone"))
-    gone = gone.select(F.col("doc_id").alias("llm_doc"), F.col("host").alias("llm_host"), F.col("row_key").alias("llm_key"), "llm_gone")
-    own = docs.withColumns({"llm_doc": document_id(), "llm_host": host_of(host), "llm_key": F.xxhash64("text")})
+    doc, place, key, listed = unused(docs, "llm_doc", "llm_host", "llm_key", "llm_gone")
+    gone = marked.where("common").select("doc_id", "host", F.explode("places").alias("p")).groupBy("doc_id", "host", "p.row_key").agg(F.collect_list("p.pos").alias(listed))
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("host").alias(place), F.col("row_key").alias(key), listed)
+    own = docs.withColumns({doc: document_id(), place: host_of(host), key: F.xxhash64("text")})
     lines = F.split(F.col("text"), "\n")
 
     def left(lines: Column) -> Column:
-        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("llm_gone"))
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(listed))
         return F.array_join(F.transform(places, lambda k: F.get(lines, k)), "\n")
 
-    cut = own.join(gone, ["llm_doc", "llm_host", "llm_key"], "left").withColumn("text", F.when(F.col("llm_gone").isNull(), F.col("text")).otherwise(bound(lines, left)))
+    cut = own.join(gone, [doc, place, key], "left").withColumn("text", F.when(F.col(listed).isNull(), F.col("text")).otherwise(bound(lines, left)))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("llm_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        cut = cut.withColumn("n_chars", F.when(F.col(listed).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
 
-def kept_texts(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
+def kept_texts(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT, many: int = MANY) -> DataFrame:
     """``without_common_lines`` of the documents that are not depleted; columns as given. One table of marked lines settles both."""
-    marked = stored(marked_lines(docs, host, least_docs, share), "marked-lines")
-    gone = depleted_of(marked, left).select(F.col("doc_id").alias("llm_doc"))
-    return _cut(docs, host, marked).withColumn("llm_doc", document_id()).join(gone, "llm_doc", "left_anti").select(*docs.columns)
+    marked = stored(marked_lines(docs, host, least_docs, share, many), "marked-lines")
+    (doc,) = unused(docs, "llm_doc")
+    gone = depleted_of(marked, left).select(F.col("doc_id").alias(doc))
+    return _cut(docs, host, marked).withColumn(doc, document_id()).join(gone, doc, "left_anti").select(*docs.columns)
 
 
-def depleted(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
+def depleted(docs: DataFrame, host: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT, many: int = MANY) -> DataFrame:
     """Ids of documents of whose characters in lines less than ``left`` is outside lines above the host's limit."""
-    return depleted_of(marked_lines(docs, host, least_docs, share), left)
+    return depleted_of(marked_lines(docs, host, least_docs, share, many), left)
 
 
 def depleted_of(marked: DataFrame, left: float = LEFT) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholarloom.llm.common import columns, document_id, integers, real_id, runs, small_batches, stored, texts
+from scholarloom.llm.common import columns, document_id, integers, real_id, runs, small_batches, stored, texts, unused
 from scholarloom.llm.components import component_of
 
 WORDS, SEED, DISTANCE = 3, 42, 3
@@ -147,11 +147,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row of the smallest doc_id of every group, of several such rows that of the smallest text hash; one row a group. Columns as given."""
     small_batches(docs.sparkSession)
-    text = F.col("text").cast("string")
+    text, (doc, key) = F.col("text").cast("string"), unused(docs, "llm_doc", "llm_key")
     prints = stored(docs.select(document_id().alias("doc_id"), F.xxhash64(text).alias("row_key"), _fingerprints(text).alias("fp")), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
     roots = component_of(close_links(nodes.select("fp")))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
-    chosen = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("llm_doc"), F.col("least.row_key").alias("llm_key"))
-    own = docs.withColumns({"llm_doc": document_id(), "llm_key": F.xxhash64(text)})
-    return own.join(chosen, ["llm_doc", "llm_key"], "left_semi").dropDuplicates(["llm_doc", "llm_key"]).select(*docs.columns)
+    chosen = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias(doc), F.col("least.row_key").alias(key))
+    own = docs.withColumns({doc: document_id(), key: F.xxhash64(text)})
+    return own.join(chosen, [doc, key], "left_semi").dropDuplicates([doc, key]).select(*docs.columns)
