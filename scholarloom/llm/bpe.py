@@ -129,7 +129,7 @@ def merged(token: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class PairRanks(dict):
-    """Rank of the join of two tokens, by ``left << 16 | right``; -1 where the vocabulary has none."""
+    """Rank of the join of two tokens, by ``left << 32 | right``; -1 where the vocabulary has none."""
 
     def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes]) -> None:
         super().__init__()
@@ -138,7 +138,7 @@ class PairRanks(dict):
     def __missing__(self, key: int) -> int:
         if len(self) >= PAIRS:
             self.clear()
-        found = self[key] = self.ranks.get(self.tokens[key >> 16] + self.tokens[key & 0xFFFF], -1)
+        found = self[key] = self.ranks.get(self.tokens[key >> 32] + self.tokens[key & 0xFFFF_FFFF], -1)
         return found
 
 
@@ -175,7 +175,7 @@ def merged_together(words: list[bytes], ranks: dict[bytes, int], pairs: PairRank
                 queue.mark(rank)
 
     def joins(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = (ids[left] << 16 | ids[right]).tolist()
+        keys = (ids[left] << 32 | ids[right]).tolist()
         return np.fromiter((pairs[k] for k in keys), np.int64, len(keys))
 
     start = np.flatnonzero(after >= 0)
