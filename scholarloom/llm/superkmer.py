@@ -7,10 +7,12 @@ there they are sorted, and every window's smallest document is known exactly.
 
 Before anything travels, each batch of a task settles what it can: a window that also starts in a smaller document of the batch
 is decided, and only the batch's smallest document sends it. A passage in a third of all documents thus reaches its
-bucket once per batch, not once per document.
+bucket once per batch, not once per document. A minimiser that many batches hold makes its bucket grow with the corpus all the same: the load of the buckets is
+estimated on one document in ``ESTIMATED``, and a bucket of more than ``SPLIT_BYTES`` is dealt further by the hash of the whole window. Estimates
+only decide where windows meet; equal windows always do.
 
 - Null or empty texts, and texts under ``WINDOW`` words: nothing is removed.
-- Rows that repeat a doc_id are one document: none of them is a copy of another. (They are told apart by 32 bits of the hash of the text.)
+- Rows that repeat a doc_id are one document: none of them is a copy of another. They are told apart by the 64-bit hash of the text.
 - A null doc_id comes after all ids. Empty table: no rows. Extra columns are not read.
 """
 
@@ -26,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholarloom.llm.common import NOT_SPACE, columns, document_id, integers, mixed, real_id, runs, small_batches, split_words, texts, utf8, word_hashes
+from scholarloom.llm.common import NOT_SPACE, columns, integers, keyed, mixed, real_id, runs, split_words, texts, utf8, word_hashes
 
 WINDOW, MMER = 13, 3
 BUCKETS_PER_PARTITION = 4
-TRAVELLING = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int32()), ("about", pa.binary()), ("packed", pa.binary())])
-TRAVELLING_DDL = "bucket int, doc_id long, row_key int, about binary, packed binary"
-RANGES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int32()), ("ranges", pa.binary())])
-RANGES_DDL = "doc_id long, row_key int, ranges binary"
+SPLIT_BYTES, ESTIMATED = 64_000_000, 64
+SETTLED_BYTES = 2_000_000
+TRAVELLING = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("about", pa.binary()), ("packed", pa.binary())])
+TRAVELLING_DDL = "bucket long, doc_id long, row_key long, about binary, packed binary"
+RANGES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("ranges", pa.binary())])
+RANGES_DDL = "doc_id long, row_key long, ranges binary"
 _WEIGHTS = np.random.default_rng(7_202).integers(1, 2**63, (3, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -61,20 +65,7 @@ class Windows:
 
     def copies(self, docs: np.ndarray) -> np.ndarray:
         """For every window: whether it also starts in a smaller document here. ``docs``: document of each text."""
-        later = np.zeros(len(self.at), bool)
-        order = np.argsort(self.one, kind="stable")
-        keys = self.one[order]
-        same = np.zeros(len(keys), bool)
-        same[1:] = keys[1:] == keys[:-1]
-        same[:-1] |= same[1:]
-        some = order[same]
-        if len(some):
-            owner = docs[self.text[self.at[some]]]
-            some = some[np.lexsort((owner, self.two[some], self.one[some]))]
-            owner = docs[self.text[self.at[some]]]
-            bounds = runs([self.one[some], self.two[some]])
-            later[some] = owner > np.repeat(owner[bounds[:-1]], np.diff(bounds))
-        return later
+        return later_copies(self.one, self.two, docs[self.text[self.at]])
 
     def minimisers(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, place) of every window's minimiser."""
@@ -88,6 +79,23 @@ class Windows:
         return best, place
 
 
+def later_copies(one: np.ndarray, two: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For every window, given by two hashes and its document: whether the same window has a smaller document."""
+    later = np.zeros(len(one), bool)
+    order = np.argsort(one, kind="stable")
+    keys = one[order]
+    same = np.zeros(len(keys), bool)
+    same[1:] = keys[1:] == keys[:-1]
+    same[:-1] |= same[1:]
+    some = order[same]
+    if len(some):
+        some = some[np.lexsort((docs[some], two[some], one[some]))]
+        owner = docs[some]
+        bounds = runs([one[some], two[some]])
+        later[some] = owner > np.repeat(owner[bounds[:-1]], np.diff(bounds))
+    return later
+
+
 def _stretches(at: np.ndarray, *alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of each stretch of consecutive places that are alike."""
     if not len(at):
@@ -115,11 +123,43 @@ def _by_text(texts_of: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterat
         yield int(texts_of[lo]), both[lo:hi].tobytes()
 
 
-def _cut(window: int, buckets: int):
+def _super_k_mers(w: Windows, later: np.ndarray, window: int, buckets: int, splits: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, first word, word after the last) of the stretches of windows that travel together, by bucket. ``splits``: buckets that are dealt further, and into how many."""
+    best, place = w.minimisers(window)
+    at, place = w.at[~later], place[~later]
+    bucket = (best[~later] % np.uint64(buckets)).astype(np.int64)
+    if splits:
+        parts = np.ones(buckets, np.int64)
+        parts[list(splits)] = list(splits.values())
+        bucket += buckets * (w.two[~later] % parts[bucket].astype(np.uint64)).astype(np.int64)
+    begin, end = _stretches(at, place, bucket)
+    order = np.argsort(bucket[begin], kind="stable")
+    return bucket[begin[order]], at[begin[order]], at[end[order]] + window
+
+
+def _loaded(window: int, buckets: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = Windows(*utf8(batch.column("text")), window)
+            bucket, lo, hi = _super_k_mers(w, w.copies(integers(batch.column("doc_id"))), window, buckets, {})
+            sums = np.bincount(bucket, w.ends[hi - 1] - w.starts[lo], minlength=buckets) if len(bucket) else np.zeros(buckets)
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some].astype(np.int64))], names=["bucket", "bytes"])
+    return work
+
+
+def _splits(docs: DataFrame, window: int, buckets: int) -> dict[int, int]:
+    """Buckets of more than ``SPLIT_BYTES``, as estimated, and how many parts each is dealt into; at most as many rows as there are buckets."""
+    some = keyed(docs).where(F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(ESTIMATED)) == 0)
+    loads = some.mapInArrow(_loaded(window, buckets), "bucket long, bytes long").groupBy("bucket").agg((F.sum("bytes") * ESTIMATED).alias("bytes"))
+    return {r.bucket: -(-r.bytes // SPLIT_BYTES) for r in loads.where(F.col("bytes") > SPLIT_BYTES).collect()}
+
+
+def _cut(window: int, buckets: int, splits: dict[int, int]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            docs, keys = integers(batch.column("doc_id")), integers(batch.column("row_key")).astype(np.int32)
+            docs, keys = integers(batch.column("doc_id")), integers(batch.column("row_key"))
             w = Windows(*utf8(batch.column("text")), window)
             later = w.copies(docs)
             out: list[tuple] = []
@@ -128,13 +168,8 @@ def _cut(window: int, buckets: int):
             of = w.text[gone[begin]]
             for text, ranges in _by_text(of, gone[begin] - w.first[of], gone[end] + window - w.first[of]):
                 out.append((int(docs[text]) % buckets, int(docs[text]), int(keys[text]), ranges, None))
-            best, place = w.minimisers(window)
-            at, best, place = w.at[~later], best[~later], place[~later]
-            begin, end = _stretches(at, place)
-            if len(begin):
-                bucket = (best[begin] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, lo, hi = bucket[order], at[begin[order]], at[end[order]] + window
+            bucket, lo, hi = _super_k_mers(w, later, window, buckets, splits)
+            if len(lo):
                 sizes = w.ends - w.starts
                 spaced = np.cumsum(sizes + 1) - (sizes + 1)  # where each word begins once all are one space apart
                 joined = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
@@ -155,25 +190,40 @@ def _cut(window: int, buckets: int):
 
 
 def _settle(blobs: list[tuple[int, bytes, bytes]], window: int) -> Iterator[tuple[int, int, bytes]]:
-    """Ranges of the windows of one bucket that also start in a smaller document."""
+    """Ranges of the windows of one bucket that also start in a smaller document. Strings are opened ``SETTLED_BYTES`` at a time; only the windows' hashes and places are held together."""
     open_up = zstandard.ZstdDecompressor().decompress
-    docs, keys, first, packed = [], [], [], []
+    docs, keys, ones, twos, texts_of, places = [], [], [], [], [], []
+    packed, first, held, before = [], [], 0, 0
+
+    def taken_in() -> None:
+        nonlocal packed, first, held, before
+        data = np.frombuffer(b"\n".join(packed), np.uint8)
+        offsets = np.concatenate([[0], np.flatnonzero(data == 10) + 1, [len(data)]])
+        w = Windows(data, offsets, window)
+        of = w.text[w.at]
+        ones.append(w.one)
+        twos.append(w.two)
+        texts_of.append((of + before).astype(np.int32))
+        places.append((np.concatenate(first)[of] + w.at - w.first[of]).astype(np.int32))
+        packed, first, held, before = [], [], 0, before + len(offsets) - 1
+
     for n, about, strings in blobs:
         raw = open_up(about)
         docs.append(_from_planes(raw[:8 * n], "<i8", n))
-        keys.append(_from_planes(raw[8 * n:12 * n], "<i4", n))
-        first.append(_from_planes(raw[12 * n:], "<i4", n))
+        keys.append(_from_planes(raw[8 * n:16 * n], "<i8", n))
+        first.append(_from_planes(raw[16 * n:], "<i4", n))
         packed.append(open_up(strings))
-    doc, key, begins = np.concatenate(docs), np.concatenate(keys), np.concatenate(first).astype(np.int64)
-    data = np.frombuffer(b"\n".join(packed), np.uint8)
-    offsets = np.concatenate([[0], np.flatnonzero(data == 10) + 1, [len(data)]])
-    w = Windows(data, offsets, window)
-    gone = w.at[w.copies(doc)]
+        held += len(packed[-1])
+        if held >= SETTLED_BYTES:
+            taken_in()
+    if packed:
+        taken_in()
+    doc, key, of, at = np.concatenate(docs), np.concatenate(keys), np.concatenate(texts_of), np.concatenate(places)
+    gone = np.flatnonzero(later_copies(np.concatenate(ones), np.concatenate(twos), doc[of]))
     if len(gone):
-        lo, hi = _stretches(gone, w.text[gone])
-        of = w.text[gone[lo]]
-        start = begins[of] + gone[lo] - w.first[of]
-        for text, ranges in _by_text(of, start, start + gone[hi] - gone[lo] + window):
+        of, at = of[gone], at[gone].astype(np.int64)
+        lo, hi = _stretches(at, of)
+        for text, ranges in _by_text(of[lo], at[lo], at[hi] + window):
             yield int(doc[text]), int(key[text]), ranges
 
 
@@ -198,11 +248,6 @@ def _count(window: int):
     return work
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select(document_id().alias("doc_id"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("row_key"), F.col("text").cast("string").alias("text"))
-
-
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, row_key, ranges): ranges of words covered by windows that also start in a smaller document.
 
@@ -212,7 +257,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < MMER:
         raise ValueError(f"a window needs at least {MMER} words")
     buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = _keyed(docs).mapInArrow(_cut(window, buckets), TRAVELLING_DDL)
+    sent = keyed(docs).mapInArrow(_cut(window, buckets, _splits(docs, window, buckets)), TRAVELLING_DDL)
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(window), RANGES_DDL)
 
 
@@ -239,7 +284,7 @@ def kept_words(text: bytes, ranges: list[bytes]) -> tuple[int, int, bytes]:
 def _joined(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, squeezed, ranges): the texts travel compressed to their ranges."""
     ranges = repeated_ranges(docs, window).groupBy("doc_id", "row_key").agg(F.collect_list("ranges").alias("ranges"))
-    return _keyed(docs).select("doc_id", "row_key", _squeezed("text").alias("squeezed")).join(ranges, ["doc_id", "row_key"], "left")
+    return keyed(docs).select("doc_id", "row_key", _squeezed("text").alias("squeezed")).join(ranges, ["doc_id", "row_key"], "left")
 
 
 def kept_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
