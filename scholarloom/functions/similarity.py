@@ -11,8 +11,8 @@ from pyspark.sql.types import DoubleType
 
 @pandas_udf(DoubleType())
 def matching_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
-    """2 * matched characters / total length; the argument order matters."""
+    """2 * matched characters / total length, 0 for NULL; the argument order matters."""
     return pd.Series(
-        [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(first, second, strict=True)],
+        [0.0 if a is None or b is None else SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(first, second, strict=True)],
         dtype="float64",
     )

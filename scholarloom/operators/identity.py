@@ -14,7 +14,7 @@ that are new on one side are compared in a round, and identities are followed ag
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from scholarloom.session import durable
 
 BLOCK = ["author", "year"]
 #: Works that one author and year may found in the first round, and how that number grows.
-FIRST_WORKS, GROWTH = 16, 4
+FIRST_WORKS, GROWTH = 4, 4
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,7 @@ class Resolution:
     versions: DataFrame  # work_id, version_label, record_id, title, is_current
     external_ids: DataFrame  # identity, work_id, record_id
     review: DataFrame  # record_id, candidate_work_id, matched_on
+    authors: DataFrame | None = None  # work_id, author_order, author: of the creating record, where records name their ``authors``
 
 
 def _exact_links(ids: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -100,8 +101,8 @@ def resolve_identities(
 
     ``records``: record_id, upstream_id, version_no, observed_at, title (normal form), author
     (normal form of the first author, may be NULL), year (may be NULL), label, identities
-    (array<string>, ``type:value``). They are taken in the order upstream_id, version_no,
-    observed_at, record_id.
+    (array<string>, ``type:value``), and ``authors`` (array<string>, in order) if there are any. They are
+    taken in the order upstream_id, version_no, observed_at, record_id.
 
     ``existing_works``: work_id, title, author, year; ``existing_ids``: identity, work_id;
     ``existing_labels``: work_id, label. Existing works come before every record.
@@ -185,7 +186,12 @@ def resolve_identities(
             break
         relink = not differing.join(linked, "pos", "left_semi").isEmpty()
         flags = changed.select("pos", "accepted")
-    return _frames(base, ids, labels, flags, exact, owners, spans, pairs, asking)
+    found = _frames(base, ids, labels, flags, exact, owners, spans, pairs, asking)
+    if "authors" not in records.columns:
+        return found
+    created = found.decisions.filter("status = 'created'").select("record_id", "work_id")
+    named = records.select(F.col("record_id").cast("string").alias("record_id"), F.posexplode("authors").alias("author_order", "author"))
+    return replace(found, authors=created.withColumn("record_id", F.col("record_id").cast("string")).join(named, "record_id").select("work_id", F.col("author_order") + 1, "author").toDF("work_id", "author_order", "author"))
 
 
 def _waiting_rank(free: DataFrame) -> DataFrame:

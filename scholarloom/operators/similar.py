@@ -43,6 +43,16 @@ def _cut(short: Column, threshold: float) -> Column:
     return F.struct(F.greatest(F.lit(1), q).alias("q"), width.alias("width"))
 
 
+def close_titles(threshold: float) -> Column:
+    """Whether ratio(title, other) reaches the threshold. A common beginning or end that is long enough alone, as numbered titles have, is told without working the ratio out:
+    the longest block the ratio starts from is at least as long."""
+    enough = F.ceil(F.lit(threshold) * (F.length("title") + F.length("other")) / 2 - F.lit(EPSILON)).cast("int")
+    sure = (F.left("title", enough) == F.left("other", enough)) | (F.right("title", enough) == F.right("other", enough))
+    sure = sure & (F.length("title") >= enough) & (F.length("other") >= enough)
+    ratio = matching_ratio(F.when(~sure, F.col("title")), F.when(~sure, F.col("other")))
+    return sure | (ratio >= threshold)
+
+
 def _chunks(sized: DataFrame, block: list[str], threshold: float) -> DataFrame:
     """The chunks a title is cut into as the shorter one of a pair."""
     cut = sized.withColumn("cut", _cut(F.col("size"), threshold)).select("*", "cut.q", "cut.width")
@@ -94,7 +104,7 @@ def titles_near(asked: DataFrame, shown: DataFrame, block: list[str], threshold:
     near = _near(ask, show, block, threshold).select(*block, F.col("short_title").alias("title"), F.col("long_title").alias("other")).unionByName(
         _near(show, ask, block, threshold).select(*block, F.col("long_title").alias("title"), F.col("short_title").alias("other"))).distinct()
     equal = asked.select(*block, "title").join(shown.select(*block, "title"), [*block, "title"], "left_semi")
-    return near.filter(matching_ratio("title", "other") >= threshold).unionByName(equal.select(*block, "title", F.col("title").alias("other")))
+    return near.filter(close_titles(threshold)).unionByName(equal.select(*block, "title", F.col("title").alias("other")))
 
 
 def similar_titles(titles: DataFrame, block: list[str], threshold: float) -> DataFrame:
@@ -109,5 +119,5 @@ def similar_titles(titles: DataFrame, block: list[str], threshold: float) -> Dat
         F.struct(F.col("long_title").alias("title"), F.col("short_title").alias("other")),
         F.struct(F.col("short_title").alias("title"), F.col("long_title").alias("other")),
     )).alias("p")).select(*block, "p.title", "p.other").distinct()
-    close = both.filter(matching_ratio("title", "other") >= threshold)
+    close = both.filter(close_titles(threshold))
     return close.unionByName(titles.select(*block, "title", F.col("title").alias("other")))

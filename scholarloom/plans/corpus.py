@@ -67,6 +67,7 @@ class Corpus(Mapping):
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
+        self.resolutions: dict = {}  # by the function that makes the records
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -19,11 +19,11 @@ from scholarloom.functions.text import (
     casefold, clean, comparison_form, first_sentence, is_heading, label_form, normal_form, sorted_json,
     stable_key,
 )
-from scholarloom.operators import evidence, gates, invariants, ranking, reports
+from scholarloom.operators import evidence, gates, identity_store, invariants, ranking, reports
 from scholarloom.operators.identity import resolve_identities
 from scholarloom.operators.ordered import global_position
 from scholarloom.operators.retention import retention_plan
-from scholarloom.operators.similar import similar_titles
+from scholarloom.operators.similar import similar_titles, titles_near
 from scholarloom.plans.corpus import EPOCH, as_of, at, first_line, pick, preprint, sql_at, sql_collapse, sql_normal, sql_pick, sql_preprint, sql_published, sql_time, work_key
 from scholarloom.plans.registry import listed, query, shown
 from scholarloom.session import shared_dir
@@ -797,25 +797,32 @@ def _identity_records(t) -> DataFrame:
         F.concat(F.filter(wanted, lambda i: i.isNotNull()), F.array(F.concat(F.lit("url:"), page))).alias("identities"))
 
 
+def _resolved(t, records):
+    """The resolution of all records of one kind, worked out once for the corpus."""
+    if records not in t.resolutions:
+        t.resolutions[records] = resolve_identities(records(t))
+    return t.resolutions[records]
+
+
 @query("e1_identity_resolution")
 def e1(t):
-    return resolve_identities(_identity_records(t)).decisions
+    return _resolved(t, _identity_records).decisions
 
 
 @query("e2_resolved_versions")
 def e2(t):
-    return resolve_identities(_identity_records(t)).versions
+    return _resolved(t, _identity_records).versions
 
 
 @query("e4_review_queue")
 def e4(t):
-    return resolve_identities(_identity_records(t)).review
+    return _resolved(t, _identity_records).review
 
 
 @query("e3_resolution_invariants", "SELECT 'current_versions' AS rule, 0 AS violations UNION ALL SELECT 'external_ids', 0")
 def e3_invariants(t):
     """Every resolved work has one current version, and no external id names two works."""
-    found = resolve_identities(_identity_records(t))
+    found = _resolved(t, _identity_records)
     ids = found.external_ids.select(F.lit("any").alias("id_type"), F.col("identity").alias("value"), "work_id")
     return invariants.violations({"versions": found.versions, "external_ids": ids}).groupBy("rule").agg(F.count("key").alias("violations"))
 
@@ -833,6 +840,73 @@ def j7(t):
     return similar_titles(titles, ["author", "year"], settings.FUZZY_TITLE_THRESHOLD).filter("title <> other")
 
 
+# Series: all documents of a source are numbered volumes of one author, with near titles. The first founds the work, every fifth names its DOI, the others are refused.
+_VOLUME = "'collected observations of the standing committee on periodical literature and related matters for ' || source || ' volume number '"
+
+
+def _series(t) -> DataFrame:
+    doc = F.col("doc_id")
+    rows = t.raw("documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("digest"))
+    first = rows.groupBy("source").agg(F.min("doc_id").alias("first"))
+    return rows.join(first, "source").select(
+        doc.cast("string").alias("record_id"), F.lpad(doc.cast("string"), 12, "0").alias("upstream_id"), F.lit(0).cast("bigint").alias("version_no"), at(doc % 31).alias("observed_at"),
+        F.concat(F.expr(_VOLUME), F.lpad(doc.cast("string"), 7, "0")).alias("title"), F.col("source").alias("author"), F.lit(2024).alias("year"), F.concat(F.lit("v"), doc % 3).alias("label"),
+        F.concat(F.array(F.concat(F.lit("sha:"), "digest", F.lit(":"), doc)), F.when((doc == F.col("first")) | (doc % 5 == 0), F.array(F.concat(F.lit("doi:"), "source"))).otherwise(F.array().cast("array<string>"))).alias("identities"),
+        F.array(F.concat(F.lit("author of "), "source"), F.concat(F.lit("second "), "lang")).alias("authors"))
+
+
+_SERIES = """SELECT *, sha256(CAST(first AS VARCHAR)) AS work, doc_id = first OR doc_id % 5 = 0 AS member, 'v' || (doc_id % 3) AS label FROM (SELECT doc_id, source, lang, min(doc_id) OVER (PARTITION BY source) AS first FROM documents)"""
+_SERIES_LABELS = f"SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY doc_id) AS turn FROM ({_SERIES}) WHERE member"
+_SERIES_DECIDED = f"""SELECT CAST(s.doc_id AS VARCHAR) AS record_id, CASE WHEN NOT s.member THEN 'manual_review' WHEN s.doc_id = s.first THEN 'created' WHEN turn = 1 THEN 'revision_created' ELSE 'already_known' END AS status,
+    CASE WHEN s.member THEN s.work END AS work_id, s.label AS version_label FROM ({_SERIES}) s LEFT JOIN ({_SERIES_LABELS}) l USING (doc_id)"""
+
+
+@query("e1_series", _SERIES_DECIDED)
+def e1_series(t):
+    return _resolved(t, _series).decisions
+
+
+@query("e1_series_in_batches", _SERIES_DECIDED)
+def e1_series_batches(t):
+    """The records in three batches, each on top of the stored state of those before it; the decisions are those of one run."""
+    tables = identity_store.identity_tables(t.spark, f"{shared_dir(t.spark)}/identity-{os.urandom(8).hex()}")
+    records = _series(t)
+    most = t.raw("documents").agg(F.max("doc_id")).first()[0] or 0
+    for number in range(3):
+        low, high = number * most // 3, (number + 1) * most // 3
+        part = F.col("record_id").cast("bigint")
+        identity_store.resolve_batch(tables, number, records.filter((part >= low) & ((part < high) | F.lit(number == 2))))
+    return tables.read("decisions").drop("batch")
+
+
+@query("e4_series_review", f"SELECT CAST(doc_id AS VARCHAR) AS record_id, work AS candidate_work_id, 'title:first_author:year' AS matched_on FROM ({_SERIES}) WHERE NOT member")
+def e4_series(t):
+    return _resolved(t, _series).review
+
+
+@query("e2_series_versions", f"""SELECT work AS work_id, label AS version_label, CAST(doc_id AS VARCHAR) AS record_id, doc_id = max(doc_id) OVER (PARTITION BY source) AS is_current FROM ({_SERIES_LABELS}) WHERE turn = 1""")
+def e2_series(t):
+    return _resolved(t, _series).versions.drop("title")
+
+
+@query("e3_series_authors", f"""SELECT work AS work_id, k.n AS author_order, CASE k.n WHEN 1 THEN 'author of ' || source ELSE 'second ' || lang END AS author FROM ({_SERIES}), (VALUES (1), (2)) k(n) WHERE doc_id = first""")
+def e3_series(t):
+    return _resolved(t, _series).authors
+
+
+@query("w4_current_versions_resolved", f"""SELECT work AS work_id, CAST(max(doc_id) AS VARCHAR) AS record_id, count(*) AS versions FROM ({_SERIES_LABELS}) WHERE turn = 1 GROUP BY 1""")
+def w4_resolved(t):
+    versions = _resolved(t, _series).versions
+    return versions.groupBy("work_id").agg(F.max(F.when(F.col("is_current"), F.col("record_id"))).alias("record_id"), F.count("*").alias("versions"))
+
+
+@query("j7_titles_near_works", f"""SELECT source AS author, {_VOLUME} || lpad(CAST(doc_id AS VARCHAR), 7, '0') AS title, {_VOLUME} || lpad(CAST(first AS VARCHAR), 7, '0') AS other FROM ({_SERIES})""")
+def j7_near(t):
+    """Every volume against the first of its series: one row a volume, whatever the length of the series."""
+    titles = _series(t).select("author", "title")
+    return titles_near(titles, titles.groupBy("author").agg(F.min("title").alias("title")), ["author"], settings.FUZZY_TITLE_THRESHOLD)
+
+
 # --- incremental ingestion -------------------------------------------------------------------------------
 
 
