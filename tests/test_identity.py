@@ -6,8 +6,9 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from scholarloom.operators import identity, identity_store
 from scholarloom.operators.identity import resolve_identities
-from scholarloom.operators.similar import similar_titles
+from scholarloom.operators.similar import close_titles, similar_titles
 
 SCHEMA = (
     "record_id string, upstream_id string, version_no bigint, observed_at timestamp, title string, "
@@ -154,3 +155,35 @@ def test_similar_titles_finds_every_pair(spark):
             if SequenceMatcher(None, a, b, autojunk=False).ratio() >= threshold
         }
         assert got == want and len(want) > len(titles)
+
+
+def test_few_works_at_a_time_give_the_same_decisions(spark, monkeypatch):
+    """One work per author and year in the first round, two in the second, and so on."""
+    monkeypatch.setattr(identity, "FIRST_WORKS", 1)
+    monkeypatch.setattr(identity, "GROWTH", 2)
+    rows = make_rows(4, count=40, titles=12)
+    expected, owner = replay(rows)
+    assert sum(s == "created" for s, _, _ in expected.values()) > 4
+    check(spark, rows, expected, owner)
+
+
+def test_batches_on_stored_state_decide_like_one_run(spark, tmp_path):
+    rows = sorted(make_rows(6, count=36), key=lambda r: (r["upstream_id"], r["version_no"], r["record_id"]))
+    expected, _ = replay(rows)
+    tables = identity_store.identity_tables(spark, str(tmp_path / "identities"))
+    cut = next(k for k in range(18, 36) if rows[k]["upstream_id"] != rows[k - 1]["upstream_id"])
+    for number, part in enumerate((rows[:cut], rows[cut:])):
+        identity_store.resolve_batch(tables, number, spark.createDataFrame(tuples(part), SCHEMA))
+    decided = {r["record_id"]: r["status"] for r in tables.read("decisions").collect()}
+    assert decided == {k: s for k, (s, _, _) in expected.items()}
+    assert tables.read("works").filter("batch = 0").count() > 0
+    works, _, _ = identity_store.met_state(tables, 2, spark.createDataFrame(tuples([{**rows[0], "author": "nobody", "identities": ["doi:none"]}]), SCHEMA))
+    assert works.isEmpty()
+
+
+def test_a_long_common_beginning_is_close_without_the_ratio(spark):
+    rng = random.Random(9)
+    rows = [("k" * rng.randint(0, 60) + "".join(rng.choice("abk") for _ in range(rng.randint(1, 12))), "k" * rng.randint(0, 60) + "".join(rng.choice("abk") for _ in range(rng.randint(1, 12)))) for _ in range(300)]
+    rows += [(a, a[:-1] + "z") for a, _ in rows] + [(a, "z" + a[1:]) for a, _ in rows]
+    got = spark.createDataFrame(rows, "title string, other string").select("title", "other", close_titles(0.9).alias("close")).collect()
+    assert [r.close for r in got] == [SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.9 for a, b in rows]
