@@ -32,7 +32,7 @@ SKETCH_WORDS = 1 << 16
 
 def landed_tables(spark: SparkSession, path: str) -> BatchTables:
     """Landed rows, their keys, refused rows with their reason, and counts per source and batch."""
-    return BatchTables(spark, path, {"landed": LANDED, "keys": KEYS, "refused": REFUSED, "counts": COUNTS}, {"landed": ["prefix"], "keys": ["prefix"]})
+    return BatchTables(spark, path, {"landed": LANDED, "keys": KEYS, "refused": REFUSED, "counts": COUNTS}, {"landed": ["prefix"]})
 
 
 def _sketch_bits() -> list[tuple[Column, Column]]:
@@ -55,6 +55,8 @@ def new_keys(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """(prefix, payload key, first arrival, n, stored): the keys of ``rows``, how often each comes, and whether it is stored; payloads take no part."""
     arrival = F.struct("observed_at", "upstream_version", "canonical_url")
     seen = durable(rows.groupBy("prefix", *PAYLOAD_KEY).agg(F.min(arrival).alias("first"), F.count("*").alias("n")))
+    if stored.isEmpty():
+        return seen.withColumn("stored", F.lit(False))
     hits = possible_hits(stored, seen).withColumn("stored", F.lit(True))
     return durable(seen.join(hits, ["prefix", *PAYLOAD_KEY], "left").withColumn("stored", F.coalesce("stored", F.lit(False))))
 
@@ -74,7 +76,7 @@ def batch_rows(batch: DataFrame, batch_id: int, tables: BatchTables) -> dict[str
     kept = keys.groupBy("source_key").agg(F.sum("n").alias("seen"), F.count_if(~F.col("stored")).alias("created"), F.lit(0).cast("bigint").alias("refused"))
     turned = refused.groupBy("source_key").agg(F.count("*").alias("seen"), F.lit(0).cast("bigint").alias("created"), F.count("*").alias("refused"))
     counts = kept.unionByName(turned).groupBy("source_key").agg(F.sum("seen").alias("seen"), F.sum("created").alias("created"), F.sum("refused").alias("refused"))
-    frames = {"landed": landed, "keys": fresh.repartition("prefix"), "refused": refused,
+    frames = {"landed": landed, "keys": fresh, "refused": refused,
               "counts": counts.withColumn("duplicates", F.col("seen") - F.col("created") - F.col("refused"))}
     return {name: frame.select(*[c.split()[0] for c in tables.schemas[name].split(", ")]) for name, frame in frames.items()}
 
