@@ -26,7 +26,7 @@ from scholarloom.operators.retention import retention_plan
 from scholarloom.operators.similar import similar_titles, titles_near
 from scholarloom.plans.corpus import EPOCH, as_of, at, first_line, pick, preprint, sql_at, sql_collapse, sql_normal, sql_pick, sql_preprint, sql_published, sql_time, work_key
 from scholarloom.plans.registry import listed, query, shown
-from scholarloom.session import shared_dir
+from scholarloom.session import durable, shared_dir
 from scholarloom.sources import landing
 from scholarloom.sources.feeds import normalize_posts
 from scholarloom.sources.hub import normalize_hub
@@ -622,7 +622,7 @@ def g2_deep(t):
 @query("g3_deep_citations", """SELECT doc_id AS run_id, CASE WHEN doc_id % 43 = 0 THEN 'METADATA_MISMATCH' WHEN doc_id % 37 = 0 THEN 'DANGLING_CLAIM_REFERENCE' WHEN doc_id % 9 = 0 THEN 'UNCITED_CLAIM' WHEN doc_id % 10 = 7 THEN 'FOREIGN_EVIDENCE' END AS reason,
     CASE WHEN doc_id % 9 = 0 THEN 0.0 ELSE 1.0 END AS citation_coverage, 2 - CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS citations_verified FROM documents""")
 def g3_deep(t):
-    rows = _reports(t)
+    rows = durable(_reports(t))  # five branches read it
     doc = F.col("run_id")
     runs = rows.select("run_id", (F.col("report.work_id") == F.col("work_id")).alias("identity_matches"),
                        ((F.col("report.title") == F.col("title")) & (doc % 43 != 0)).alias("metadata_matches"))
