@@ -17,6 +17,7 @@ from scholarloom import settings
 from scholarloom.functions.identifiers import public_url
 from scholarloom.operators.ordered import latest_by
 from scholarloom.operators.search import matching_ids
+from scholarloom.session import durable
 
 Tables = Mapping[str, DataFrame]
 MAX_PAGE, MAX_OFFSET = 50, 100_000
@@ -48,24 +49,34 @@ class CatalogQuery:
             raise ValueError(f"unknown order: {self.sort}")
 
 
-def _by(name: str, descending: bool) -> list[Column]:
-    first = F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last()
-    return [first, F.col("work_id").asc()]
+#: Columns of each order and whether each runs downwards; null comes last either way.
+ORDER_KEYS = {
+    "newest": [("publication_date", True), ("work_id", False)],
+    "oldest": [("publication_date", False), ("work_id", False)],
+    "title": [("normalized_title", False), ("work_id", False)],
+    "updated": [("updated_at", True), ("work_id", False)],
+    **{kind: [(f"{kind}_score", True), ("publication_date", True), ("work_id", False)] for kind in ("technical", "commercial", "priority")},
+}
 
 
-def _scored(name: str) -> list[Column]:
-    return [F.col(name).desc_nulls_last(), F.col("publication_date").desc_nulls_last(), F.col("work_id").asc()]
+def _order(keys: list[tuple[str, bool]]) -> list[Column]:
+    return [F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_last() for name, down in keys]
 
 
-SORTS = {
-    "newest": lambda: _by("publication_date", True),
-    "oldest": lambda: _by("publication_date", False),
-    "title": lambda: _by("normalized_title", False),
-    "updated": lambda: _by("updated_at", True),
-    "technical": lambda: _scored("technical_score"),
-    "commercial": lambda: _scored("commercial_score"),
-    "priority": lambda: _scored("priority_score"),
-}
+SORTS = {name: (lambda keys=keys: _order(keys)) for name, keys in ORDER_KEYS.items()}
+
+
+def beyond(keys: list[tuple[str, bool]], boundary: Mapping[str, object]) -> Column:
+    """Whether a row comes after the row with the values ``boundary`` in the order of ``keys``; a plain filter, so the rows before it are not sorted."""
+    after = F.lit(False)
+    for name, down in reversed(keys):
+        value, column = boundary[name], F.col(name)
+        if value is None:
+            after = column.isNull() & after
+        else:
+            later = column < F.lit(value) if down else column > F.lit(value)
+            after = column.isNull() | later | ((column == F.lit(value)) & after)
+    return F.coalesce(after, F.lit(False))
 
 
 def base_papers(t: Tables) -> DataFrame:
@@ -192,12 +203,30 @@ def page_summary(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
         (F.col("total") > shown + offset).alias("has_more"))
 
 
+def _sortable(t: Tables, query: CatalogQuery) -> DataFrame:
+    papers = filter_papers(base_papers(t), t, query)
+    return with_scores(papers, t["results"]) if query.sort in {"technical", "commercial", "priority"} else papers
+
+
+def seek_page(t: Tables, query: CatalogQuery, after: Mapping[str, object] | None = None) -> tuple[DataFrame, dict[str, object] | None]:
+    """The page that follows the boundary ``after`` (None: the first) and the boundary of the next one (None: there is none).
+
+    A page at any depth costs what the first one costs: a filter and the ``limit`` smallest rows, so there is no bound on the depth. A row that is
+    put in before the boundary meanwhile moves nothing. The boundary holds the order columns of the last row shown.
+    """
+    if query.limit is None or query.offset:
+        raise ValueError("a page by boundary has a limit and no offset")
+    keys = ORDER_KEYS[query.sort]
+    papers = _sortable(t, query)
+    shown = durable(page(papers if after is None else papers.filter(beyond(keys, after)), _order(keys), query.limit))
+    rows = shown.select(*[name for name, _ in keys]).orderBy(*_order(keys)).collect()
+    boundary = rows[-1].asDict() if len(rows) == query.limit else None
+    return shown.withColumn("match_reason", F.lit(match_reason(query)).cast("string")), boundary
+
+
 def catalog_page(t: Tables, query: CatalogQuery) -> DataFrame:
     """Page of papers; details are attached to the page only, after the limit."""
-    papers = filter_papers(base_papers(t), t, query)
-    if query.sort in {"technical", "commercial", "priority"}:
-        papers = with_scores(papers, t["results"])
-    shown = page(papers, SORTS[query.sort](), query.limit, query.offset)
+    shown = page(_sortable(t, query), SORTS[query.sort](), query.limit, query.offset)
     return shown.withColumn("match_reason", F.lit(match_reason(query)).cast("string"))
 
 
