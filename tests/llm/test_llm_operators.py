@@ -1,4 +1,6 @@
 import collections
+import random
+import re
 import textwrap
 
 import brute
@@ -11,6 +13,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scholarloom.llm import bpe, licence_texts, licences, lines, phrases, pseudo, quality, rules, simhash, superkmer, urls
+from scholarloom.llm.common import utf8
 from scholarloom.llm.components import component_of
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -235,6 +238,39 @@ def test_quality(spark, docs, cases, none):
     assert quality.quality(docs, odd).count() == len(cases)
 
 
+def test_quality_knows_words(spark):
+    """Letter salad, advertising in foreign words and texts without words are rejected, though they look like prose; labelled prose is kept."""
+    data = "/root/testdata/sf0.01"
+    real, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model, draw = quality.fit(real, labels), random.Random(3)
+    salad = " ".join("".join(draw.choice("bcdfghjklmnpqrstvwxz") for _ in range(draw.randint(2, 9))) for _ in range(60)).capitalize() + "."
+    spam = "Win big at our casino tonight. Click here for free bonus spins, cheap pills and lucky jackpots now. " * 4
+    bad = spark.createDataFrame([(k, t) for k, t in enumerate((salad, spam, "", None, " \n\t", "!!! ... ***"))], "doc_id long, text string")
+    assert all(r.llm_score < quality.KEEP_AT for r in quality.scored(bad, model).collect())
+    kept = quality.scored(real, model).join(labels.where("quality = 1"), "doc_id").where(quality.held_out())
+    assert kept.agg(F.avg((F.col("llm_score") >= quality.KEEP_AT).cast("int"))).first()[0] > 0.97
+
+
+def test_terms_equal_a_plain_count():
+    """Words, pairs, unknown words and the share of known ones, one word at a time."""
+    texts = ["The cat, the CAT sat", "", "x", "the-cat zq zq the", "é1 cat é1"]
+    of = lambda word: int(quality.lexical_words(*utf8(pa.array([word])))[0][0])
+    lexicon = np.sort(np.array([of(w) for w in ("the", "cat", "é1")], np.uint64))
+    model = quality.QualityModel(np.ones(quality.TERMS), np.zeros((quality.TERMS, 1)), np.zeros((1, 1), np.float32), np.ones(1), np.ones(1), 0.5, lexicon, 0.8, 0.6)
+    counts, trust = quality.term_counts(*utf8(pa.array(texts)), lexicon), model.trust(*utf8(pa.array(texts)))
+    for text, row, worth in zip(texts, counts, trust, strict=True):
+        words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", text.translate(str.maketrans("THECA", "theca")))
+        want = np.zeros(quality.TERMS)
+        known = [w in ("the", "cat", "é1") for w in words]
+        for k, word in enumerate(words):
+            want[quality.FIRST_WORD + (of(word) % quality.WORDS if known[k] else quality.WORDS)] += 1 / len(words)
+            if k and known[k] and known[k - 1]:
+                mixed = quality.mixed(np.array([of(words[k - 1]) * int(quality._STEP) + of(word) & 2**64 - 1], np.uint64))
+                want[quality.FIRST_PAIR + int(mixed[0] % np.uint64(quality.PAIRS))] += 1 / len(words)
+        assert np.allclose(row[quality.FIRST_WORD:], want[quality.FIRST_WORD:])
+        assert abs(worth - (min(1, (sum(known) + 3 * 0.8) / (len(words) + 3) / 0.6) if words else 0)) < 1e-12
+
+
 def test_votes_equal_a_plain_loop():
     draw = np.random.default_rng(0)
     counts = draw.random((40, quality.TERMS))
