@@ -22,9 +22,8 @@ def _paper_parts(raw: Column) -> tuple[Column, Column]:
     """(stable id, version label) of a preprint id; both NULL when it is malformed."""
     bare = _strip(F.regexp_replace(raw, settings.ARXIV_PREFIX, ""))
     bare = F.regexp_replace(bare, r"(?i)\.pdf$", "")
-    pattern = rf"(?i)^({settings.ARXIV_STABLE})(v\d+)?$"
-    stable = F.nullif(F.regexp_extract(bare, pattern, 1), F.lit(""))
-    version = F.nullif(F.regexp_extract(bare, pattern, 2), F.lit(""))
+    stable = F.nullif(F.regexp_extract(bare, settings.ARXIV_PATTERN, 1), F.lit(""))
+    version = F.nullif(F.regexp_extract(bare, settings.ARXIV_PATTERN, 2), F.lit(""))
     return casefold(stable), casefold(version)
 
 

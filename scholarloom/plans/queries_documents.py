@@ -713,7 +713,7 @@ def g7(t):
     return reports.opportunities(rows, daily).select("kind", "work_id", "headline", "detail", listed("evidence_ids").alias("ids"))
 
 
-@query("g8_commercial_hypotheses", f"""SELECT p.work_id, 'Teams have no tested guidance for ' || v.title || '.' AS headline, round(least(0.75, 0.35 + p.commercial_score / 250), 5) AS confidence, e.ids FROM
+@query("g8_commercial_hypotheses", f"""SELECT p.work_id, 'hypothesis_problem|' || v.title AS headline, round(least(0.75, 0.35 + p.commercial_score / 250), 5) AS confidence, e.ids FROM
     (SELECT * FROM scores ORDER BY commercial_score DESC, work_id LIMIT 10) p JOIN works w USING (work_id) JOIN versions v ON v.version_id = w.current_version_id
     JOIN (SELECT work_id, string_agg(span_id, '|' ORDER BY page, span_id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY page, span_id) AS n FROM (
         SELECT v.work_id, s.page, s.span_id FROM spans s JOIN pdfs d USING (document_id) JOIN versions v ON v.version_id = d.version_id)) WHERE n <= 3 GROUP BY 1) e ON e.work_id = p.work_id
@@ -759,7 +759,7 @@ def _sql_part(part: str, key: str, order: str, rows: str, limit: int) -> str:
     _sql_part("important_updates", "work_id", "observed_at DESC, work_id", "versions WHERE is_current AND work_id IN (SELECT work_id FROM versions GROUP BY 1 HAVING count(*) > 1)", 10),
     _sql_part("learning_focus", "concept", "f", """(SELECT concept, min((p, s)) AS f FROM (SELECT p, s, CASE s WHEN 0 THEN 'Concept ' || (doc_id % 7) ELSE lang END AS concept FROM (
         SELECT *, row_number() OVER (ORDER BY doc_id % 40 DESC, doc_id DESC) AS p FROM documents) d, (VALUES (0), (1)) k(s) WHERE p <= 2) GROUP BY 1)""", 10),
-    """SELECT 'coverage_gaps', 0, (SELECT count(*) FROM works WHERE work_type = 'paper' AND work_id NOT IN (SELECT work_id FROM with_docs)) || ' papers have no parsed document.'
+    """SELECT 'coverage_gaps', 0, 'gap_documents|' || (SELECT count(*) FROM works WHERE work_type = 'paper' AND work_id NOT IN (SELECT work_id FROM with_docs))
         WHERE EXISTS (SELECT 1 FROM works WHERE work_type = 'paper' AND work_id NOT IN (SELECT work_id FROM with_docs))"""]))
 def g9_parts(t):
     """The stored report taken apart again: part, position and id. The corpus has verified deep reports, so one gap is left."""

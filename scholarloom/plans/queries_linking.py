@@ -58,14 +58,14 @@ def a12(t):
     return processing_totals(t["attempts"])
 
 
-@query("a15_event_sentences", f"""SELECT event_id, source_count AS sources, CASE WHEN source_count > 1 THEN title || ': ' || source_count || ' sources report this development.'
-    ELSE title || ': reported by one source only, not corroborated.' END AS sentence FROM linked_events ORDER BY occurred_at DESC NULLS LAST, event_id LIMIT 8""")
+@query("a15_event_sentences", f"""SELECT event_id, source_count AS sources, CASE WHEN source_count > 1 THEN 'event_linked|' || title || '|' || source_count
+    ELSE 'event_single|' || title END AS sentence FROM linked_events ORDER BY occurred_at DESC NULLS LAST, event_id LIMIT 8""")
 def a15(t):
     return reports.event_sentences(t).select("event_id", "sources", "sentence")
 
 
-@query("a17_coverage_gaps", """SELECT gap FROM (SELECT (SELECT count(*) FROM works WHERE work_type = 'paper' AND work_id NOT IN (SELECT work_id FROM with_docs)) || ' papers have no parsed document.' AS gap
-    UNION ALL SELECT 'There is no verified deep report yet.' WHERE NOT EXISTS (SELECT 1 FROM runs WHERE analysis_type = 'deep_dive' AND status = 'succeeded'))""")
+@query("a17_coverage_gaps", """SELECT gap FROM (SELECT 'gap_documents|' || (SELECT count(*) FROM works WHERE work_type = 'paper' AND work_id NOT IN (SELECT work_id FROM with_docs)) AS gap
+    UNION ALL SELECT 'gap_deep' WHERE NOT EXISTS (SELECT 1 FROM runs WHERE analysis_type = 'deep_dive' AND status = 'succeeded'))""")
 def a17(t):
     return reports.coverage_gaps(t).select("gap")
 
