@@ -6,18 +6,26 @@ titles unmatched. Cut the shorter title into more than ``d`` chunks of ``q`` cha
 longer title shifted by no more than that. An equality join of chunks with the q-grams of the longer
 titles, keyed by a coarse position as well, therefore finds every pair that can reach the ratio. The
 rows on both sides grow with the length of the titles only. The edit distance, which the JVM
-computes, then drops most candidates before the ratio itself is computed.
+computes within its budget, then drops most candidates before the ratio itself is computed.
+
+Where one side has at most ``FEW`` titles of a block, these are set beside all titles of the other side instead: the
+chunks of near titles, as numbered ones, all meet, so that the pairs alone are fewer rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarloom.functions.similarity import matching_ratio
+from scholarloom.session import durable
 
 EPSILON = 1e-9
-SMALLEST_BUCKET = 8
+BUCKET = 8
+#: Titles of a block that are set beside all others of it, and the slices the others are dealt into.
+FEW, SLICES = 16, 32
 
 
 def _budget(a: Column, b: Column, threshold: float) -> Column:
@@ -34,48 +42,54 @@ def _shortest(size: Column, threshold: float) -> Column:
     return F.ceil(size * threshold / (2 - threshold) - F.lit(EPSILON)).cast("int")
 
 
-def _cut(short: Column, threshold: float) -> Column:
-    """struct<q, width>: chunk length and position bucket used for shorter titles of this length."""
+def _chunk_length(short: Column, threshold: float) -> Column:
+    """Length of the chunks that shorter titles of this length are cut into."""
     most = _budget(short, _longest(short, threshold), threshold)
-    q = F.floor(short / (most + 1)).cast("int")
-    reach = 2 * (_longest(short, threshold) - short) + most
-    width = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(SMALLEST_BUCKET), reach)))).cast("int")
-    return F.struct(F.greatest(F.lit(1), q).alias("q"), width.alias("width"))
+    return F.greatest(F.lit(1), F.floor(short / (most + 1)).cast("int"))
 
 
-def close_titles(threshold: float) -> Column:
-    """Whether ratio(title, other) reaches the threshold. A common beginning or end that is long enough alone, as numbered titles have, is told without working the ratio out:
-    the longest block the ratio starts from is at least as long."""
+def _sure(threshold: float) -> Column:
+    """Whether a common beginning or end of title and other is long enough alone, as numbered titles have: the longest block the ratio starts from is at least as long."""
     enough = F.ceil(F.lit(threshold) * (F.length("title") + F.length("other")) / 2 - F.lit(EPSILON)).cast("int")
     sure = (F.left("title", enough) == F.left("other", enough)) | (F.right("title", enough) == F.right("other", enough))
-    sure = sure & (F.length("title") >= enough) & (F.length("other") >= enough)
+    return sure & (F.length("title") >= enough) & (F.length("other") >= enough)
+
+
+def _within(a: str, b: str, threshold: float) -> Column:
+    """Whether the edit distance is within the budget; a distance beyond it is given up early, as -1."""
+    return F.call_function("levenshtein", F.col(a), F.col(b), _budget(F.length(a), F.length(b), threshold)) >= 0
+
+
+def close_titles(threshold: float) -> Column:
+    """Whether ratio(title, other) reaches the threshold; the ratio is worked out where a common beginning or end does not tell."""
+    sure = _sure(threshold)
     ratio = matching_ratio(F.when(~sure, F.col("title")), F.when(~sure, F.col("other")))
     return sure | (ratio >= threshold)
 
 
 def _chunks(sized: DataFrame, block: list[str], threshold: float) -> DataFrame:
-    """The chunks a title is cut into as the shorter one of a pair."""
-    cut = sized.withColumn("cut", _cut(F.col("size"), threshold)).select("*", "cut.q", "cut.width")
-    most = _budget(F.col("size"), _longest(F.col("size"), threshold), threshold)
-    chunks = cut.withColumn("index", F.explode(F.sequence(F.lit(0), most)))
-    start = F.col("index") * F.col("q")
-    reach = F.least(F.col("index"), most)
-    buckets = F.sequence(
-        F.floor(F.greatest(F.lit(0), start - reach) / F.col("width")), F.floor((start + reach) / F.col("width")))
+    """The chunks a title is cut into as the shorter one of a pair, in every bucket of positions an untouched one can be found in."""
+    longest = _longest(F.col("size"), threshold)
+    cut = sized.select("*", _chunk_length(F.col("size"), threshold).alias("q"), _budget(F.col("size"), longest, threshold).alias("most"), (longest - F.col("size")).alias("extra"))
+    chunks = cut.withColumn("index", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    start, left = F.col("index") * F.col("q"), F.col("most") - F.col("index")
+    first = F.greatest(F.lit(0), start - F.least(F.col("index"), left))
+    last = start + F.least(F.col("index"), F.col("extra") + left)
     return chunks.select(
-        *block, F.col("title").alias("short_title"), F.col("size").alias("short"), "q", "width", "index",
-        F.col("title").substr(start + 1, F.col("q")).alias("gram"), F.explode(buckets).alias("bucket"))
+        *block, F.col("title").alias("short_title"), F.col("size").alias("short"), "q", "index",
+        F.col("title").substr(start + 1, F.col("q")).alias("gram"),
+        F.explode(F.sequence(F.floor(first / BUCKET), F.floor(last / BUCKET))).alias("bucket"))
 
 
 def _grams(sized: DataFrame, block: list[str], threshold: float) -> DataFrame:
     """The grams of a title as the longer one, cut the way each shorter partner it may have is cut: one or two ways."""
+    sizes = sized.select("size").distinct()
     partners = F.sequence(F.greatest(F.lit(1), _shortest(F.col("size"), threshold)), F.col("size"))
-    ways = sized.withColumn("cut", F.explode(F.array_distinct(F.transform(partners, lambda s: _cut(s, threshold))))).select(
-        *block, "title", "size", "cut.q", "cut.width").filter("size >= q")
-    return ways.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("q")))).select(
-        *block, F.col("title").alias("long_title"), F.col("size").alias("long"), "q", "width", "at",
+    ways = sizes.select("size", F.explode(F.array_distinct(F.transform(partners, lambda s: _chunk_length(s, threshold)))).alias("q")).filter("size >= q")
+    return sized.join(F.broadcast(ways), "size").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("q")))).select(
+        *block, F.col("title").alias("long_title"), F.col("size").alias("long"), "q", "at",
         F.col("title").substr(F.col("at") + 1, F.col("q")).alias("gram"),
-        F.floor(F.col("at") / F.col("width")).alias("bucket"))
+        F.floor(F.col("at") / BUCKET).alias("bucket"))
 
 
 def _near(shorter: DataFrame, longer: DataFrame, block: list[str], threshold: float) -> DataFrame:
@@ -83,13 +97,25 @@ def _near(shorter: DataFrame, longer: DataFrame, block: list[str], threshold: fl
     budget = _budget(F.col("short"), F.col("long"), threshold)
     shift = F.col("at") - F.col("index") * F.col("q")
     extra = F.col("long") - F.col("short")
-    found = _chunks(shorter, block, threshold).join(_grams(longer, block, threshold), [*block, "q", "width", "gram", "bucket"]).filter(
+    found = _chunks(shorter, block, threshold).join(_grams(longer, block, threshold), [*block, "q", "gram", "bucket"]).filter(
         (extra >= 0) & (F.col("long_title") != F.col("short_title"))
         & (2 * F.col("short") >= F.lit(threshold) * (F.col("short") + F.col("long")) - F.lit(EPSILON))
-        & (F.col("index") <= budget) & (F.abs(shift) <= F.col("index")) & (F.abs(extra - shift) <= budget - F.col("index")))
-    pairs = found.select(*block, "long_title", "short_title").distinct()
-    return pairs.filter(
-        F.levenshtein("long_title", "short_title") <= _budget(F.length("short_title"), F.length("long_title"), threshold))
+        & (F.col("index") <= budget) & (F.abs(shift) <= F.col("index")) & (F.abs(extra - shift) <= budget - F.col("index"))
+        & _within("long_title", "short_title", threshold))
+    return found.select(*block, "long_title", "short_title").distinct()
+
+
+def _beside(few: DataFrame, others: DataFrame, block: list[str]) -> DataFrame:
+    """Every title of ``few`` beside every one of ``others`` in its block; a large block is dealt into slices."""
+    spread = few.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    dealt = others.withColumn("_slice", F.pmod(F.xxhash64(*others.columns), F.lit(SLICES)).cast("int"))
+    return dealt.join(spread, [*block, "_slice"])
+
+
+def _direct(pairs: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    a, b = F.length("title"), F.length("other")
+    fits = 2 * F.least(a, b) >= F.lit(threshold) * (a + b) - F.lit(EPSILON)
+    return pairs.select(*block, "title", "other").filter((F.col("title") != F.col("other")) & fits & (_sure(threshold) | _within("title", "other", threshold)))
 
 
 def titles_near(asked: DataFrame, shown: DataFrame, block: list[str], threshold: float) -> DataFrame:
@@ -98,13 +124,23 @@ def titles_near(asked: DataFrame, shown: DataFrame, block: list[str], threshold:
     Both sides have one row per distinct (block, title). Rows grow with the asked titles times the shown ones of their grams, so
     a side that is kept small, as the works of a series are, keeps the join small whatever the other side holds.
     """
-    sized = lambda frame: frame.select(*block, "title", F.length("title").alias("size"))
-    ask = sized(asked.join(shown.select(*block).distinct(), block, "left_semi"))
-    show = sized(shown.join(asked.select(*block).distinct(), block, "left_semi"))
-    near = _near(ask, show, block, threshold).select(*block, F.col("short_title").alias("title"), F.col("long_title").alias("other")).unionByName(
-        _near(show, ask, block, threshold).select(*block, F.col("long_title").alias("title"), F.col("short_title").alias("other"))).distinct()
-    equal = asked.select(*block, "title").join(shown.select(*block, "title"), [*block, "title"], "left_semi")
-    return near.filter(close_titles(threshold)).unionByName(equal.select(*block, "title", F.col("title").alias("other")))
+    ask, show = asked.select(*block, "title"), shown.select(*block, F.col("title").alias("other"))
+    met = ask.groupBy(*block).agg(F.count("*").alias("_asked")).join(show.groupBy(*block).agg(F.count("*").alias("_shown")), block)
+    met = durable(met.select(*block, F.when(F.col("_shown") <= FEW, "shown").when(F.col("_asked") <= FEW, "asked").otherwise("many").alias("_few")))
+    kinds = {row[0] for row in met.select("_few").distinct().collect()}  # three at most
+    of = lambda frame, few: frame.join(met.filter(F.col("_few") == few).select(*block), block, "left_semi")
+    near = [ask.join(show.withColumnRenamed("other", "title"), [*block, "title"], "left_semi").select(*block, "title", F.col("title").alias("other"))]
+    if "shown" in kinds:
+        near.append(_direct(_beside(of(show, "shown"), of(ask, "shown"), block), block, threshold).filter(close_titles(threshold)))
+    if "asked" in kinds:
+        near.append(_direct(_beside(of(ask, "asked"), of(show, "asked"), block), block, threshold).filter(close_titles(threshold)))
+    if "many" in kinds:
+        sized = lambda frame, name: of(frame, "many").select(*block, F.col(name).alias("title"), F.length(name).alias("size"))
+        asking, showing = sized(ask, "title"), sized(show, "other")
+        found = _near(asking, showing, block, threshold).select(*block, F.col("short_title").alias("title"), F.col("long_title").alias("other")).unionByName(
+            _near(showing, asking, block, threshold).select(*block, F.col("long_title").alias("title"), F.col("short_title").alias("other"))).distinct()
+        near.append(found.filter(close_titles(threshold)))
+    return reduce(DataFrame.unionByName, near)
 
 
 def similar_titles(titles: DataFrame, block: list[str], threshold: float) -> DataFrame:

@@ -6,9 +6,9 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from scholarloom.operators import identity, identity_store
+from scholarloom.operators import identity, identity_store, similar
 from scholarloom.operators.identity import resolve_identities
-from scholarloom.operators.similar import close_titles, similar_titles
+from scholarloom.operators.similar import close_titles, similar_titles, titles_near
 
 SCHEMA = (
     "record_id string, upstream_id string, version_no bigint, observed_at timestamp, title string, "
@@ -187,3 +187,25 @@ def test_a_long_common_beginning_is_close_without_the_ratio(spark):
     rows += [(a, a[:-1] + "z") for a, _ in rows] + [(a, "z" + a[1:]) for a, _ in rows]
     got = spark.createDataFrame(rows, "title string, other string").select("title", "other", close_titles(0.9).alias("close")).collect()
     assert [r.close for r in got] == [SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.9 for a, b in rows]
+
+
+def test_titles_near_few_and_many(spark):
+    """Numbered titles, of which one side has few in some blocks: the pairs of the plain rule, and no chunks where titles can be set side by side."""
+    rng = random.Random(7)
+    words = ["observations", "standing", "committee", "periodical", "literature", "volume", "number", "été"]
+
+    def title(n):
+        return " ".join(rng.choice(words) for _ in range(4)) + f" {n}" if n % 3 else f"{words[0]} of the {words[1]} {words[2]} volume number {n:04d}"
+
+    asked = {(b, title(n)) for b, size in (("a", 60), ("b", 60), ("c", 3), ("d", 2)) for n in range(size)}
+    shown = {(b, title(n)) for b, size in (("a", 2), ("b", 40), ("c", 50), ("e", 2)) for n in range(size)} | set(list(asked)[:5])
+    frames = [spark.createDataFrame(sorted(side), "block string, title string") for side in (asked, shown)]
+    got = [tuple(r) for r in titles_near(*frames, ["block"], 0.92).collect()]
+    want = {(b, x, y) for b, x in asked for c, y in shown if b == c and SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.92}
+    assert len(want) > 100 and sorted(got) == sorted(want)
+
+
+def test_few_shown_titles_need_no_chunks(spark, monkeypatch):
+    asked = spark.range(400).selectExpr("'a' AS block", "concat('collected observations of the standing committee number ', lpad(id, 5, '0')) AS title")
+    monkeypatch.setattr(similar, "_near", lambda *_: pytest.fail("titles of a series were cut into chunks"))
+    assert titles_near(asked, asked.limit(3), ["block"], 0.92).count() == 1_200
