@@ -31,6 +31,12 @@ def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), value))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Rounded as the double it is: half away from zero of the scaled value. ``F.round`` rounds the shortest decimal text of the double instead."""
+    scale = F.lit(10.0 ** places)
+    return F.round(value * scale) / scale
+
+
 def tier_quality(tier: Column, publication_status: Column) -> Column:
     lookup = F.create_map(*[F.lit(x) for pair in settings.TIER_QUALITY.items() for x in pair])
     base = F.coalesce(F.try_element_at(lookup, tier), F.lit(settings.UNKNOWN_TIER_QUALITY))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarloom import settings
-from scholarloom.functions.scoring import clamp, half_life_freshness, tier_quality
+from scholarloom.functions.scoring import clamp, half_life_freshness, rounded, tier_quality
 from scholarloom.functions.text import first_sentence
 from scholarloom.operators.catalog import Tables, base_papers, linked_artifacts
 from scholarloom.operators.ordered import latest_by
@@ -72,7 +72,7 @@ def feature_frame(t: Tables, as_of: Column, *, limit: int | None = None, active_
 
 
 def _components(group: str, weights: dict[str, float]) -> dict[str, Column]:
-    return {k: F.round(F.col(f"{group}.{k}") * w * 100, 4) for k, w in weights.items()}
+    return {k: rounded(F.col(f"{group}.{k}") * w * 100, 4) for k, w in weights.items()}
 
 
 def score(
@@ -97,9 +97,9 @@ def score(
         0.55 * F.col("technical_raw") + 0.30 * F.col("commercial_raw") + 15 * F.col("critical_topic")
         - 20 * F.col("analyzed").cast("int") - cost)
     return (
-        scored.withColumn("technical_score", F.round("technical_raw", 4))
-        .withColumn("commercial_score", F.round("commercial_raw", 4))
-        .withColumn("priority_score", F.round(priority, 4))
+        scored.withColumn("technical_score", rounded(F.col("technical_raw"), 4))
+        .withColumn("commercial_score", rounded(F.col("commercial_raw"), 4))
+        .withColumn("priority_score", rounded(priority, 4))
         .drop("technical_raw", "commercial_raw"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholarloom import settings
+from scholarloom.functions.scoring import rounded
 from scholarloom.operators import linking, metrics, ranking, reports
 from scholarloom.operators.listings import daily_budget, first_writer
 from scholarloom.plans.corpus import as_of, at, sql_time
@@ -221,25 +222,25 @@ def w10(t):
     CASE WHEN has_document AND has_code THEN 0.9 WHEN has_document THEN 0.55 ELSE 0.25 END AS p FROM features""")
 def r1(t):
     return ranking.feature_frame(t, as_of()).select(
-        "work_id", "relevance", F.round("technical.N", 6).alias("n"), F.round("technical.Q", 6).alias("q"), F.round("technical.F", 6).alias("f"), F.col("technical.P").alias("p"))
+        "work_id", "relevance", rounded(F.col("technical.N"), 6).alias("n"), rounded(F.col("technical.Q"), 6).alias("q"), rounded(F.col("technical.F"), 6).alias("f"), F.col("technical.P").alias("p"))
 
 
 @query("r2_technical_score", "SELECT work_id, c_r, c_n, c_e, c_p, c_q, c_f, round(technical_score, 3) AS technical_score FROM scores")
 def r2(t):
     c = "technical_components"
     return ranking.score(ranking.feature_frame(t, as_of())).select(
-        "work_id", *[F.col(f"{c}.{k}").alias(f"c_{k.lower()}") for k in "RNEPQF"], F.round("technical_score", 3).alias("technical_score"))
+        "work_id", *[F.col(f"{c}.{k}").alias(f"c_{k.lower()}") for k in "RNEPQF"], rounded(F.col("technical_score"), 3).alias("technical_score"))
 
 
 @query("r3_commercial_score", "SELECT work_id, c_b, c_x, round(commercial_score, 3) AS commercial_score FROM scores")
 def r3(t):
     return ranking.score(ranking.feature_frame(t, as_of())).select(
-        "work_id", F.col("commercial_components.B").alias("c_b"), F.col("commercial_components.X").alias("c_x"), F.round("commercial_score", 3).alias("commercial_score"))
+        "work_id", F.col("commercial_components.B").alias("c_b"), F.col("commercial_components.X").alias("c_x"), rounded(F.col("commercial_score"), 3).alias("commercial_score"))
 
 
 @query("r4_priority_score", "SELECT work_id, critical AS critical_topic, analyzed, round(priority_score, 3) AS priority_score FROM scores")
 def r4(t):
-    return ranking.score(ranking.feature_frame(t, as_of())).select("work_id", "critical_topic", "analyzed", F.round("priority_score", 3).alias("priority_score"))
+    return ranking.score(ranking.feature_frame(t, as_of())).select("work_id", "critical_topic", "analyzed", rounded(F.col("priority_score"), 3).alias("priority_score"))
 
 
 @query("r5_result_rows", """SELECT CAST(count(*) / 3 AS BIGINT) AS works_ranked, count(CASE WHEN work_id < 'w8' THEN NULL ELSE 1 END) AS results_created, count(CASE WHEN work_id < 'w8' THEN 1 END) AS results_reused FROM results""")
@@ -250,12 +251,12 @@ def r5(t):
 
 @query("r5_new_results", "SELECT work_id, score_kind, round(total_score, 3) AS total_score FROM results WHERE work_id >= 'w8'")
 def r5_new(t):
-    return ranking.insert_results(t["results"], t["results"].filter("work_id < 'w8'")).select("work_id", "score_kind", F.round("total_score", 3).alias("total_score"))
+    return ranking.insert_results(t["results"], t["results"].filter("work_id < 'w8'")).select("work_id", "score_kind", rounded(F.col("total_score"), 3).alias("total_score"))
 
 
 @query("r5_results_long", "SELECT work_id, score_kind, round(total_score, 3) AS total_score FROM results")
 def r5_long(t):
-    return t["results"].select("work_id", "score_kind", F.round("total_score", 3).alias("total_score"))
+    return t["results"].select("work_id", "score_kind", rounded(F.col("total_score"), 3).alias("total_score"))
 
 
 @query("r7_topic_weight", "SELECT w.work_id, CAST(max(t.user_weight) AS DOUBLE) AS relevance FROM work_topics w JOIN topics t USING (topic_key) GROUP BY 1")
