@@ -111,9 +111,9 @@ class Corpus(Mapping):
 
     @cached_property
     def _grouped(self) -> DataFrame:
-        """One row per work; all texts of a work are equal, so any document of it will do."""
+        """One row per work; all texts of a work are equal, so any document of it will do. Copies may name other languages: the first document that names one counts."""
         return self._keys.groupBy("work_id").agg(
-            F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("current_version_id"), F.first("lang").alias("lang"),
+            F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("current_version_id"), F.min_by("lang", F.when(F.col("lang").isNotNull(), F.col("doc_id"))).alias("lang"),
             F.max_by("source", "doc_id").alias("source"))
 
     @cached_property
