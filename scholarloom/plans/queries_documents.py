@@ -918,7 +918,8 @@ def _ingest(t, folder: str, store=store_batch, bad_key: str = "feed") -> None:
             F.when(doc % 97 == 0, bad_key).otherwise("feed").alias("source_key"), F.concat(F.lit("d"), F.floor(doc / 2)).alias("upstream_id"), F.lit(None).cast("string").alias("upstream_version"),
             F.lit("https://example.org").alias("canonical_url"), at(doc % 31).alias("observed_at"), F.lit("text/plain").alias("media_type"), F.col("text").cast("binary").alias("payload"))
 
-    source = t.spark.readStream.schema(t.raw("documents").schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
+    # A pattern, since a stream takes a plain path for a folder: the table may be one file or a folder of files.
+    source = t.spark.readStream.schema(t.raw("documents").schema).parquet(f"{t.sf_dir}/documents.parque[t]")
     ingest_files(source, f"{folder}/table", f"{folder}/checkpoint", prepare=prepare, store=store).awaitTermination()
 
 
