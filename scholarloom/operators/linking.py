@@ -11,11 +11,13 @@ from scholarloom.functions.scoring import corroboration, linear_freshness
 from scholarloom.functions.text import stable_key
 from scholarloom.operators.catalog import page
 from scholarloom.operators.ordered import top_per_key
+from scholarloom.session import durable
 
 FACTS_SCHEMA = (
     "source_key string, authority double, content_class string, fixed_artifact_type string, "
     "fixed_source_type string, linked_relationship string, free_relationship string"
 )
+_NAMED_IDS = "array<struct<id_type:string,normalized_value:string>>"
 REVIEW_SOURCE, CODE_SOURCE, HUB_SOURCE = "openreview", "github", "huggingface"
 
 
@@ -67,11 +69,18 @@ def attach_records(records: DataFrame, external_ids: DataFrame, versions: DataFr
     """Records with ``work_id``: exact identity, else a shared repository, else NULL.
 
     Review notes never attach by repository; what they create comes from identity resolution.
+    What records name is reduced to its distinct combinations before anything is joined. Those that lead to a work are stored and joined
+    back once: by a broadcast where they are few, so that records do not move, else by one shuffle.
     """
-    exact = attach_by_identity(records, external_ids).withColumnRenamed("work_id", "_exact")
-    shared = attach_by_repository(records.filter(F.col("source_key") != REVIEW_SOURCE), versions).withColumnRenamed("work_id", "_shared")
-    joined = records.join(exact, "record_id", "left").join(shared, "record_id", "left")
-    return joined.withColumn("work_id", F.coalesce("_exact", "_shared")).drop("_exact", "_shared")
+    ids = F.transform(F.filter("identities", lambda i: i["id_type"].isin(settings.LINKING_ID_TYPES)), lambda i: F.struct(i["id_type"].alias("id_type"), i["normalized_value"].alias("normalized_value")))
+    urls = F.when(F.col("source_key") != REVIEW_SOURCE, F.array_distinct(F.transform("repository_urls", repository_match_form)))
+    named = records.withColumn("_named", F.struct(
+        F.coalesce(ids, F.array().cast(_NAMED_IDS)).alias("identities"), F.coalesce(urls, F.array().cast("array<string>")).alias("repository_urls")))
+    distinct = durable(named.select(F.col("_named").alias("record_id")).distinct().select("record_id", "record_id.*"))
+    exact = attach_by_identity(distinct, external_ids).withColumnRenamed("work_id", "_exact")
+    shared = attach_by_repository(distinct, versions).withColumnRenamed("work_id", "_shared")
+    owned = durable(exact.join(shared, "record_id", "full").select(F.col("record_id").alias("_named"), F.coalesce("_exact", "_shared").alias("work_id")))
+    return named.join(owned, "_named", "left").drop("_named")
 
 
 def upsert_artifacts(sightings: DataFrame, as_of: Column, existing: DataFrame | None = None) -> DataFrame:
@@ -117,12 +126,15 @@ def link_rows(records: DataFrame) -> DataFrame:
     return (
         records.withColumn("basis", basis)
         .withColumn("canonical_key", F.coalesce(F.concat(F.lit("work:"), "work_id"), own_key))
-        .withColumn("event_id", F.sha2("canonical_key", 256))
-        .withColumn("artifact_id", stable_key(F.col("source_key"), F.col("upstream_id")))
         .withColumn("confidence", F.when(F.col("basis") == "explicit_url", 0.95).otherwise(1.0))
         .withColumn("relationship", F.coalesce(relationship, F.lit("community_reference")))
         .withColumn("matching_evidence", evidence)
-    )
+    ).withColumns(link_ids())
+
+
+def link_ids() -> dict[str, Column]:
+    """Event and artifact id of rows that have their event key, source and upstream id."""
+    return {"event_id": F.sha2("canonical_key", 256), "artifact_id": stable_key(F.col("source_key"), F.col("upstream_id"))}
 
 
 def upsert_events(linked: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -24,6 +24,9 @@ EPOCH = 1_704_067_200  # 2024-01-01 UTC
 LINES_PER_PAGE = 8
 EVENT_SOURCES = {"click": "github", "view": "official-rss", "purchase": "openreview", "signup": "huggingface", "error": "reddit"}
 LANG_CATEGORIES = {"en": ["cs.AI", "zz.none"], "fr": ["cs.CL"], "de": ["cs.CV", "cs.AI"], "es": ["xx.none"]}
+#: What events, links and the views over linked rows read; the rest of a record stays in ``sightings``.
+LINKED_COLUMNS = ["record_id", "arrival", "source_key", "upstream_id", "title", "observed_at", "published_at", "updated_at", "work_id", "basis", "canonical_key", "confidence",
+                  "relationship", "matching_evidence"]
 CLAIM_TYPES = settings.LABELS["claim_type"]
 
 
@@ -232,8 +235,8 @@ class Corpus(Mapping):
     @cached_property
     def linked_rows(self) -> DataFrame:
         attached = linking.attach_records(self.sightings, self.external_ids, self.versions)
-        # Events and links both start from these rows, so they are written out once.
-        return durable(linking.link_rows(linking.with_source_facts(attached, linking.source_facts(self.spark))).drop("summary"))
+        # Events and links both start from these rows, so they are written out once; their ids, long hashes of what is written, are made when they are read.
+        return durable(linking.link_rows(linking.with_source_facts(attached, linking.source_facts(self.spark))).select(LINKED_COLUMNS)).withColumns(linking.link_ids())
 
     @cached_property
     def artifacts(self) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholarloom.functions.scoring import rounded
+from scholarloom.operators import linking
 from scholarloom.plans import queries_documents
 from scholarloom.plans.corpus import Corpus
 
@@ -33,3 +34,31 @@ def test_doubles_are_rounded_like_in_sql(spark):
     assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 3)", [v]).fetchone()[0] for v in values]
     plain = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 3)).collect()]
     assert got != plain
+
+
+RECORDS = ("record_id bigint, source_key string, identities array<struct<id_type:string,raw_value:string,normalized_value:string>>, repository_urls array<string>")
+
+
+def test_records_attach_by_what_they_name(spark):
+    """Repeated, empty and missing lists; the first listed identity that is known wins over repositories, notes have no repositories, and records do not move."""
+    own = lambda *values: [(kind, v, v) for kind, v in values]
+    rows = [
+        (1, "github", own(("arxiv", "b"), ("arxiv", "a")), ["https://github.com/x/y"]), (2, "github", own(("arxiv", "none")), ["https://github.com/X/Y.git", None]),
+        (3, "openreview", own(("arxiv", "none")), ["https://github.com/x/y"]), (4, "github", None, None), (5, "reddit", [], ["https://github.com/x/y"]),
+        (6, "openreview", own(("isbn", "a"), ("arxiv", "a")), []), (7, "reddit", own(("isbn", "a")), ["https://github.com/no/no"])]
+    records = spark.createDataFrame(rows, RECORDS).unionByName(spark.createDataFrame([(r[0] + 10, *r[1:]) for r in rows], RECORDS))
+    ids = spark.createDataFrame([("arxiv", "a", "wa"), ("arxiv", "b", "wb"), ("isbn", "a", "wi")], "id_type string, value string, work_id string")
+    versions = spark.createDataFrame([("w2", True, ["https://github.com/x/y"]), ("w1", True, ["https://github.com/x/y"]), ("w0", False, ["https://github.com/x/y"])],
+                                     "work_id string, is_current boolean, repository_urls array<string>")
+    attached = linking.attach_records(records, ids, versions)
+    want = {1: "wb", 2: "w1", 3: None, 4: None, 5: "w1", 6: "wa", 7: None}
+    assert {r.record_id: r.work_id for r in attached.collect()} == {n + shift: work for n, work in want.items() for shift in (0, 10)}
+    assert attached.columns == [*records.columns, "work_id"]
+    plan = attached._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_linked_rows_are_stored_without_their_ids(spark):
+    stored = Corpus(spark, "/root/testdata/sf0.001").linked_rows
+    written = set(spark.read.parquet(*stored.inputFiles()).columns)
+    assert "canonical_key" in written and not written & {"event_id", "artifact_id"} and {"event_id", "artifact_id"} <= set(stored.columns)
