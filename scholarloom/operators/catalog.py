@@ -6,6 +6,7 @@ ones it names, so Catalyst prunes the rest.
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date, timedelta
@@ -204,7 +205,10 @@ def page_summary(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 
 
 def _sortable(t: Tables, query: CatalogQuery) -> DataFrame:
-    papers = filter_papers(base_papers(t), t, query)
+    return _scored(filter_papers(base_papers(t), t, query), t, query)
+
+
+def _scored(papers: DataFrame, t: Tables, query: CatalogQuery) -> DataFrame:
     return with_scores(papers, t["results"]) if query.sort in {"technical", "commercial", "priority"} else papers
 
 
@@ -213,14 +217,20 @@ def seek_page(t: Tables, query: CatalogQuery, after: Mapping[str, object] | None
 
     A page at any depth costs what the first one costs: a filter and the ``limit`` smallest rows, so there is no bound on the depth. A row that is
     put in before the boundary meanwhile moves nothing. The boundary holds the order columns of the last row shown.
+    The page is chosen by its order columns alone; titles and abstracts are read for its rows only, by their ids, which filter every table before it is joined.
     """
     if query.limit is None or query.offset:
         raise ValueError("a page by boundary has a limit and no offset")
     keys = ORDER_KEYS[query.sort]
     papers = _sortable(t, query)
-    shown = durable(page(papers if after is None else papers.filter(beyond(keys, after)), _order(keys), query.limit))
-    rows = shown.select(*[name for name, _ in keys]).orderBy(*_order(keys)).collect()
-    boundary = rows[-1].asDict() if len(rows) == query.limit else None
+    rest = papers if after is None else papers.filter(beyond(keys, after))
+    names = [name for name, _ in keys]
+    rows = page(rest.select(*names, "current_version_id"), _order(keys), query.limit).collect()  # at most MAX_PAGE
+    boundary = {name: rows[-1][name] for name in names} if len(rows) == query.limit else None
+    works, versions = ([r[name] for r in rows] for name in ("work_id", "current_version_id"))
+    own = ChainMap({"works": t["works"].filter(F.col("work_id").isin(works) & F.col("current_version_id").isin(versions)),
+                    "versions": t["versions"].filter(F.col("version_id").isin(versions))}, t)
+    shown = durable(page(_scored(base_papers(own), own, query), _order(keys), query.limit))
     return shown.withColumn("match_reason", F.lit(match_reason(query)).cast("string")), boundary
 
 

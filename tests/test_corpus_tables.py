@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholarloom.functions.scoring import rounded
-from scholarloom.operators import linking
+from scholarloom.operators import catalog, linking
 from scholarloom.plans import queries_documents
 from scholarloom.plans.corpus import Corpus
 
@@ -62,3 +62,13 @@ def test_linked_rows_are_stored_without_their_ids(spark):
     stored = Corpus(spark, "/root/testdata/sf0.001").linked_rows
     written = set(spark.read.parquet(*stored.inputFiles()).columns)
     assert "canonical_key" in written and not written & {"event_id", "artifact_id"} and {"event_id", "artifact_id"} <= set(stored.columns)
+
+
+def test_a_page_reads_the_texts_of_its_rows_only(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(catalog, "durable", lambda frame: written.append(frame) or frame)
+    shown, boundary = catalog.seek_page(Corpus(spark, "/root/testdata/sf0.001"), catalog.CatalogQuery(sort="newest", limit=5))
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    above = [part for part in plan.split("Relation [")[:-1] if "substring_index(text" in part]
+    assert above and [part for part in above if " IN (" not in part[part.rindex("substring_index(text"):]] == []
+    assert shown.count() == 5 and set(boundary) == {"publication_date", "work_id"}
