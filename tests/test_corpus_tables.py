@@ -1,13 +1,17 @@
 """Shapes that the small tables do not have: tables that are folders, copies that differ beside their text, values that end on a half."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import compare
 from scholarloom.functions.scoring import rounded
 from scholarloom.operators import catalog, linking
-from scholarloom.plans import queries_documents
+from scholarloom.plans import queries_catalog, queries_documents, queries_index  # noqa: F401
 from scholarloom.plans.corpus import Corpus
+from scholarloom.plans.registry import ORACLES, QUERIES
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string"
 
@@ -72,3 +76,17 @@ def test_a_page_reads_the_texts_of_its_rows_only(spark, monkeypatch):
     above = [part for part in plan.split("Relation [")[:-1] if "substring_index(text" in part]
     assert above and [part for part in above if " IN (" not in part[part.rindex("substring_index(text"):]] == []
     assert shown.count() == 5 and set(boundary) == {"publication_date", "work_id"}
+
+
+@pytest.mark.parametrize("name", ["p2_search_documents", "p2b_index_refresh", "p2b_stored_texts", "p3_inverted_index", "p4_topic_filter"])
+def test_searches_of_copies_in_other_languages_equal_the_sql_in_one_thread(spark, tmp_path, name):
+    """The SQL takes any language; read in one thread and in the order of the documents it takes the first, as the views do."""
+    langs = ["de", "es", "fr", "en"]
+    rows = [(n, f"Title {n % 30}\nthe body {n % 30}", None if n in (3, 7) else langs[(n // 30 + n) % 4], f"src{n % 5}") for n in range(120)]
+    pandas = spark.createDataFrame(rows, DOCUMENTS).toPandas().sort_values("doc_id")
+    pandas.to_parquet(tmp_path / "documents.parquet")
+    (tmp_path / "events.parquet").write_bytes(Path("/root/testdata/sf0.001/events.parquet").read_bytes())
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+    assert compare(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name]) is None
