@@ -5,6 +5,8 @@ puts out the rows of that entity in earlier batches, so a batch is as large as w
 
     the rows of a batch whose entity has no tombstone of a later batch.
 
+Texts are written first, each row with a number of its own in the batch. Postings are cut from what was written and hold the number, not the id, which as a
+hash would be most of a posting; readers get the ids back by one join of the postings they keep with the numbers of the rows that are in.
 Postings are range-partitioned by (term, entity), so that the postings of a frequent term are spread over many files, and each file is
 listed with its first and last term. A prefix opens the files whose range it can fall into, whatever the number of segments and files.
 Rows, tombstones, texts and file ranges of a batch appear together, with its manifest (``sources/batches.py``); a batch that is run again replaces itself.
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from scholarloom.operators.search import matching_ids, query_tokens, search_terms
 from scholarloom.sources.batches import BatchTables
 
-POSTING = ["term", "field", "entity_id"]
+STORED = "term string, field string, entity bigint"
 
 
 def may_hold(prefix: str) -> Column:
@@ -35,12 +37,15 @@ class TermIndex:
         self.spark, self.fields = spark, list(fields)
         texts = ", ".join(f"{name} string" for name in self.fields)
         self.tables = BatchTables(spark, path, {
-            "postings": "term string, field string, entity_id string", "texts": f"entity_id string, {texts}", "tombstones": "entity_id string",
+            "postings": STORED, "texts": f"entity bigint, entity_id string, {texts}", "tombstones": "entity_id string",
             "ranges": "file string, first_term string, last_term string, posting_count bigint"})
 
-    def _write(self, batch: int, texts: DataFrame, postings: DataFrame, tombstones: DataFrame, *, replaces: int | None = None) -> None:
-        sorted_postings = postings.select(*POSTING).repartitionByRange("term", "entity_id").sortWithinPartitions("term", "entity_id", "field")
-        folders = self.tables.write_rows(batch, {"postings": sorted_postings, "texts": texts.select("entity_id", *self.fields), "tombstones": tombstones})
+    def _write(self, batch: int, texts: DataFrame, tombstones: DataFrame, *, replaces: int | None = None) -> None:
+        numbered = texts.select(F.monotonically_increasing_id().alias("entity"), "entity_id", *self.fields)
+        folders = self.tables.write_rows(batch, {"texts": numbered, "tombstones": tombstones})
+        stored = self.spark.read.schema(self.tables.schemas["texts"]).parquet(folders["texts"])
+        postings = search_terms(stored, "entity", self.fields).select("term", "field", F.col("entity_id").alias("entity"))
+        folders |= self.tables.write_rows(batch, {"postings": postings.repartitionByRange("term", "entity").sortWithinPartitions("term", "entity", "field")})
         written = self.spark.read.schema(self.tables.schemas["postings"]).parquet(folders["postings"])
         ranges = written.groupBy(F.col("_metadata.file_name").alias("name")).agg(
             F.min("term").alias("first_term"), F.max("term").alias("last_term"), F.count("*").alias("posting_count"))
@@ -53,18 +58,17 @@ class TermIndex:
         An entity of ``changed`` without a row in ``rebuilt`` is deleted. Entities of ``rebuilt`` need not be listed in ``changed``.
         """
         out = changed.select("entity_id").unionByName(rebuilt.select("entity_id")).filter("entity_id IS NOT NULL").distinct()
-        texts = rebuilt.filter("entity_id IS NOT NULL")
-        self._write(batch, texts, search_terms(texts, "entity_id", self.fields), out)
+        self._write(batch, rebuilt.filter("entity_id IS NOT NULL"), out)
 
-    def _alive(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with ``batch``) without those that a later tombstone puts out. The first batch has nothing to put out."""
+    def _alive(self) -> DataFrame:
+        """The rows of all batches (with ``batch`` and the number ``entity``) without those that a later tombstone puts out. The first batch has nothing to put out."""
         first = self.tables.manifests().agg(F.min("batch")).first()[0]
         later = self.tables.read("tombstones").filter(F.col("batch") > F.lit(first)).groupBy("entity_id").agg(F.max("batch").alias("_out"))
-        return rows.join(later, "entity_id", "left").filter("_out IS NULL OR batch >= _out").drop("_out", "batch")
+        return self.tables.read("texts").join(later, "entity_id", "left").filter("_out IS NULL OR batch >= _out").drop("_out")
 
     def texts(self) -> DataFrame:
         """(entity_id, fields) as they are now."""
-        return self._alive(self.tables.read("texts"))
+        return self._alive().select("entity_id", *self.fields)
 
     def files(self, prefixes: Sequence[str]) -> list[str]:
         """The posting files that can hold a term with one of ``prefixes``."""
@@ -77,12 +81,13 @@ class TermIndex:
         """(term, field, entity_id) as they are now; terms without any of ``prefixes`` are left out. Only files that can hold them are opened."""
         files, schema = self.files(prefixes), f"{self.tables.schemas['postings']}, batch bigint"
         if not files:
-            return self.spark.createDataFrame([], self.tables.schemas["postings"])
+            return self.spark.createDataFrame([], "term string, field string, entity_id string")
         starts = F.lit(False)
         for prefix in prefixes:
             starts = starts | F.col("term").startswith(prefix)
         rows = self.spark.read.schema(schema).option("basePath", f"{self.tables.path}/rows/postings").parquet(*files)
-        return self._alive(rows.filter(starts).select(*POSTING, "batch")).select(*POSTING)
+        names = self._alive().select("batch", "entity", "entity_id")
+        return rows.filter(starts).select("term", "field", "entity", "batch").join(names, ["batch", "entity"]).select("term", "field", "entity_id")
 
     def matching(self, text: str) -> DataFrame:
         """(entity_id): every token of ``text`` starts some term of the entity."""
@@ -90,4 +95,4 @@ class TermIndex:
 
     def compact(self, batch: int) -> None:
         """One segment in place of all, as batch ``batch`` (above all others): rows that were put out and tombstones are left behind."""
-        self._write(batch, self.texts(), self.postings(), self.spark.createDataFrame([], self.tables.schemas["tombstones"]), replaces=batch)
+        self._write(batch, self.texts(), self.spark.createDataFrame([], self.tables.schemas["tombstones"]), replaces=batch)

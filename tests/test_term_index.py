@@ -68,6 +68,19 @@ def test_a_batch_writes_and_opens_little(spark, tmp_path):
     assert index.matching("common").count() == 1_980
 
 
+def test_postings_hold_no_ids(spark, tmp_path):
+    """Numbers of a batch start anew in the next one; rows of one id in one batch are one entity."""
+    index = index_at(spark, tmp_path)
+    none = spark.createDataFrame([], "entity_id string")
+    index.refresh(0, spark.createDataFrame([("a" * 64, "one", "two"), ("b" * 64, "one", "")], SCHEMA).coalesce(1), none)
+    index.refresh(1, spark.createDataFrame([("c" * 64, "one", ""), ("c" * 64, "", "three")], SCHEMA).coalesce(1), none)
+    stored = index.tables.read("postings")
+    assert dict(stored.dtypes)["entity"] == "bigint" and "entity_id" not in stored.columns
+    assert {(r.batch, r.entity) for r in stored.collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert ids(index.matching("one")) == ["a" * 64, "b" * 64, "c" * 64] and ids(index.matching("one three")) == ["c" * 64]
+    assert ids(index.postings()) == ["a" * 64] * 2 + ["b" * 64] + ["c" * 64] * 2
+
+
 def test_a_batch_that_dies_is_not_seen(spark, tmp_path, monkeypatch):
     index = index_at(spark, tmp_path)
     none = spark.createDataFrame([], "entity_id string")
