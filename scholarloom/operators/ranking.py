@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,6 @@ from scholarloom.operators.catalog import Tables, base_papers, linked_artifacts
 from scholarloom.operators.ordered import latest_by
 
 
-def works_with_documents(t: Tables) -> DataFrame:
-    done = t["documents"].filter(F.col("parse_status").isin(settings.PARSED_STATES)).select("version_id")
-    return t["versions"].join(done, "version_id", "left_semi").select("work_id").distinct()
-
-
 def analyzed_works(t: Tables) -> DataFrame:
     return t["runs"].filter("status = 'succeeded'").select("work_id").distinct()
 
@@ -30,22 +27,37 @@ def linked_signals(t: Tables, *, active_only: bool = False) -> DataFrame:
     return events.join(artifacts, "work_id", "left")
 
 
+SIGNALS = {"relevance": "double", "_doc": "boolean", "_code": "boolean", "_run": "boolean", "linked_authority": "double", "linked_novelty": "double", "linked_corroboration": "double"}
+
+
+def _signals(t: Tables, weights: DataFrame, *, active_only: bool) -> DataFrame:
+    """One row per work that any other table says something about, with ``SIGNALS``.
+
+    All sides become rows of one shape and are combined by one aggregation, so a task holds one table of works instead of a sorted copy of each side.
+    """
+    done = t["documents"].filter(F.col("parse_status").isin(settings.PARSED_STATES)).select("version_id")
+    yes = F.lit(True)
+    sides = [
+        (t["work_topics"].join(weights, "topic_key"), {"relevance": F.col("user_weight")}),
+        (t["versions"].join(done, "version_id", "left_semi"), {"_doc": yes}),
+        (t["external_ids"].filter("id_type = 'github'"), {"_code": yes}),
+        (t["runs"].filter("status = 'succeeded'"), {"_run": yes}),
+        (linked_artifacts(t, active_only=active_only), {"linked_authority": F.col("authority"), "linked_novelty": F.col("novelty")}),
+        (t["events"].filter("primary_work_id IS NOT NULL").withColumnRenamed("primary_work_id", "work_id"), {"linked_corroboration": F.col("corroboration")}),
+    ]
+    rows = reduce(DataFrame.unionByName, [
+        side.select("work_id", *[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in SIGNALS.items()]) for side, given in sides])
+    return rows.groupBy("work_id").agg(*[F.max(name).alias(name) for name in SIGNALS])
+
+
 def feature_frame(t: Tables, as_of: Column, *, limit: int | None = None, active_only: bool = False) -> DataFrame:
     """One row per open paper with all features; ``limit`` keeps the newest ones."""
     papers = base_papers(t)
     if limit is not None:
         papers = papers.orderBy(F.coalesce("first_published_at", "created_at").desc_nulls_last(), "work_id").limit(limit)
     weights = F.broadcast(t["topics"].filter("active").select("topic_key", "user_weight"))
-    relevance = t["work_topics"].join(weights, "topic_key").groupBy("work_id").agg(F.max("user_weight").alias("relevance"))
-    code = t["external_ids"].filter("id_type = 'github'").select("work_id").distinct()
-    frame = (
-        papers.select("work_id", "title", "abstract", "publication_status", "trust_tier", "first_published_at")
-        .join(relevance, "work_id", "left")
-        .join(works_with_documents(t).withColumn("_doc", F.lit(True)), "work_id", "left")
-        .join(code.withColumn("_code", F.lit(True)), "work_id", "left")
-        .join(analyzed_works(t).withColumn("_run", F.lit(True)), "work_id", "left")
-        .join(linked_signals(t, active_only=active_only), "work_id", "left")
-    )
+    frame = papers.select("work_id", "title", "abstract", "publication_status", "trust_tier", "first_published_at").join(
+        _signals(t, weights, active_only=active_only), "work_id", "left")
     has_document, has_code = F.col("_doc").isNotNull(), F.col("_code").isNotNull()
     authority, novelty, corroborated = (
         F.coalesce(c, F.lit(0.0)) for c in ("linked_authority", "linked_novelty", "linked_corroboration"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from oracle import compare
 from scholarloom.functions.scoring import rounded
-from scholarloom.operators import catalog, linking
+from scholarloom.operators import catalog, linking, ranking
 from scholarloom.plans import queries_catalog, queries_documents, queries_index  # noqa: F401
-from scholarloom.plans.corpus import Corpus
+from scholarloom.plans.corpus import Corpus, as_of
 from scholarloom.plans.registry import ORACLES, QUERIES
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string"
@@ -90,3 +90,11 @@ def test_searches_of_copies_in_other_languages_equal_the_sql_in_one_thread(spark
     con.execute("SET threads = 1")
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
     assert compare(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name]) is None
+
+
+def test_features_of_a_work_meet_in_one_aggregation(spark):
+    """A join for each side would make a task hold a sorted copy of every one of them."""
+    frame = ranking.feature_frame(Corpus(spark, "/root/testdata/sf0.001"), as_of())
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and plan.count("Union") == 1
+    assert frame.count() == frame.select("work_id").distinct().count() > 0
