@@ -15,6 +15,7 @@ from scholarloom import settings
 
 # Java's Unicode white space plus the four separators Python's str.split() also takes.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+ASCII_TEXT = r"^[\x00-\x7F]*$"
 # Letters whose compatibility form is themselves: ASCII and the Latin-1 letters.
 PLAIN_TEXT = "^[\\x00-\\x7FÀ-ÖØ-öø-ÿ]*$"
 
@@ -70,8 +71,10 @@ def casefold(text: Column) -> Column:
     pairs = F.split(F.lit(" ".join(a + b for a, b in rare)), " ")
     expand = F.aggregate(pairs, lowered, lambda acc, p: F.replace(acc, F.substring(p, 1, 1), F.substring(p, 2, 9)))
     has_rare = lowered.rlike(_ranges([ord(a) for a, _ in rare]))
-    folded = F.translate(F.when(has_rare, expand).otherwise(lowered), frm, to)
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(folded)
+    # Translating looks at every character; few texts hold one of these. No gap here takes in a Latin letter that is common.
+    has_single = lowered.rlike(_ranges([ord(a) for a in frm], 16))
+    folded = F.when(has_rare, F.translate(expand, frm, to)).when(has_single, F.translate(lowered, frm, to)).otherwise(lowered)
+    return F.when(text.rlike(ASCII_TEXT), F.lower(text)).when(text.rlike(PLAIN_TEXT), lowered).otherwise(folded)
 
 
 @pandas_udf(StringType())
@@ -125,8 +128,10 @@ def label_form(value: Column, allowed: list[str]) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Distinct folded tokens: runs of letters and digits, accents removed."""
-    parts = F.split(fold_accents(casefold(text)), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.filter(parts, lambda t: t != ""))
+    plain = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), *_accent_tables())  # all there is to do for the Latin-1 letters
+    folded = F.when(text.rlike(ASCII_TEXT), F.lower(text)).when(text.rlike(PLAIN_TEXT), plain).otherwise(fold_accents(casefold(text)))
+    parts = F.split(folded, r"[^\p{L}\p{N}]+")
+    return F.array_remove(F.array_distinct(parts), "")
 
 
 @lru_cache(maxsize=1)

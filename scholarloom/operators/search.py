@@ -28,11 +28,16 @@ def search_documents(works: DataFrame, authors: DataFrame, work_topics: DataFram
     )
 
 
-def search_terms(documents: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(term, field, entity_id): the inverted frame. Write it sorted by term, so prefixes prune files."""
+def field_terms(documents: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(entity_id, field, terms): the distinct words of each text."""
     texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
     rows = documents.select(F.col(key).alias("entity_id"), F.explode(texts).alias("t"))
-    return rows.select("entity_id", "t.field", F.explode(search_tokens(F.col("t.text"))).alias("term"))
+    return rows.select("entity_id", "t.field", search_tokens(F.col("t.text")).alias("terms"))
+
+
+def search_terms(documents: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(term, field, entity_id): the inverted frame. Write it sorted by term, so prefixes prune files."""
+    return field_terms(documents, key, fields).select("entity_id", "field", F.explode("terms").alias("term"))
 
 
 def query_tokens(text: str) -> list[str]:

@@ -19,7 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarloom.operators.search import matching_ids, query_tokens, search_terms
+from scholarloom.operators.search import field_terms, matching_ids, query_tokens
+from scholarloom.session import durable
 from scholarloom.sources.batches import BatchTables
 
 STORED = "term string, field string, entity bigint"
@@ -44,11 +45,16 @@ class TermIndex:
         numbered = texts.select(F.monotonically_increasing_id().alias("entity"), "entity_id", *self.fields)
         folders = self.tables.write_rows(batch, {"texts": numbered, "tombstones": tombstones})
         stored = self.spark.read.schema(self.tables.schemas["texts"]).parquet(folders["texts"])
-        postings = search_terms(stored, "entity", self.fields).select("term", "field", F.col("entity_id").alias("entity"))
+        # Range partitioning reads its rows twice, first for the ranges, so the words are cut once and written.
+        cut = durable(field_terms(stored, "entity", self.fields))
+        postings = cut.select(F.explode("terms").alias("term"), "field", F.col("entity_id").alias("entity"))
         folders |= self.tables.write_rows(batch, {"postings": postings.repartitionByRange("term", "entity").sortWithinPartitions("term", "entity", "field")})
         written = self.spark.read.schema(self.tables.schemas["postings"]).parquet(folders["postings"])
-        ranges = written.groupBy(F.col("_metadata.file_name").alias("name")).agg(
-            F.min("term").alias("first_term"), F.max("term").alias("last_term"), F.count("*").alias("posting_count"))
+        at, name = F.col("_metadata.row_index"), F.col("_metadata.file_name").alias("name")
+        # A file is sorted by term, so its first and last row have its first and last term.
+        counts = written.groupBy(name).agg(F.count("*").alias("posting_count"))
+        ends = written.select(name, at.alias("at"), "term").join(F.broadcast(counts), "name").filter("at = 0 OR at = posting_count - 1")
+        ranges = ends.groupBy("name", "posting_count").agg(F.min("term").alias("first_term"), F.max("term").alias("last_term"))
         named = ranges.select(F.concat(F.lit(folders["postings"] + "/"), "name").alias("file"), "first_term", "last_term", "posting_count")
         self.tables.seal(batch, folders | self.tables.write_rows(batch, {"ranges": named.coalesce(1)}), replaces=replaces)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholarloom.operators.catalog import ORDER_KEYS, _order, beyond
+from scholarloom.functions.text import casefold, search_tokens
 from scholarloom.operators.term_index import TermIndex
 
 SCHEMA = "entity_id string, title string, body string"
@@ -106,3 +107,36 @@ def test_beyond_a_boundary(spark, name):
     for at in range(0, 30, 3):
         got = [r.work_id for r in frame.filter(beyond(keys, ordered[at])).orderBy(*_order(keys)).collect()]
         assert got == [r["work_id"] for r in ordered[at + 1:]]
+
+
+def test_words_are_cut_once(spark, tmp_path, monkeypatch):
+    """Range partitioning reads its rows twice; what it reads must not be the texts."""
+    from scholarloom.operators import search
+
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        cuts.add(1)
+        return text
+
+    monkeypatch.setattr(search, "search_tokens", lambda text: search_tokens(seen(text)))
+    index = index_at(spark, tmp_path)
+    rows = spark.range(50).select(F.col("id").cast("string").alias("entity_id"), F.format_string("common w%04d", "id").alias("title"), F.lit("Zoë").alias("body"))
+    index.refresh(0, rows, rows.filter("false").select("entity_id"))
+    assert cuts.value == 100
+    assert index.postings().count() == 150
+    written = spark.read.parquet(*index.files([""])).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.min("term").alias("a"), F.max("term").alias("z"), F.count("*").alias("n"))
+    stored = index.tables.read("ranges").select(F.element_at(F.split("file", "/"), -1).alias("name"), "first_term", "last_term", "posting_count")
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, stored.collect()))
+
+
+def test_folding_of_every_character(spark):
+    """Case folding as Python folds, for every character alone and behind another; tokens have no accents and no empty words."""
+    known = [chr(c) for c in range(1, 0x3000) if chr(c).isalnum()] + ["ſ", "µ", "ς", "ẞ", "Σ", "ᏸ", "ꭰ", "ﬀ"]
+    rows = spark.createDataFrame([(c, f"{x}{c}") for c in known for x in ("", "a", "é ")], "c string, text string")
+    got = {(r.c, r.text): r.folded for r in rows.select("c", "text", casefold(F.col("text")).alias("folded")).collect()}
+    wrong = [k for k, v in got.items() if v != k[1].casefold() and v.casefold() != v]
+    assert not wrong
+    tokens = spark.createDataFrame([("Straße, ÉTÉ été -- ςΣ ſo µm",), ("",), ("--",), ("Plain PLAIN x1",)], "t string").select(search_tokens(F.col("t")).alias("w")).collect()
+    assert [r.w for r in tokens] == [["strasse", "ete", "σσ", "so", "μm"], [], [], ["plain", "x1"]]
