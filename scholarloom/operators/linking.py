@@ -143,7 +143,7 @@ def upsert_events(linked: DataFrame, existing: DataFrame | None = None) -> DataF
     ``existing``: stored events with the columns of the result. They count as earlier than every record; a stored
     event that no record names stays as it is, and a moment is kept when the new records have none.
     """
-    keys = ["event_id", "canonical_key"]
+    keys = ["canonical_key"] if existing is None else ["event_id", "canonical_key"]  # the id, a hash of the key, is made after the shuffle
     rows = linked.select(
         *keys, "title", F.col("work_id").alias("primary_work_id"), F.coalesce("updated_at", "published_at").alias("occurred_at"),
         F.col("observed_at").alias("updated_at"), F.lit(1).alias("_age"), "arrival")
@@ -153,10 +153,11 @@ def upsert_events(linked: DataFrame, existing: DataFrame | None = None) -> DataF
             *keys, *[F.col(n).cast(types[n]).alias(n) for n in ("title", "primary_work_id", "occurred_at", "updated_at")],
             F.lit(0).alias("_age"), F.lit(None).cast(types["arrival"]).alias("arrival")))
     order = F.struct("_age", "arrival")
-    return rows.groupBy(*keys).agg(
+    events = rows.groupBy(*keys).agg(
         F.max_by("title", order).alias("title"), F.min("primary_work_id").alias("primary_work_id"),
         F.max_by("occurred_at", F.when(F.col("occurred_at").isNotNull(), order)).alias("occurred_at"),
         F.max("updated_at").alias("updated_at"))
+    return events if existing is not None else events.select(link_ids()["event_id"].alias("event_id"), *events.columns)
 
 
 def upsert_links(linked: DataFrame, corrections: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
@@ -169,7 +170,11 @@ def upsert_links(linked: DataFrame, corrections: DataFrame | None = None, existi
     """
     keys = ["event_id", "artifact_id"]
     link = F.struct("relationship", "basis", "confidence", "matching_evidence", "observed_at")
-    rows = linked.groupBy(*keys).agg(F.max_by(link, "arrival").alias("l")).select(*keys, "l.*")
+    own = ["canonical_key", "source_key", "upstream_id"]
+    if set(own) <= set(linked.columns):  # rows of ``link_rows``, whose ids are hashes of these: longer, and of no use to compression on the way
+        rows = linked.groupBy(*own).agg(F.max_by(link, "arrival").alias("l")).withColumns(link_ids()).select(*keys, "l.*")
+    else:
+        rows = linked.groupBy(*keys).agg(F.max_by(link, "arrival").alias("l")).select(*keys, "l.*")
     if existing is not None:
         stored = existing.join(rows.select(*keys), keys, "left_anti")
         off = {n: F.col(n).cast(t) if n in existing.columns else F.lit(None).cast(t) for n, t in (("corrected_at", "timestamp"), ("correction_reason", "string"))}

@@ -11,7 +11,7 @@ from scholarloom import settings
 from scholarloom.operators import digest
 from scholarloom.plans.corpus import at, sql_at
 from scholarloom.plans.registry import query
-from scholarloom.session import shared_dir
+from scholarloom.session import durable, shared_dir
 
 LIMITS = {"technical": 10, "commercial": 10, "what_happened": 8, "launches": 8, "community": 8, "updates": 10, "deep_reports": 2, "what_to_build": 3, "hypotheses": 3}
 FIRST, MIDDLE, LATE, LAST = "2023-12-30", "2024-01-20", "2024-01-15", "2024-02-12"
@@ -69,10 +69,13 @@ def digest_totals(t, first: str, last: str) -> DataFrame:
 def _stored(t) -> DataFrame:
     """Reports of two overlapping ranges, each written in one batch; read back, each date has the later one."""
     tables = digest.report_tables(t.spark, f"{shared_dir(t.spark)}/reports-{os.urandom(8).hex()}")
-    links = t["linked_rows"].groupBy("event_id", "source_key").agg(F.min("observed_at").alias("since")).withColumn("until", F.lit(None).cast("timestamp"))
     parts = digest_parts(t)
     for number, (first, last) in enumerate(((FIRST, MIDDLE), (LATE, LAST))):
-        seen = digest.on_dates(parts, first, last, LIMITS)
+        seen = durable(digest.on_dates(parts, first, last, LIMITS))
+        # A date has at most eight events, so the links of the others need not be dealt out.
+        shown = seen.filter("part = 'what_happened'").select(F.col("id").alias("event_id")).distinct()
+        links = t["linked_rows"].join(F.broadcast(shown), "event_id", "left_semi").groupBy("event_id", "source_key").agg(
+            F.min("observed_at").alias("since")).withColumn("until", F.lit(None).cast("timestamp"))
         happened = digest.linked_sources(seen.filter("part = 'what_happened'"), links).withColumn("detail", F.col("sources").cast("string")).drop("sources")
         seen = seen.filter("part <> 'what_happened'").unionByName(happened.select(*seen.columns))
         tables.write(number, {"reports": digest.reports(seen, digest_totals(t, first, last))})

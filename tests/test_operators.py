@@ -280,3 +280,18 @@ def test_link_state_is_the_same_for_every_order_of_runs(spark):
             own = linking.link_log(*runs[k])
             log = own if log is None else log.unionByName(own)
         assert [(r.basis, r.active, r.corrected_at, r.correction_reason) for r in linking.fold_links(log).collect()] == [("three", False, day(4), "late")]
+
+
+def test_links_and_events_are_dealt_by_short_keys(spark):
+    """The ids are hashes of what rows are grouped by; they do not travel with the rows."""
+    rows = linking.link_rows(linked(spark, [
+        {"source": "github", "up": "r1", "work": "w", "urls": ["https://github.com/a/b"]}, {"source": "github", "up": "r1", "work": "w", "urls": ["https://github.com/a/c"]},
+        {"source": "github", "up": "r1"}, {"source": "reddit", "up": "r1"}]))
+    for frame in (linking.upsert_links(rows), linking.upsert_events(rows)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(canonical_key" in plan and "hashpartitioning(event_id" not in plan
+    links = {(r.event_id, r.artifact_id): r.matching_evidence for r in linking.upsert_links(rows).collect()}
+    want = {(r.event_id, r.artifact_id): r.e for r in rows.groupBy("event_id", "artifact_id").agg(F.max_by("matching_evidence", "arrival").alias("e")).collect()}
+    assert links == want and len(links) == 3
+    events = {(r.event_id, r.canonical_key, r.title) for r in linking.upsert_events(rows).collect()}
+    assert events == {tuple(r) for r in rows.groupBy("event_id", "canonical_key").agg(F.max_by("title", "arrival")).collect()}
