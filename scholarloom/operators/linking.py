@@ -70,10 +70,11 @@ def attach_records(records: DataFrame, external_ids: DataFrame, versions: DataFr
 
     Review notes never attach by repository; what they create comes from identity resolution.
     What records name is reduced to its distinct combinations before anything is joined. Those that lead to a work are stored and joined
-    back once: by a broadcast where they are few, so that records do not move, else by one shuffle.
+    back once: by a broadcast where they are few, so that records do not move, else by one shuffle. URLs are compared as they stand
+    there; their match form is worked out once for a combination, not for every record.
     """
     ids = F.transform(F.filter("identities", lambda i: i["id_type"].isin(settings.LINKING_ID_TYPES)), lambda i: F.struct(i["id_type"].alias("id_type"), i["normalized_value"].alias("normalized_value")))
-    urls = F.when(F.col("source_key") != REVIEW_SOURCE, F.array_distinct(F.transform("repository_urls", repository_match_form)))
+    urls = F.when(F.col("source_key") != REVIEW_SOURCE, F.col("repository_urls"))
     named = records.withColumn("_named", F.struct(
         F.coalesce(ids, F.array().cast(_NAMED_IDS)).alias("identities"), F.coalesce(urls, F.array().cast("array<string>")).alias("repository_urls")))
     distinct = durable(named.select(F.col("_named").alias("record_id")).distinct().select("record_id", "record_id.*"))
