@@ -10,6 +10,10 @@ from scholarloom.operators.catalog import Tables, works_without_documents
 from scholarloom.operators.linking import per_source
 from scholarloom.operators.ordered import top_per_key
 from scholarloom.operators.ranking import ranked
+from scholarloom.session import durable
+
+#: Documents whose ids may stand in a filter; more are joined.
+FEW_DOCUMENTS = 1000
 
 
 def event_sentences(t: Tables, limit: int = 8) -> DataFrame:
@@ -99,10 +103,13 @@ def opportunities(reports: DataFrame, daily: DataFrame) -> DataFrame:
 def commercial_hypotheses(t: Tables, signals: DataFrame, limit: int = 3, pool: int = 10) -> DataFrame:
     """Daily hypotheses from the best commercial works that have evidence: the ids of the work's model
     signal, else its first three spans."""
-    top = ranked(t, "commercial", pool).select("work_id", "title", "total_score")
+    top = durable(ranked(t, "commercial", pool).select("work_id", "title", "total_score"))
     versions = t["versions"].join(F.broadcast(top.select("work_id")), "work_id", "left_semi").select("work_id", "version_id")
-    documents = t["documents"].join(versions, "version_id").select("document_id", "work_id")
-    spans = t["spans"].join(documents, "document_id").select("work_id", "page", "span_id")
+    # Stored, so that its size is known before spans are joined; where it is short, spans are filtered by its ids, a filter that goes down to what spans are made of.
+    documents = durable(t["documents"].join(versions, "version_id").select("document_id", "work_id"))
+    few = [row[0] for row in documents.select("document_id").limit(FEW_DOCUMENTS + 1).collect()]
+    made = t["spans"].filter(F.col("document_id").isin(few)) if len(few) <= FEW_DOCUMENTS else t["spans"]
+    spans = made.join(documents, "document_id").select("work_id", "page", "span_id")
     first = top_per_key(spans, ["work_id"], [F.col("page"), F.col("span_id")], 3).groupBy("work_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "span_id"))), lambda s: s["span_id"]).alias("_spans"))
     cited = signals.filter(F.size("evidence_ids") > 0).select("work_id", F.col("evidence_ids").alias("_cited"))

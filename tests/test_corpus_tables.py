@@ -6,9 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from oracle import compare
+from oracle import compare, connect
 from scholarloom.functions.scoring import rounded
-from scholarloom.operators import catalog, linking, ranking
+from scholarloom.operators import catalog, linking, ranking, reports
 from scholarloom.plans import queries_catalog, queries_documents, queries_index  # noqa: F401
 from scholarloom.plans.corpus import Corpus, as_of
 from scholarloom.plans.registry import ORACLES, QUERIES
@@ -60,6 +60,7 @@ def test_records_attach_by_what_they_name(spark):
     assert attached.columns == [*records.columns, "work_id"]
     plan = attached._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert "regexp_replace" not in plan  # match forms are those of the distinct combinations
 
 
 def test_linked_rows_are_stored_without_their_ids(spark):
@@ -98,3 +99,15 @@ def test_features_of_a_work_meet_in_one_aggregation(spark):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1, plan
     assert frame.count() == frame.select("work_id").distinct().count() > 0
+
+
+@pytest.mark.parametrize("few", [reports.FEW_DOCUMENTS, 0])
+def test_only_texts_of_the_chosen_works_are_cut_into_spans(spark, monkeypatch, few):
+    monkeypatch.setattr(reports, "FEW_DOCUMENTS", few)
+    t = Corpus(spark, "/root/testdata/sf0.001")
+    found = queries_documents.g8(t)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("10) INSET" in plan[plan.index("split(text"):]) == (few > 0), plan
+    assert "hashpartitioning(document_id" not in found._jdf.queryExecution().executedPlan().toString()
+    con = connect("/root/testdata/sf0.001")
+    assert compare(found, con, ORACLES["g8_commercial_hypotheses"]) is None
